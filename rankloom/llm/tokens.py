@@ -14,7 +14,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 600_000
+KEEP = 1_600_000
 _kept: dict[tuple[str, str], "Encoder"] = {}
 _odd = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
 _cut = re.compile(r" (?=\S)")
