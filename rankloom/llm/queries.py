@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, line_chunks, packing, quality, token_files
+from . import common, decontaminate, jaccard, line_chunks, packing, quality, token_files
 from .common import table
 
 TOKENIZER_FILES = "public_tokenizers"
@@ -40,6 +40,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), common.sha_join(items).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that came before."""
     df, _ = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,5 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_packing, op6_decontaminate, op9_line_chunks, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_packing, op6_decontaminate, op7_jaccard, op9_line_chunks, op10_quality)}
 SQL: dict[str, str] = {}
