@@ -255,7 +255,7 @@ def near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         if column is None or rows.isEmpty():
             break
         # Large buckets are divided by the prefix shingles of the next order.
-        pieces = F.transform(F.sequence(F.lit(0), F.length(column) / BYTES - 1), lambda i: F.substring(column, (i * BYTES + 1).cast("int"), F.lit(BYTES)))
+        pieces = F.transform(F.sequence(F.lit(0), (F.length(column) / BYTES).cast("int") - 1), lambda i: F.substring(column, i * BYTES + 1, F.lit(BYTES)))
         finer = rows.join(own.select("node", F.explode(pieces).alias("t")), "node")
         rows = common.stage(_mixed(finer.select(F.xxhash64("key", "t").alias("key"), "node", "n", "comp")), "mixed")
     found = [edges, common.stage(_verified(pairs.distinct(), own, percent), "links")]

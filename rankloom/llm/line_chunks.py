@@ -77,3 +77,10 @@ def _tell_apart(rows: DataFrame, pieces: DataFrame, th: str, marks: str) -> Data
     kept = F.coalesce("chunk_keep", F.array().cast("array<int>"))
     fixed = F.transform(marks, lambda m: F.struct(m["first"], m["n"], m["hash"], (m["keep"] | F.array_contains(kept, m["first"])).alias("keep")))
     return rows.join(keep, on, "left").withColumn(marks, fixed).drop("chunk_doc", "chunk_th", "chunk_keep")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, made that of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
