@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, line_chunks, packing, quality, token_files
+from . import common, decontaminate, html_text, jaccard, line_chunks, packing, pii, quality, token_files, toxicity, urls
 from .common import table
 
 TOKENIZER_FILES = "public_tokenizers"
@@ -25,6 +25,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    df = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = {k: F.col(k) for k in pii.KINDS}
+    whole = {k: pii.all_spans(k) for k in pii.KINDS}
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return df.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(whole).alias("spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     path = tokenizer_path("word_bpe_49k.json")
@@ -32,6 +41,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packed, path).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls. A page's outcome is the quality label of the document that its url names: /<lang>/<doc_id>."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    _, path = urls.split_url(pages["url"])
+    named = pages.select("page_id", F.try_to_number(F.nullif(F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("long").alias("doc_id"))
+    outcomes = named.join(labels, "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    df = toxicity.score(docs, model)
+    return df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +71,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    df = html_text.extract(table(spark, sf_dir, "pages"))
+    return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that came before."""
     df, _ = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,5 +89,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_packing, op6_decontaminate, op7_jaccard, op9_line_chunks, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_urls, op5_toxicity, op6_decontaminate, op7_jaccard, op8_html, op9_line_chunks, op10_quality)}
 SQL: dict[str, str] = {}
