@@ -1 +1,235 @@
+"""Queries on calibration, evaluation, parsing and export."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom.functions import json_text as J
+from rankloom.functions import scalars as S
+from rankloom.operators import calibrate, context, evaluate, ranking, scoring, splits
+from rankloom.plans import views as V
+from rankloom.plans.panel_queries import FROZEN, FROZEN_SQL, NORMED, SCORED, scored
+from rankloom.plans.profile_queries import STATUSES, statuses
+from rankloom.registry import query
+
+_h = lambda x, d=4: f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
+
+# The search: 200 panels by seeded hash, 10 anchors and more.
+_SAMPLE = "sample AS (SELECT scenario_id, (row_number() OVER (ORDER BY sha256('9:sample:' || scenario_id)) - 1) % 5 AS fold FROM (SELECT DISTINCT scenario_id FROM panel) ORDER BY sha256('9:sample:' || scenario_id) LIMIT 200)"
+_CANDS = "cand(id, static, ins0, sc0, price) AS (VALUES " + ", ".join(f"({i}, {float(s)!r}, {float(n)!r}, {float(c)!r}, {float(p)!r})" for i, (s, n, c, p, _) in enumerate(calibrate.ANCHORS)) + "), w AS (SELECT id, CAST(price AS DOUBLE) AS w_price, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 4.0 / 7.0 AS w_cov, CAST(ins0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_ins, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 3.0 / 7.0 AS w_ded, CAST(sc0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_score FROM cand)"
+SEARCH = f"""{NORMED}, {V.TEACHERS}, {_SAMPLE}, {_CANDS},
+rr AS (SELECT id, fold, n.scenario_id, tariff_id, pos, {_h('(w_cov * n_cov + w_ins * n_ins + w_ded * (1.0 - n_ded) + w_score * n_score) / (w_cov + w_ins + w_ded + w_score) / (1.0 + w_price * n_price)')} AS reward FROM normed n JOIN sample USING (scenario_id) CROSS JOIN w),
+ord AS (SELECT *, row_number() OVER (PARTITION BY id, scenario_id ORDER BY reward DESC, pos) AS place FROM rr),
+lab AS (SELECT o.*, t.rank AS t FROM ord o LEFT JOIN teacher t ON t.scenario_id = o.scenario_id AND t.tariff_id = o.tariff_id),
+hits AS (SELECT id, fold, scenario_id, count(CASE WHEN place = 1 AND t = 1 THEN 1 END) AS top1, count(CASE WHEN place <= 3 AND t IS NOT NULL THEN 1 END) AS top3, 3 + 3 * (count(*) - 3) AS constraints FROM lab GROUP BY 1, 2, 3),
+prs AS (SELECT a.id, a.scenario_id, count(*) AS pairs FROM lab a JOIN lab b ON a.id = b.id AND a.scenario_id = b.scenario_id AND a.t IS NOT NULL AND (b.t IS NULL OR b.t > a.t) AND a.place < b.place GROUP BY 1, 2),
+sums AS (SELECT h.id, h.fold, count(*) AS n, CAST(sum(top1) AS BIGINT) AS top1, CAST(sum(top3) AS BIGINT) AS top3, CAST(sum(coalesce(pairs, 0)) AS BIGINT) AS pairs, CAST(sum(constraints) AS BIGINT) AS constraints FROM hits h LEFT JOIN prs p ON p.id = h.id AND p.scenario_id = h.scenario_id GROUP BY 1, 2)"""
+
+
+def sample(spark, sf):
+    """200 panels as arrays with their fold, and the teachers."""
+    ids = V.panels(spark, sf).select("scenario_id").distinct()
+    h = S.stable_hash(9, "sample", F.col("scenario_id"))
+    chosen = splits.hash_rank(ids.orderBy(h).limit(200), "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
+    panels = scoring.panel_arrays(scoring.norms(V.panels(spark, sf).join(chosen, "scenario_id", "left_semi"))).join(chosen, "scenario_id")
+    return panels, ranking.top_ids(V.teachers(spark, sf))
+
+
+def anchors(spark):
+    return calibrate.candidates(spark, len(calibrate.ANCHORS), 1)
+
+
+@query("candidate_sums", "D10 F7 H3 G14 J31", f"WITH {SEARCH} SELECT * FROM sums")
+def candidate_sums(spark, sf):
+    return calibrate.evaluate(*sample(spark, sf), anchors(spark)).withColumn("fold", F.col("fold").cast("long"))
+
+
+def _distance() -> str:
+    return f"SELECT id, abs(w_cov - 0.4) + abs(w_ins - 0.3) + abs(w_ded - 0.3) + abs(w_score) + 0.25 * abs(ln((w_price + 0.05) / 1.05)) AS distance FROM w"
+
+
+@query("candidate_ranks", "F8 F9 H4 J13", f"WITH {SEARCH}, d AS ({_distance()}), tot AS (SELECT id, sum(n) AS n, sum(top1) AS top1, sum(top3) AS top3, sum(pairs) AS pairs FROM sums GROUP BY 1) SELECT tot.id, CAST(n AS BIGINT) AS n, CAST(top1 AS BIGINT) AS top1, CAST(top3 AS BIGINT) AS top3, CAST(pairs AS BIGINT) AS pairs, {_h('distance')} AS distance, row_number() OVER (ORDER BY top1 DESC, top3 DESC, pairs DESC, distance, tot.id) AS rank FROM tot JOIN d ON d.id = tot.id")
+def candidate_ranks(spark, sf):
+    cands = anchors(spark)
+    df = calibrate.ranked(calibrate.evaluate(*sample(spark, sf), cands), cands)
+    return df.select("id", "n", "top1", "top3", "pairs", S.half_up(F.col("distance")).alias("distance"), "rank")
+
+
+@query("cross_validation", "F10 E12 E13", f"WITH {SEARCH}, d AS ({_distance()}), rest AS (SELECT s.*, distance, sum(top1) OVER x - top1 AS r1, sum(top3) OVER x - top3 AS r3, sum(pairs) OVER x - pairs AS rp FROM sums s JOIN d ON d.id = s.id WINDOW x AS (PARTITION BY s.id)) SELECT fold, id, n, top1, top3, pairs, constraints FROM rest QUALIFY row_number() OVER (PARTITION BY fold ORDER BY r1 DESC, r3 DESC, rp DESC, distance, id) = 1")
+def cross_validation(spark, sf):
+    cands = anchors(spark)
+    df = calibrate.cross_validated(calibrate.evaluate(*sample(spark, sf), cands), cands)
+    return df.withColumn("fold", F.col("fold").cast("long"))
+
+
+@query("calibration", "H6 G13")
+def calibration(spark, sf):
+    """A search over 500 candidates: the ten best."""
+    cands = calibrate.candidates(spark, 500, 17)
+    return calibrate.ranked(calibrate.evaluate(*sample(spark, sf), cands), cands).where("rank <= 10")
+
+
+@query("permutation_control", "H7 G12")
+def permutation_control(spark, sf):
+    panels, _ = sample(spark, sf)
+    cands = calibrate.candidates(spark, 100, 17)
+    sums = calibrate.evaluate(panels, calibrate.permuted(V.panels(spark, sf), 13), cands)
+    return calibrate.control_passes(calibrate.cross_validated(sums, cands), panels)
+
+
+_PICKS = f"""{FROZEN_SQL.replace('scored AS', 'frozen AS')}, {V.TEACHERS},
+base AS (SELECT scenario_id, tariff_id AS base_pick FROM ({{base}}) WHERE rank = 1),
+pick AS (SELECT f.scenario_id, f.tariff_id = t.tariff_id AS hit_a, b.base_pick = t.tariff_id AS hit_b FROM frozen f JOIN teacher t ON t.scenario_id = f.scenario_id AND t.rank = 1 JOIN base b ON b.scenario_id = f.scenario_id WHERE f.rank = 1)"""
+_BASE = f"SELECT scenario_id, tariff_id, row_number() OVER (PARTITION BY scenario_id ORDER BY {_h('(0.4 * n_cov + 0.3 * n_ins + 0.3 * (1.0 - n_ded) + 0.0 * n_score) / 1.0 / (1.0 + 1.0 * n_price)')} DESC, pos) AS rank FROM normed"
+_GROUPS = ["building_type", "construction_class", "roof_type"]
+
+
+def picks(spark, sf):
+    best = lambda weights, name: scoring.recommend(scored(spark, sf, weights)).select("scenario_id", F.col("tariff_id").alias(name))
+    first = V.teachers(spark, sf).where("rank = 1").select("scenario_id", "tariff_id")
+    df = best(FROZEN, "a").join(best(scoring.Weights(), "b"), "scenario_id").join(first, "scenario_id")
+    return df.select("scenario_id", (F.col("a") == F.col("tariff_id")).alias("hit_a"), (F.col("b") == F.col("tariff_id")).alias("hit_b"))
+
+
+@query("subgroups", "E24", f"WITH {_PICKS.format(base=_BASE)}, {V.RISKS}, g AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, hit_a, hit_b FROM pick JOIN risk USING (scenario_id)" for f in _GROUPS) + f"), r AS (SELECT field, value, count(*) AS n, {_h('avg(CAST(hit_a AS DOUBLE))')} AS rate_a, {_h('avg(CAST(hit_b AS DOUBLE))')} AS rate_b FROM g GROUP BY 1, 2) SELECT *, {_h('rate_a - rate_b')} AS delta, n >= 10 AS counts FROM r")
+def subgroups(spark, sf):
+    return evaluate.subgroups(picks(spark, sf).join(V.risks(spark, sf), "scenario_id"), _GROUPS)
+
+
+@query("two_policies", "H8 E20", f"WITH {_PICKS.format(base=_BASE)} SELECT count(*) AS n, {_h('avg(CAST(hit_a AS DOUBLE))')} AS top1_a, {_h('avg(CAST(hit_b AS DOUBLE))')} AS top1_b FROM pick")
+def two_policies(spark, sf):
+    rate = lambda c: S.half_up(F.avg(F.col(c).cast("double")))
+    return picks(spark, sf).agg(F.count(F.lit(1)).alias("n"), rate("hit_a").alias("top1_a"), rate("hit_b").alias("top1_b"))
+
+
+def predictions(spark, sf):
+    """Predicted rankings: the score's own, none for every seventh panel, an unknown first pick for every fifth."""
+    s = scored(spark, sf)
+    ids = s.where("rank <= 3").groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tariff_id"))), lambda x: x["tariff_id"]).alias("ids"))
+    maps = s.groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("rewards"))
+    top = ranking.top_ids(V.teachers(spark, sf)).withColumnRenamed("top3", "teacher")
+    k = F.col("scenario_id")
+    said = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.concat(F.array(F.lit("x")), F.slice("ids", 2, 2))).otherwise(F.col("ids"))
+    return ids.join(maps, "scenario_id").join(top, "scenario_id").withColumn("ids", said)
+
+
+_JUDGED = f"""{SCORED}, {V.TEACHERS}, best AS (SELECT scenario_id, max(reward) AS best_reward FROM scored GROUP BY 1),
+one AS (SELECT s.scenario_id, best_reward, CASE WHEN s.scenario_id % 7 = 0 THEN NULL WHEN s.scenario_id % 5 = 0 THEN 'x' ELSE s.tariff_id END AS pick, CASE WHEN s.scenario_id % 7 <> 0 AND s.scenario_id % 5 <> 0 THEN s.reward END AS pick_reward FROM scored s JOIN best USING (scenario_id) WHERE rank = 1),
+rec AS (SELECT t.scenario_id, count(s.tariff_id) / 3.0 AS recall FROM teacher t LEFT JOIN scored s ON s.scenario_id = t.scenario_id AND s.tariff_id = t.tariff_id AND s.rank <= 3 AND s.scenario_id % 7 <> 0 AND (s.scenario_id % 5 <> 0 OR s.rank > 1) GROUP BY 1),
+judged AS (SELECT o.*, coalesce(pick = t.tariff_id, FALSE) AS hit, recall, nullif(pick_reward, 0) / nullif(best_reward, 0) AS ratio FROM one o JOIN teacher t ON t.scenario_id = o.scenario_id AND t.rank = 1 JOIN rec ON rec.scenario_id = o.scenario_id)"""
+
+
+@query("judged_rows", "J18 D11 J16", f"WITH {_JUDGED} SELECT scenario_id, pick, hit, {_h('recall')} AS recall, pick_reward, best_reward, {_h('ratio')} AS ratio FROM judged")
+def judged_rows(spark, sf):
+    return evaluate.judged(predictions(spark, sf)).select("scenario_id", "pick", "hit", S.half_up(F.col("recall")).alias("recall"), "pick_reward", "best_reward", S.half_up(F.col("ratio")).alias("ratio"))
+
+
+@query("metrics_of_answered", "E16", f"WITH {_JUDGED} SELECT count(*) AS scenarios, count(pick) AS answered, {_h('CAST(count(CASE WHEN pick IS NOT NULL AND hit THEN 1 END) AS DOUBLE) / count(pick)')} AS top1_accuracy, {_h('avg(CASE WHEN pick IS NOT NULL THEN recall END)')} AS top3_recall, {_h('avg(CASE WHEN pick IS NOT NULL THEN ratio END)')} AS reward_ratio FROM judged")
+def metrics_of_answered(spark, sf):
+    return evaluate.of_answered(evaluate.judged(predictions(spark, sf)))
+
+
+@query("metrics_of_all", "E17", f"WITH {_JUDGED} SELECT count(*) AS scenarios, {_h('avg(CAST(hit AS DOUBLE))')} AS top1_accuracy, {_h('avg(recall)')} AS top3_recall, {_h('avg(coalesce(ratio, 0))')} AS reward_ratio, {_h('avg(ratio)')} AS valid_reward_ratio FROM judged")
+def metrics_of_all(spark, sf):
+    return evaluate.of_all(evaluate.judged(predictions(spark, sf)))
+
+
+@query("token_cost", "E16 E21", f"SELECT role, CAST(sum(ceil(length(text) / 3.0)) AS BIGINT) AS tokens_in, CAST(sum(length(text) // 10) AS BIGINT) AS tokens_out, {_h('(sum(ceil(length(text) / 3.0)) / 1e6 * 1.25 + sum(length(text) // 10) / 1e6 * 10.0) / count(*) * 1000')} AS cost_per_1k FROM conversations GROUP BY 1")
+def token_cost(spark, sf):
+    c = V.table(spark, sf, "conversations").select("role", J.token_estimate(F.col("text")).alias("tokens_in"), F.floor(F.length("text") / 10).alias("tokens_out"))
+    return evaluate.token_cost(c, 1.25, 10.0, ["role"])
+
+
+@query("utilisation_cost", "E21", f"WITH s AS (SELECT user_id % 4 AS level, count(*) / 60.0 AS rps FROM events GROUP BY 1) SELECT level, CAST(u AS DOUBLE) AS utilisation, {_h('0.65 / 3.6 / (rps * CAST(u AS DOUBLE))', 5)} AS per_1k FROM s, unnest([0.25, 0.5, 0.75, 1.0]) AS t(u)")
+def utilisation_cost(spark, sf):
+    levels = V.table(spark, sf, "events").groupBy((F.col("user_id") % 4).alias("level")).agg((F.count(F.lit(1)) / 60.0).alias("rps"))
+    df = evaluate.utilisation_cost(levels, 0.65, 1000.0, [0.25, 0.5, 0.75, 1.0])
+    return df.select("level", "utilisation", S.half_up(F.col("per_1k"), 5).alias("per_1k"))
+
+
+def _texts(spark, sf):
+    """Model outputs of several qualities around a ranking."""
+    top = ranking.top_ids(V.teachers(spark, sf))
+    k, target = F.col("scenario_id") % 5, J.ranking_json(F.col("top3"))
+    one = F.concat(F.lit('broken {"tariff_id": "'), F.get("top3", F.lit(0)), F.lit('", "tariff_id":"'), F.get("top3", F.lit(1)), F.lit('"'))
+    alt = F.concat(F.lit('{"recommendations": '), F.to_json("top3"), F.lit("}"))
+    text = F.when(k == 0, target).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), target, F.lit("\n``` done"))).when(k == 2, one).when(k == 3, alt).otherwise("no idea")
+    return top.select("scenario_id", "top3", text.alias("text"))
+
+
+_TOP3 = f"WITH {V.PANELS}, {V.TEACHERS}, t AS (SELECT scenario_id, string_agg(tariff_id, ',' ORDER BY rank) AS top3, string_agg(tariff_id, ',' ORDER BY rank) FILTER (WHERE rank <= 2) AS top2 FROM teacher GROUP BY 1)"
+
+
+@query("parsed_rankings", "I1 I2 I3 I9", f"{_TOP3} SELECT scenario_id, CASE scenario_id % 5 WHEN 2 THEN top2 WHEN 4 THEN '' ELSE top3 END AS lenient, CASE scenario_id % 5 WHEN 2 THEN top2 WHEN 4 THEN '' ELSE top3 END AS ids, scenario_id % 5 = 0 AS strict, scenario_id % 5 IN (0, 3) AS json, scenario_id % 5 = 0 AS valid FROM t")
+def parsed_rankings(spark, sf):
+    strict, checked = J.parse_strict(F.col("text")), J.parse_checked(F.col("text"), F.col("top3"))
+    join = lambda c: F.array_join(c, ",")
+    return _texts(spark, sf).select("scenario_id", join(J.parse_lenient(F.col("text"))).alias("lenient"), join(strict["ids"]).alias("ids"), strict["strict"].alias("strict"), checked["json"].alias("json"), checked["valid"].alias("valid"))
+
+
+@query("ranking_targets", "I4 C12", f"""WITH {V.PANELS}, {V.TEACHERS} SELECT scenario_id, '{{"top_3":[' || string_agg('{{"rank":' || rank || ',"tariff_id":"' || tariff_id || '"}}', ',' ORDER BY rank) || ']}}' AS target FROM teacher GROUP BY 1""")
+def ranking_targets(spark, sf):
+    return ranking.top_ids(V.teachers(spark, sf)).select("scenario_id", J.ranking_json(F.col("top3")).alias("target"))
+
+
+_FIELDS = ["tariff_id", "insurer", "price_annual", "num_coverages"]
+_INSTRUCTION = "Name the best three, best first."
+
+
+def prompts(spark, sf):
+    item = F.struct("pos", *(F.col(f).cast("string").alias(f) if f == "price_annual" else f for f in _FIELDS))
+    panel = V.panels(spark, sf).withColumn("price_annual", F.floor(F.col("price_annual")).cast("long")).groupBy("scenario_id").agg(F.array_sort(F.collect_list(item)).alias("options"))
+    df = panel.join(context.enrich(V.risks(spark, sf)), "scenario_id")
+    lines = F.transform("options", lambda x: J.option_line(x, _FIELDS))
+    return df.select("scenario_id", J.prompt_text(["BUILDING:", F.concat(F.col("building_type"), F.lit(" "), F.col("postal_code")), "", "AVAILABLE TARIFFS:"], lines, _INSTRUCTION).alias("prompt"))
+
+
+@query("prompts", "I5 I13", f"""WITH {V.PANELS}, {V.RISKS}, l AS (SELECT scenario_id, string_agg('{{"tariff_id": "' || tariff_id || '", "insurer": ' || insurer || ', "price_annual": "' || CAST(floor(price_annual) AS BIGINT) || '", "num_coverages": ' || num_coverages || '}}', chr(10) ORDER BY pos) AS lines FROM panel GROUP BY 1)
+SELECT scenario_id, 'BUILDING:' || chr(10) || building_type || ' ' || postal_code || chr(10) || chr(10) || 'AVAILABLE TARIFFS:' || chr(10) || lines || chr(10) || chr(10) || '{_INSTRUCTION}' AS prompt FROM l JOIN risk USING (scenario_id)""")
+def prompt_texts(spark, sf):
+    return prompts(spark, sf)
+
+
+@query("chat_rows", "I6 C12", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
+def chat_rows(spark, sf):
+    df = J.messages(V.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda s, m: s + F.length(m["content"]))
+    return df.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), chars.alias("chars"))
+
+
+@query("completions", "I8 I14", "SELECT conv_id, string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant') AS said, arg_max(text, turn) AS last FROM conversations GROUP BY 1")
+def completions(spark, sf):
+    df = J.messages(V.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    kind = lambda m: F.when(m["role"] == "assistant", "message").otherwise("reasoning")
+    output = F.transform("messages", lambda m: F.struct(kind(m).alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), m["content"].alias("text"))).alias("content")))
+    said = F.nullif(J.output_text(output), F.lit(""))
+    none = F.lit(None).cast("struct<content:string>")
+    return df.select("conv_id", said.alias("said"), J.completion_text(F.lit(None).cast("string"), none, F.col("messages")).alias("last"))
+
+
+@query("reward_rows", "I7 C13 J26", f"WITH {FROZEN_SQL} SELECT scenario_id, count(*) >= 3 AS fine, string_agg(tariff_id || '=' || CAST(CAST(floor(reward * 1e4 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY tariff_id) AS rewards FROM scored GROUP BY 1")
+def reward_rows(spark, sf):
+    """Rows for preference training: rewards of all options, no label."""
+    maps = scored(spark, sf, FROZEN).groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("m"))
+    shown = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1e4 + 0.5).cast("long").cast("string")))
+    return maps.select("scenario_id", (F.cardinality("m") >= 3).alias("fine"), F.array_join(shown, ",").alias("rewards"))
+
+
+@query("response_schema", "J14", f"""WITH {V.PANELS} SELECT scenario_id, '{{"type":"string","enum":[' || string_agg('"' || tariff_id || '"', ',' ORDER BY pos) || ']}}' AS id_schema FROM panel GROUP BY 1""")
+def response_schema(spark, sf):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tariff_id"))), lambda x: x["tariff_id"])
+    return V.panels(spark, sf).groupBy("scenario_id").agg(F.to_json(F.struct(F.lit("string").alias("type"), ids.alias("enum"))).alias("id_schema"))
+
+
+@query("reconciled", "I15", f"{_TOP3} SELECT CASE WHEN scenario_id % 11 = 0 THEN 'missing' WHEN scenario_id % 13 = 0 THEN 'http' WHEN scenario_id % 5 IN (2, 4) THEN 'unparsed' END AS error, count(*) AS n FROM t GROUP BY 1")
+def reconciled(spark, sf):
+    texts = _texts(spark, sf)
+    k = F.col("scenario_id")
+    answers = texts.where(k % 11 != 0).select("scenario_id", "text", F.when(k % 13 == 0, 500).otherwise(200).alias("status"))
+    df = evaluate.reconcile(texts.select("scenario_id"), answers, "scenario_id", "text", "status")
+    return df.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("status_counts", "E8 H10", "WITH s AS (SELECT CASE WHEN c IS NULL THEN 'no_quotes' WHEN c < 3 THEN 'insufficient_quotes' ELSE 'success' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) SELECT " + ", ".join(f"count(CASE WHEN status = '{s}' THEN 1 END) AS {s}" for s in STATUSES) + " FROM s")
+def status_counts(spark, sf):
+    return statuses(spark, sf).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
