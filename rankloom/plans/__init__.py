@@ -1 +1 @@
-
+"""Views of the test data and the registered queries."""

@@ -1 +1 @@
-
+"""Nothing here streams: the engine is batch only."""
