@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, jaccard, line_chunks, packing, pii, quality, token_files, toxicity, urls
+from . import common, decontaminate, html_text, jaccard, line_chunks, packing, pii, quality, sql, token_files, toxicity, urls
 from .common import table
 
 TOKENIZER_FILES = "public_tokenizers"
@@ -63,7 +63,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df, _ = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return df.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), common.sha_join(items).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
+    return df.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), common.sha_join(items).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_urls, op5_toxicity, op6_decontaminate, op7_jaccard, op8_html, op9_line_chunks, op10_quality)}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
