@@ -2,18 +2,23 @@
 
 A text is the set of its word shingles, held as 64-bit hashes. Texts of equal sets are one node. If the sets x and y
 have |x & y| >= t |x | y|, then under any total order of all shingles their prefixes of |x| - ceil(t |x|) + 1 shingles
-share one. A pair is verified only if it shares prefix shingles under each of several orders.
+share one, and the first they share leaves enough after it in both. A pair is verified only if it shares prefix
+shingles under each of several orders.
 
-Orders: by how common a shingle is, then by a hash of its own for each order. How common: counters over all shingles of
-all rows, `COUNTERS` of them, so of a fixed size; only the levels of those far above the mean are told to the
-executors. Any order gives the same links; this one keeps common passages out of prefixes.
+Orders: by how common a shingle is, then by a hash of its own for each order. How common: all shingles of all rows are
+counted by the first 32 bits of their hashes, each range of these in a task; of each run of 256 neighbours the largest
+count, as a power of two, is told to the executors: 2 ** 24 bytes, at every size. Any order gives the same links; this
+one keeps common passages out of prefixes. A shingle among whose neighbours none comes twice has no partner, and isn't
+shuffled.
 
-Links are found in two steps. (1) Nodes that have the same least shingle under a hash are compared with the first node
+Links are found in three steps. (1) Nodes that have the same least shingle under a hash are compared with the first node
 of these, three times over: that ties large groups of near copies together, in as many comparisons as there are nodes.
-(2) Nodes that share a prefix shingle and are not tied yet are paired. Buckets of more than SMALL nodes of several
-components are divided by the prefix shingles of the second order and of the third, which pairs must share as well; of
-what is still large, one node after the other is compared with the rest of its bucket until no bucket holds nodes of
-two components. So every link is found or runs within a component, and no group is paired in full.
+(2) Of buckets of nodes that share a prefix shingle and are of several components, a few nodes are compared with all
+others, TURNS times. (3) What is left is complete: a bucket's nodes outside its largest component are paired with all
+of its other components. If there are more than SMALL of them, the bucket is divided by the prefix shingles of the
+second order and then of the third, which pairs must share as well; of what is still large, one node after the other is
+compared with the rest of its bucket until no bucket holds nodes of two components. So every link is found or runs
+within a component, and no group is paired in full.
 
 Null or empty text, or one without words: n_shingles 0, linked with nothing. Repeated rows are one node. Null doc_id:
 never a component's id unless it has no other. Empty table: empty result. Other columns are not read.
@@ -21,6 +26,9 @@ never a component's id unless it has no other. Empty table: empty result. Other
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +38,11 @@ from . import common
 from .components import components
 from .words import SOLID, Words, mix, shingles
 
-COUNTERS = 1 << 20
-SMALL = 64
+RANGES = 256  # of the counted hashes; each has 2 ** 24 of them
+FLUSH = 4_000_000
+SMALL = 512
+PROBES = 4
+TURNS = 2
 ORDERS = [np.uint64(0x51ED270B35AE1F4D), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
 PIVOTS = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
 BYTES = 6  # of a shingle's hash where sets are compared
@@ -51,12 +62,16 @@ def node_of(own: np.ndarray) -> int:
     return int(mix(np.array([both]))[0].astype(np.int64))
 
 
+def level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[own >> np.uint64(40)]
+
+
 def prefix(own: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set under an order, as many as every linked set must share one of."""
     n = len(own)
     p = n - -(-percent * n // 100) + 1
-    rank = (mix(own ^ ORDERS[order]) >> np.uint64(8)) | (levels[own & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(56))
-    return own[np.argpartition(rank, p - 1)[:p]] if p < n else own
+    rank = (mix(own ^ ORDERS[order]) >> np.uint64(8)) | (level(own, levels).astype(np.uint64) << np.uint64(56))
+    return own[np.argsort(rank, kind="stable")[:p]]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -86,15 +101,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
 
 
+def _counted(tokens: list[np.ndarray]):
+    """(range, counts) of 32-bit hashes: how many there are in each of the range's 256 parts, their low halves, and times."""
+    found, times = np.unique(np.concatenate(tokens), return_counts=True)
+    edges = np.searchsorted(found, np.arange(1 << 16, dtype=np.uint64) << np.uint64(16))
+    edges = np.append(edges, len(found))
+    for r in range(RANGES):
+        parts = edges[256 * r : 256 * r + 257]
+        a, b = parts[0], parts[-1]
+        if a < b:
+            many = zlib.compress(np.minimum(times[a:b], 65535).astype("<u2").tobytes(), 1)
+            yield r, np.diff(parts).astype("<u4").tobytes() + found[a:b].astype("<u2").tobytes() + many
+
+
+def _add(counts: np.ndarray, data: bytes) -> None:
+    parts = np.frombuffer(data, "<u4", 256)
+    n = int(parts.sum())
+    at = (np.repeat(np.arange(256, dtype=np.uint32), parts) << np.uint32(16)) + np.frombuffer(data, "<u2", n, 1024)
+    counts[at] += np.minimum(np.frombuffer(zlib.decompress(data[1024 + 2 * n :]), "<u2"), 65535 - counts[at])
+
+
 def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each text (doc_id, n, node, m0 to m2) and the counters (bucket, times), from one pass."""
+    """A row for each text (doc_id, n, node, m0 to m2) and the shingles' counts (part, counts), from one pass."""
     common.ship(docs.sparkSession)
-    schema = "doc_id long, n long, node long, m0 long, m1 long, m2 long, part int, counters array<long>"
-    kinds = [pa.int64()] * 6 + [pa.int32(), pa.list_(pa.int64())]
+    schema = "doc_id long, n long, node long, m0 long, m1 long, m2 long, part int, counts binary"
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def run(batches):
-        counters, seen = np.zeros(COUNTERS, np.int64), False
+        tokens, held = [], 0
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
@@ -102,49 +140,71 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     if len(own) == 0:
                         rows.append((doc_id, 0, None, None, None, None, None, None))
                         continue
-                    seen = True
                     rows.append((doc_id, len(own), node_of(own), *(int(mix(own ^ s).min().astype(np.int64)) for s in PIVOTS), None, None))
-                    np.add.at(counters, (own & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        for at in range(0, COUNTERS if seen else 0, 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None,) * 6 + (at >> 14, counters[at : at + (1 << 14)]), kinds, strict=True)], names=names)
+                    tokens.append((own >> np.uint64(32)).astype(np.uint32))
+                    held += len(own)
+                yield out(rows)
+                if held >= FLUSH:
+                    yield from (out([(None,) * 6 + x]) for x in _counted(tokens))
+                    tokens, held = [], 0
+        if tokens:
+            yield from (out([(None,) * 6 + x]) for x in _counted(tokens))
 
     both = common.stage(_texts(docs).mapInArrow(run, schema), "measured")
-    buckets = both.where("part IS NOT NULL").select("part", F.posexplode("counters")).where("col > 0")
-    buckets = buckets.groupBy((F.col("part") * (1 << 14) + F.col("pos")).alias("bucket")).agg(F.sum("col").alias("times"))
-    return both.where("part IS NULL").drop("part", "counters"), buckets
-
-
-def _levels(buckets: DataFrame) -> np.ndarray:
-    """How far each counter is above four times the mean, in powers of two; 0 for most."""
-    buckets = common.stage(buckets, "counters")
-    total = buckets.agg(F.sum("times")).first()[0] or 0
-    mean = max(4.0, 4.0 * total / COUNTERS)
-    out = np.zeros(COUNTERS, np.uint8)
-    for bucket, times in buckets.where(F.col("times") > mean).toLocalIterator():  # COUNTERS rows at most
-        out[bucket] = 1 + int(np.log2(times / mean))
+    return both.where("part IS NULL").drop("part", "counts"), both.where("part IS NOT NULL").select("part", "counts")
+
+
+def _levels(counted: DataFrame) -> np.ndarray:
+    """For each run of 256 hashes the largest count's power of two: 0 if none comes twice."""
+
+    def run(batches):
+        now, counts = None, None
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield told(now, counts)
+                    now, counts = part, np.zeros(1 << 24, np.uint16)
+                _add(counts, data.as_py())
+        if now is not None:
+            yield told(now, counts)
+
+    def told(part, counts):
+        most = counts.reshape(-1, 256).max(1)
+        return pa.record_batch([pa.array([part], pa.int32()), pa.array([np.log2(np.maximum(most, 1)).astype(np.uint8).tobytes()])], names=["part", "levels"])
+
+    ordered = counted.repartition("part").sortWithinPartitions("part")
+    out = np.zeros(1 << 24, np.uint8)
+    for part, levels in common.stage(ordered.mapInArrow(run, "part int, levels binary"), "levels").toLocalIterator():  # RANGES rows of 65,536 bytes
+        out[part << 16 : part + 1 << 16] = np.frombuffer(levels, np.uint8)
     return out
 
 
 def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
-    """(token, node, n): the prefix of each set under the first order."""
+    """(token, node, n, reach): the prefix of each set under the first order.
+
+    reach: the largest partner for which this can be the first shared shingle, as those before it are not shared.
+    """
 
     def run(batches):
         seen: set[int] = set()  # nodes of this task
         for batch in batches:
             for part in common.pieces(batch):
-                tokens, nodes, counts, sizes = [], [], [], []
+                tokens, nodes, counts, sizes, reach = [], [], [], [], []
                 for own in sets(common.text_of(part), k):
                     if len(own) and (node := node_of(own)) not in seen:
                         seen.add(node)
-                        tokens.append(prefix(own, 0, levels.value, percent))
+                        first = prefix(own, 0, levels.value, percent)
+                        place = np.flatnonzero(level(first, levels.value) > 0)
+                        tokens.append(first[place])
+                        reach.append((100 * len(own) - (100 + percent) * place) // percent)
                         nodes.append(node)
                         counts.append(len(tokens[-1]))
                         sizes.append(len(own))
                 if tokens:
-                    yield pa.record_batch([signed(np.concatenate(tokens)), np.repeat(np.array(nodes, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)], names=["token", "node", "n"])
+                    yield pa.record_batch([signed(np.concatenate(tokens)), np.repeat(np.array(nodes, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts), np.concatenate(reach).astype(np.int64)], names=["token", "node", "n", "reach"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long")
+    return docs.select("text").mapInArrow(run, "token long, node long, n long, reach long")
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k: int, percent: int) -> DataFrame:
@@ -195,16 +255,32 @@ def _fits(percent: int):
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in one bucket; left, right: key, node, n, comp."""
-    other = right.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    both = left.join(other, "key").where((F.col("comp") != F.col("comp2")) & (F.col("node") != F.col("other")) & _fits(percent))
+    """Pairs of nodes of different components in one bucket; left, right: key, node, n, reach, comp."""
+    other = right.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2"))
+    near = (F.col("comp") != F.col("comp2")) & (F.col("node") != F.col("other")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
+    both = left.join(other, "key").where(near & _fits(percent))
     return both.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n, comp) of buckets that hold nodes of several components, and how many rows their buckets have."""
-    some = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", "rows")
-    return rows.join(some, "key")
+    """Rows (key, node, n, reach, comp) of buckets that hold nodes of several components, with `main`, the bucket's largest
+    component, and `rest`, how many of its nodes are of others."""
+    ends = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("far"))
+    rows = rows.join(ends, "key").where("reach >= least AND n <= far").drop("least", "far")  # others have no partner here
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    some = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return rows.join(some.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest")), "key")
+
+
+def _probes(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a bucket's rows with PROBES of its nodes, picked by a hash: a first try that ties most near copies."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(PROBES * turn + i)).alias("h"), "node", "n", "reach", "comp")).alias(f"p{i}") for i in range(PROBES)]
+    some = mixed.groupBy("key").agg(*picks).select("key", F.explode(F.array(*(f"p{i}" for i in range(PROBES)))).alias("p"))
+    return _pairs(some.select("key", "p.node", "p.n", "p.reach", "p.comp").distinct(), mixed, percent).distinct()
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, found)
 
 
 def _with_components(rows: DataFrame, tied: DataFrame) -> DataFrame:
@@ -214,58 +290,60 @@ def _with_components(rows: DataFrame, tied: DataFrame) -> DataFrame:
 def _rest(rows: DataFrame, own: DataFrame, edges: DataFrame, tied: DataFrame, percent: int) -> list[DataFrame]:
     """Links in buckets that stay large under all orders: one node after the other against the rest of its bucket."""
     found = []
-    rows = common.stage(rows.select("key", "node", "n"), "large")
+    rows = common.stage(rows.select("key", "node", "n", "reach"), "large")
     while True:
-        mixed = common.stage(_mixed(_with_components(rows, tied)).drop("rows"), "large")
+        mixed = common.stage(_mixed(_with_components(rows, tied)).drop("main", "rest"), "large")
         if mixed.isEmpty():
             return found
-        first = mixed.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("f")).select("key", "f.*")
+        first = mixed.groupBy("key").agg(F.min(F.struct("node", "n", "reach", "comp")).alias("f")).select("key", "f.*")
         links = common.stage(_verified(_pairs(first, mixed, percent).distinct(), own, percent), "links")
         found.append(links)
         for more in found:
             edges = edges.unionByName(more)
         tied = components(edges)
-        rows = common.stage(mixed.join(first.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n"), "large")
+        rows = common.stage(mixed.join(first.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "reach"), "large")
 
 
 def near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    texts, buckets = _measured(docs, k)
+    texts, counted = _measured(docs, k)
     nodes = common.stage(texts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in ("m0", "m1", "m2"))), "nodes")
-    levels = spark.sparkContext.broadcast(_levels(buckets))  # COUNTERS bytes
+    levels = spark.sparkContext.broadcast(_levels(counted))  # 16 MB
     posted = common.stage(_prefixes(docs, levels, k, percent), "prefixes")
     shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n").distinct(), "shared")
+    posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n", "reach").distinct(), "shared")
     own = _candidates(docs, nodes, posted.select("node").distinct(), levels, k, percent)
     stars = None
     for m in ("m0", "m1", "m2"):
         first = nodes.groupBy(m).agg(F.min(F.struct("rep", "node", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select(m, F.col("f.node").alias("v"), F.col("f.n").alias("m"))
         star = nodes.select(F.col("node").alias("u"), "n", m).join(first, m).where((F.col("u") != F.col("v")) & _fits(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         stars = star if stars is None else stars.unionByName(star)
-    edges = common.stage(_verified(stars.distinct(), own, percent), "links")
-    tied = components(edges)
+    found = [common.stage(_verified(stars.distinct(), own, percent), "links")]
+    tied = components(found[0])
     rows = common.stage(_mixed(_with_components(posted, tied)), "mixed")
+    for turn in range(TURNS):
+        if rows.isEmpty():
+            break
+        found.append(common.stage(_verified(_probes(rows, turn, percent), own, percent), "links"))
+        tied = components(_all(found))
+        rows = common.stage(_mixed(_with_components(posted, tied)), "mixed")
     pairs = None
     for column in ("pb", "pc", None):
-        small = rows.where(F.col("rows") <= SMALL)
-        more = _pairs(small, small, percent)
+        small = rows.where(F.col("rest") <= SMALL)
+        more = _pairs(small.where("comp <> main"), small, percent)
         pairs = more if pairs is None else pairs.unionByName(more)
-        rows = rows.where(F.col("rows") > SMALL).drop("rows")
+        rows = rows.where(F.col("rest") > SMALL).drop("main", "rest")
         if column is None or rows.isEmpty():
             break
         # Large buckets are divided by the prefix shingles of the next order.
         pieces = F.transform(F.sequence(F.lit(0), (F.length(column) / BYTES).cast("int") - 1), lambda i: F.substring(column, i * BYTES + 1, F.lit(BYTES)))
         finer = rows.join(own.select("node", F.explode(pieces).alias("t")), "node")
-        rows = common.stage(_mixed(finer.select(F.xxhash64("key", "t").alias("key"), "node", "n", "comp")), "mixed")
-    found = [edges, common.stage(_verified(pairs.distinct(), own, percent), "links")]
+        rows = common.stage(_mixed(finer.select(F.xxhash64("key", "t").alias("key"), "node", "n", "reach", "comp")), "mixed")
+    found.append(common.stage(_verified(pairs.distinct(), own, percent), "links"))
     if not rows.isEmpty():
-        so_far = found[0].unionByName(found[1])
-        found += _rest(rows, own, so_far, components(so_far), percent)
-    all_edges = found[0]
-    for more in found[1:]:
-        all_edges = all_edges.unionByName(more)
-    labelled = _with_components(nodes.select("node", "rep"), components(all_edges))
+        found += _rest(rows, own, _all(found), components(_all(found)), percent)
+    labelled = _with_components(nodes.select("node", "rep"), components(_all(found)))
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labelled = labelled.join(least, "comp").select("node", "component_id")
     out = texts.select("doc_id", "n", "node").join(labelled, "node", "left")
