@@ -231,3 +231,8 @@ def path_policy(spark, sf):
     k = F.col("p_partkey")
     path = F.when(k % 4 == 0, "data/train.jsonl").when(k % 4 == 1, "evaluation/golden.jsonl").when(k % 4 == 2, "../escape.json").otherwise("Cache/quote.json")
     return V.table(spark, sf, "part").select("p_partkey", audit.allowed_path(path).alias("allowed"))
+
+
+@query("golden_names", "D12 J1", "SELECT o_orderkey AS scenario_id, o_orderstatus AS teacher_top3 FROM orders")
+def golden_names(spark, sf):
+    return joins.golden_names(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("fable_top3")))
