@@ -29,7 +29,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"[^\x00-\x20,;\"'()<>\[\]{}|*#$%&!?]++"
+_BREAK = r"\x00-\x20,;\"'()<>\[\]{}|*#$%&!?"
+#: Tokens that hold a digit or an @.
+TOKEN = rf"(?<![^{_BREAK}])[^{_BREAK}0-9@]*+[0-9@][^{_BREAK}]*+"
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -94,7 +96,7 @@ def shape(what: Column) -> Column:
 def _contexts(text: Column) -> Column:
     """Tokens that may be identifiers, with the word before each: before, what, start, end."""
     end = F.regexp_replace  # trailing stops belong to the sentence
-    tokens = F.filter(matches(text, TOKEN), lambda m: m["what"].rlike(r"[0-9@]") & (F.length(m["what"]) >= 4))
+    tokens = F.filter(matches(text, TOKEN), lambda m: F.length(m["what"]) >= 4)
 
     def one(m):
         what = end(m["what"], r"[.:=-]+$", "")
