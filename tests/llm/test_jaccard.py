@@ -96,7 +96,9 @@ def test_keep_first_and_nothing(spark):
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     up = {}
