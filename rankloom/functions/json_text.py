@@ -75,11 +75,6 @@ def ranking_json(ids: Column) -> Column:
     return F.when(fine, F.to_json(F.struct(items.alias("top_3"))))
 
 
-def spaced(json: Column) -> Column:
-    """Compact JSON of scalars with a space after each comma and colon outside strings, as prompts have it."""
-    return F.regexp_replace(json, r'([,:])(?=(?:[^"\\]|\\.)*(?:"(?:[^"\\]|\\.)*"(?:[^"\\])*)*$)', "$1 ")
-
-
 def prompt_text(header: list[Column | str], options: Column, footer: str) -> Column:
     """Header lines, one line for each option, a blank line and the instruction."""
     head = [F.lit(h) if isinstance(h, str) else h for h in header]
