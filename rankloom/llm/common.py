@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 _shipped: dict[str, str] = {}
 _own_dir: dict[str, str] = {}
+#: Folders of staged tables, in order.
+made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +41,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
+    made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {os.path.dirname(p) for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
+    """Deletes folders of staged tables, but none that `needed` reads."""
+    read = needed.inputFiles()
+    for folder in folders:
+        if not any(folder.split("://")[-1] in f for f in read):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
