@@ -30,7 +30,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard), ("benchmark decontamination", benchmark), ("packing", pack)]
+_left: list[str] = []
+
+
+def _tidy(stage):
+    """First deletes what the stage before has staged for itself: its result has been written and reread."""
+
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.forget(spark, _left, docs)
+        n = len(common.made)
+        out = stage(spark, docs, sf_dir)
+        _left[:] = common.made[n:]
+        return out
+
+    return staged
+
+
+STAGES = [(name, _tidy(f)) for name, f in (("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard), ("benchmark decontamination", benchmark), ("packing", pack))]
 
 #: SQL can't express line chunks by content, nor packing; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
