@@ -14,7 +14,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    df, _ = line_chunks.dedup_lines(docs)
+    df, _ = line_chunks.dedup_lines(docs, candidates=line_chunks.pairs_of)
     return line_chunks.counted(df.select(*docs.columns))
 
 

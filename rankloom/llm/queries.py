@@ -78,8 +78,8 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that came before."""
-    df, _ = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents without the passages of two lines or more that came before."""
+    df, _ = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), candidates=line_chunks.pairs_of)
     return df.select("doc_id", "n_lines", "n_removed", "text")
 
 

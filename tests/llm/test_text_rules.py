@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from rankloom.llm import decontaminate, line_chunks, packing, quality, token_files, tokens
-from rankloom.llm.queries import op6_decontaminate, tokenizer_path
+from rankloom.llm.queries import op6_decontaminate, op9_line_chunks, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string, n_words string"
@@ -229,3 +229,40 @@ def test_line_chunks_shift_resistant(spark):
     for r in df.collect():
         hashes[r.i].add(r.c["hash"])
     assert len(set.intersection(*hashes.values())) >= len(hashes[0]) - 1
+
+
+@pytest.mark.parametrize("bits", [62, 4])
+def test_every_repeated_passage_goes(spark, bits):
+    """Passages of two lines and more between different neighbours: all lines, against first-come removal in Python."""
+    data, wanted = [], []
+    for k in (2, 3, 4, 6, 10, 20):
+        for n in range(5):
+            shared = [f"passage {k} {n} line {j} with ten words or so in it all" for j in range(k)]
+            if n == 4:
+                shared.insert(1, " ")
+            wanted += shared
+            for copy in range(2):
+                i = 1000 * copy + 10 * k + n
+                data.append((i, "\n".join([*own_lines(i), *shared, *own_lines(i + 5000)]), "s", "x"))
+    data += [(3000, "r\nr\nr\nr", "s", "x"), (3001, "q\nr\nr\nr", "s", "x"), (3002, "u\nv\nu\nv", "s", "x"), (3003, "one line\n\n", "s", "x"), (3004, "one line", "s", "x"), (3005, None, "s", "x"), (3006, "", "s", "x"), (None, "u\nw", "s", "x"), (3007, "x\nu\nw", "s", "x")]
+    seen, want = {}, {}
+    for i, text, *_ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        at, gone = [j for j, x in enumerate(lines) if x.strip(" ")], set()
+        for a, b in zip(at, at[1:]):
+            first = seen.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
+            if first != (i, a, b):
+                gone |= set(range(a + (first[0] == i and first[2] == a), b + 1))
+        want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone) if text else text, len(gone)
+    df, names = line_chunks.dedup_lines(spark.createDataFrame(data, SCHEMA), bits=bits, candidates=line_chunks.pairs_of)
+    got = {r.doc_id: (r.text, r[names["n_removed"]]) for r in df.collect()}
+    assert got == want
+    assert Counter(x for t, _ in got.values() for x in (t or "").split("\n") if x.startswith("passage")) == Counter(x for x in wanted if x != " ")
+    assert got[3000][0] == "r\nr" and got[3001][0] == "q" and got[3002][0] == "u\nv" and got[3007][0] == "x"
+
+
+def test_line_query_removes_short_passages(spark, tmp_path):
+    data = [(i, "\n".join([f"own {i}", "first shared line", "second shared line", f"own too {i}"])) for i in range(30)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in op9_line_chunks(spark, str(tmp_path)).collect()}
+    assert got == {i: (4, 2 if i else 0) for i in range(30)}
