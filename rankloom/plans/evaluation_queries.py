@@ -30,9 +30,18 @@ def sample(spark, sf):
     """200 panels as arrays with their fold, and the teachers."""
     ids = V.panels(spark, sf).select("scenario_id").distinct()
     h = S.stable_hash(9, "sample", F.col("scenario_id"))
-    chosen = splits.hash_rank(ids.orderBy(h).limit(200), "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
-    panels = scoring.panel_arrays(scoring.norms(V.panels(spark, sf).join(chosen, "scenario_id", "left_semi"))).join(chosen, "scenario_id")
-    return panels, ranking.top_ids(V.teachers(spark, sf))
+    return folded(spark, sf, ids.orderBy(h).limit(200))
+
+
+def folded(spark, sf, ids=None):
+    """All panels, or those of ids, as arrays with their fold, and the teachers."""
+    panels = V.panels(spark, sf)
+    if ids is not None:
+        panels = panels.join(ids, "scenario_id", "left_semi")
+    else:
+        ids = panels.select("scenario_id").distinct()
+    chosen = splits.hash_rank(ids, "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
+    return scoring.panel_arrays(scoring.norms(panels)).join(chosen, "scenario_id"), ranking.top_ids(V.teachers(spark, sf))
 
 
 def anchors(spark):
@@ -41,7 +50,16 @@ def anchors(spark):
 
 @query("candidate_sums", "D10 F7 H3 G14 J31", f"WITH {SEARCH} SELECT * FROM sums")
 def candidate_sums(spark, sf):
-    return calibrate.evaluate(*sample(spark, sf), anchors(spark)).withColumn("fold", F.col("fold").cast("long"))
+    return _sums(spark, *sample(spark, sf))
+
+
+@query("candidate_sums_all", "D10 F7 H3 G14 J31")
+def candidate_sums_all(spark, sf):
+    return _sums(spark, *folded(spark, sf))
+
+
+def _sums(spark, panels, teachers):
+    return calibrate.evaluate(panels, teachers, anchors(spark)).withColumn("fold", F.col("fold").cast("long"))
 
 
 def _distance() -> str:
@@ -50,28 +68,46 @@ def _distance() -> str:
 
 @query("candidate_ranks", "F8 F9 H4 J13", f"WITH {SEARCH}, d AS ({_distance()}), tot AS (SELECT id, sum(n) AS n, sum(top1) AS top1, sum(top3) AS top3, sum(pairs) AS pairs FROM sums GROUP BY 1) SELECT tot.id, CAST(n AS BIGINT) AS n, CAST(top1 AS BIGINT) AS top1, CAST(top3 AS BIGINT) AS top3, CAST(pairs AS BIGINT) AS pairs, {_h('distance')} AS distance, row_number() OVER (ORDER BY top1 DESC, top3 DESC, pairs DESC, distance, tot.id) AS rank FROM tot JOIN d ON d.id = tot.id")
 def candidate_ranks(spark, sf):
+    return _ranks(spark, *sample(spark, sf))
+
+
+@query("candidate_ranks_all", "F8 F9 H4 J13")
+def candidate_ranks_all(spark, sf):
+    return _ranks(spark, *folded(spark, sf))
+
+
+def _ranks(spark, panels, teachers):
     cands = anchors(spark)
-    df = calibrate.ranked(calibrate.evaluate(*sample(spark, sf), cands), cands)
+    df = calibrate.ranked(calibrate.evaluate(panels, teachers, cands), cands)
     return df.select("id", "n", "top1", "top3", "pairs", S.half_up(F.col("distance")).alias("distance"), "rank")
 
 
 @query("cross_validation", "F10 E12 E13", f"WITH {SEARCH}, d AS ({_distance()}), rest AS (SELECT s.*, distance, sum(top1) OVER x - top1 AS r1, sum(top3) OVER x - top3 AS r3, sum(pairs) OVER x - pairs AS rp FROM sums s JOIN d ON d.id = s.id WINDOW x AS (PARTITION BY s.id)) SELECT fold, id, n, top1, top3, pairs, constraints FROM rest QUALIFY row_number() OVER (PARTITION BY fold ORDER BY r1 DESC, r3 DESC, rp DESC, distance, id) = 1")
 def cross_validation(spark, sf):
+    return _validated(spark, *sample(spark, sf))
+
+
+@query("cross_validation_all", "F10 E12 E13")
+def cross_validation_all(spark, sf):
+    return _validated(spark, *folded(spark, sf))
+
+
+def _validated(spark, panels, teachers):
     cands = anchors(spark)
-    df = calibrate.cross_validated(calibrate.evaluate(*sample(spark, sf), cands), cands)
+    df = calibrate.cross_validated(calibrate.evaluate(panels, teachers, cands), cands)
     return df.withColumn("fold", F.col("fold").cast("long"))
 
 
 @query("calibration", "H6 G13")
 def calibration(spark, sf):
-    """A search over 500 candidates: the ten best."""
+    """A search over 500 candidates and all panels: the ten best."""
     cands = calibrate.candidates(spark, 500, 17)
-    return calibrate.ranked(calibrate.evaluate(*sample(spark, sf), cands), cands).where("rank <= 10")
+    return calibrate.ranked(calibrate.evaluate(*folded(spark, sf), cands), cands).where("rank <= 10")
 
 
 @query("permutation_control", "H7 G12")
 def permutation_control(spark, sf):
-    panels, _ = sample(spark, sf)
+    panels, _ = folded(spark, sf)
     cands = calibrate.candidates(spark, 100, 17)
     sums = calibrate.evaluate(panels, calibrate.permuted(V.panels(spark, sf), 13), cands)
     return calibrate.control_passes(calibrate.cross_validated(sums, cands), panels)
