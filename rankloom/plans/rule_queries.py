@@ -210,6 +210,16 @@ def merged_shards(spark, sf):
     return joins.merge_shards(shards, manifest, "o_orderkey", "source_index").withColumn("shard", F.floor(F.col("source_index") / 100))
 
 
+@query("merged_shards_all", "D8 F13 J27")
+def merged_shards_all(spark, sf):
+    from rankloom.operators import splits
+
+    o = V.table(spark, sf, "orders").select("o_orderkey")
+    manifest = splits.numbered(o, "o_orderkey", "source_index")
+    shards = [o.where(f"o_orderkey % 2 = {k}") for k in range(2)]
+    return joins.merge_shards(shards, manifest, "o_orderkey", "source_index").withColumn("shard", F.floor(F.col("source_index") / 100))
+
+
 @query("resumed", "D9", "SELECT o_orderkey, sum(CAST(o_orderkey % 7 AS BIGINT)) OVER (ORDER BY o_orderkey) AS spent FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) QUALIFY spent <= 1000")
 def resumed(spark, sf):
     """New rows that a budget of 1000 pays for, in order."""

@@ -31,3 +31,9 @@ def test_search_takes_all_panels(spark, name):
 def test_calibration_takes_all_panels(spark):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").count().where("count >= 3").count()
     assert n > 200 and {r.n for r in QUERIES["calibration"](spark, SF).collect()} == {n}
+
+
+def test_shards_of_all_orders(spark):
+    got = QUERIES["merged_shards_all"](spark, "/root/testdata/sf0.01")
+    assert got.columns == ["o_orderkey", "source_index", "shard"] and got.where("o_orderkey >= 2000").count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(uncapped("/root/testdata/sf0.01", "merged_shards", " WHERE o_orderkey < 2000"))
