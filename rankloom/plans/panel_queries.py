@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import scalars as S
-from rankloom.operators import ranking, scoring
+from rankloom.operators import ranking, scoring, splits
 from rankloom.plans import views as V
 from rankloom.registry import query
 
@@ -105,6 +105,13 @@ def rescored_ids(spark, sf):
     return best.withColumn("new_id", F.concat(F.lit("wg-"), F.lpad(n.cast("string"), 3, "0")))
 
 
+@query("rescored_ids_all", "G17 J9 J7")
+def rescored_ids_all(spark, sf):
+    """All panels, scored again and numbered."""
+    best = scored(spark, sf).where("rank = 1").select("scenario_id", "tariff_id", "reward")
+    return splits.numbered(best, "scenario_id", "n").withColumn("new_id", F.format_string("wg-%03d", "n")).drop("n")
+
+
 @query("utility_map", "F16 I11 I12", f"""WITH {SCORED}, e AS (SELECT scenario_id, min(reward) AS lo, max(reward) AS hi FROM scored GROUP BY 1)
 SELECT s.scenario_id, s.tariff_id, floor((CASE WHEN hi = lo THEN 1.0 ELSE (reward - lo) / (hi - lo) END) * 1e6 + 0.5) / 1e6 AS utility FROM scored s JOIN e USING (scenario_id)""")
 def utility_map(spark, sf):

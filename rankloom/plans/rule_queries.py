@@ -95,6 +95,15 @@ def stable_hashes(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", S.stable_hash(42, "output", F.col("o_orderkey")).alias("h")).orderBy("h").limit(500)
 
 
+@query("stable_hashes_all", "B13 F11 G10")
+def stable_hashes_all(spark, sf):
+    """All rows with their hash and place in the seeded order."""
+    from rankloom.operators import splits
+
+    o = V.table(spark, sf, "orders").select("o_orderkey", S.stable_hash(42, "output", F.col("o_orderkey")).alias("h"))
+    return splits.hash_rank(o, "o_orderkey", 42, "output")
+
+
 @query("sanitized_errors", "B18 B19", r"""SELECT event_id, substr('GET https://x.example/a?[redacted] ID=[redacted]&pa=[redacted] ' || event_type || CASE WHEN event_id % 3 = 0 THEN ' Timed Out' ELSE '' END, 1, 500) AS message, event_id % 3 = 0 AS transient FROM events""")
 def sanitized_errors(spark, sf):
     raw = F.concat(F.lit("GET https://x.example/a?k="), F.col("event_id").cast("string"), F.lit(" ID="), F.col("user_id").cast("string"), F.lit("&pa=secret "), F.col("event_type"), F.when(F.col("event_id") % 3 == 0, " Timed Out").otherwise(""))

@@ -37,3 +37,14 @@ def test_shards_of_all_orders(spark):
     got = QUERIES["merged_shards_all"](spark, "/root/testdata/sf0.01")
     assert got.columns == ["o_orderkey", "source_index", "shard"] and got.where("o_orderkey >= 2000").count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(uncapped("/root/testdata/sf0.01", "merged_shards", " WHERE o_orderkey < 2000"))
+
+
+def test_hashes_and_ids_of_all_rows(spark):
+    want = sorted(uncapped(SF, "stable_hashes", " LIMIT 500"), key=lambda r: r[1])
+    got = QUERIES["stable_hashes_all"](spark, SF).collect()
+    assert len(want) > 500 and sorted((r.place, r.o_orderkey, r.h) for r in got) == [(i, *r) for i, r in enumerate(want)]
+    # The SQL's lpad cuts places from 1000 on; the ids must not.
+    want = sorted(uncapped(SF, "rescored_ids", " LIMIT 200"))
+    got = sorted(map(tuple, QUERIES["rescored_ids_all"](spark, SF).collect()))
+    assert len(want) > 1000 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == [f"wg-{i:03d}" for i in range(len(want))]
