@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import stable_hash
 
+#: Rows that the sequential method takes.
+MOST = 100_000
+
 
 def numbered(df: DataFrame, order: str, name: str, rows: int = 1 << 16) -> DataFrame:
     """Appends the 0-based place in an order, without a window over all rows: ranges first, then counts of ranges."""
@@ -67,7 +70,7 @@ def folds(df: DataFrame, key: str, labels: list[str], k: int, seed: int) -> Data
     return hash_rank(df, key, seed, "fold", labels).withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
 
 
-def iterative(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str, most: int = 100_000) -> DataFrame:
+def iterative(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str, most: int = MOST) -> DataFrame:
     """key, split by the greedy exact method: the rarest label's rows first, each to the group that lacks it most.
 
     Sequential, so one task; at most `most` rows, above which `systematic` is the method to use.

@@ -48,3 +48,16 @@ def test_hashes_and_ids_of_all_rows(spark):
     got = sorted(map(tuple, QUERIES["rescored_ids_all"](spark, SF).collect()))
     assert len(want) > 1000 and [r[:3] for r in got] == [r[:3] for r in want]
     assert [r[3] for r in got] == [f"wg-{i:03d}" for i in range(len(want))]
+
+
+def test_iterative_split_of_all_risks(spark, monkeypatch):
+    from rankloom.operators import splits
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    sizes = {"calibration": n // 10, "sft": n // 4, "grpo": n - n // 10 - n // 4}
+    got = QUERIES["iterative_split"](spark, sf).collect()
+    assert n > 1500 and len({r.scenario_id for r in got}) == len(got) == n
+    assert {s: sum(r.split == s for r in got) for s in sizes} == sizes
+    monkeypatch.setattr(splits, "MOST", n - 1)
+    assert QUERIES["iterative_split"](spark, sf).exceptAll(QUERIES["systematic_split"](spark, sf)).count() == 0
