@@ -179,6 +179,13 @@ def length_audit(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", n.alias("n"), (n + 500 > 2000).alias("over")).orderBy(F.desc("n"), "doc_id").limit(5)
 
 
+@query("length_summary", "C14 J19")
+def length_summary(spark, sf):
+    """Percentiles of all texts' lengths and how many are over the limit, one row."""
+    n = V.table(spark, sf, "documents").select(F.length("text").cast("long").alias("n"))
+    return n.agg(F.count("n").alias("n_texts"), *(F.percentile("n", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max("n").alias("longest"), F.count_if(F.col("n") + 500 > 2000).alias("n_over"))
+
+
 @query("label_join", "D1 D2", "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN (SELECT DISTINCT doc_id, quality, toxic FROM labels) l ON d.doc_id = l.doc_id WHERE l.doc_id NOT IN (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)")
 def label_join(spark, sf):
     labels = V.table(spark, sf, "labels")

@@ -61,3 +61,12 @@ def test_iterative_split_of_all_risks(spark, monkeypatch):
     assert {s: sum(r.split == s for r in got) for s in sizes} == sizes
     monkeypatch.setattr(splits, "MOST", n - 1)
     assert QUERIES["iterative_split"](spark, sf).exceptAll(QUERIES["systematic_split"](spark, sf)).count() == 0
+
+
+def test_length_summary(spark):
+    import numpy as np
+
+    n = [len(r[0]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r[0] is not None]
+    row = QUERIES["length_summary"](spark, SF).first()
+    assert (row.n_texts, row.longest, row.n_over) == (len(n), max(n), sum(x > 1500 for x in n))
+    assert [row.p50, row.p90, row.p95, row.p99] == pytest.approx(list(np.percentile(n, [50, 90, 95, 99])))
