@@ -1,46 +1,16 @@
-"""Connected components by alternating large-star and small-star steps; no link or component leaves the executors.
-
-Links that are few (FEW, a checked count) are tied in one task instead, by union and find: the same result.
-"""
+"""Connected components by alternating large-star and small-star steps; no link or component leaves the executors."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-FEW = 100_000
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    def run(batches):
-        up: dict[int, int] = {}
-
-        def top(x):
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y] if y in up else y
-                x = y
-            return x
-
-        for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = top(u), top(v)
-                up[max(a, b)] = min(a, b)
-        pairs = np.array([(x, y) for x in list(up) if (y := top(x)) != x], np.int64).reshape(-1, 2)
-        yield pa.record_batch([pairs[:, 0].copy(), pairs[:, 1].copy()], names=["node", "label"])
-
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. edges: u > v. Neighbours larger (large) or not larger (small) than a node are tied to its least neighbour."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     tied = both.join(least, "u")
     if large:
@@ -50,17 +20,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return new.where("u <> v").distinct()
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each u has one v, which isn't a u itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))).alias("e"))
+    roles = ends.groupBy("e.x").agg(F.sum("e.low").alias("low"), F.max("e.top").alias("top"))
+    return roles.where("low > 1 OR low = 1 AND top = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of `edges` (u, v) other than the least of its component, that least one."""
-    common.ship(edges.sparkSession)
-    edges = common.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
-    if edges.count() <= FEW:
-        return common.stage(_in_one_task(edges), "components")
-    edges = edges.distinct()
-    state = None
-    while True:
+    edges = common.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _stars_only(edges):
         edges = common.stage(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = tuple(now)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -3,31 +3,32 @@
 A text is the set of its word shingles, held as 64-bit hashes. Texts of equal sets are one node. If the sets x and y
 have |x & y| >= t |x | y|, then under any total order of all shingles their prefixes of |x| - ceil(t |x|) + 1 shingles
 share one, and the first they share leaves enough after it in both. A pair is verified only if it shares prefix
-shingles under each of several orders.
+shingles under each of three orders.
 
 Orders: by how common a shingle is, then by a hash of its own for each order. How common: all shingles of all rows are
 counted by the first 32 bits of their hashes, each range of these in a task; of each run of 256 neighbours the largest
 count, as a power of two, is told to the executors: 2 ** 24 bytes, at every size. Any order gives the same links; this
-one keeps common passages out of prefixes. A shingle among whose neighbours none comes twice has no partner, and isn't
-shuffled.
-
-Links are found in three steps. (1) Nodes that have the same least shingle under a hash are compared with the first node
-of these, three times over: that ties large groups of near copies together, in as many comparisons as there are nodes.
-(2) Of buckets of nodes that share a prefix shingle and are of several components, a few nodes are compared with all
-others, TURNS times. (3) What is left is complete: a bucket's nodes outside its largest component are paired with all
-of its other components. If there are more than SMALL of them, the bucket is divided by the prefix shingles of the
-second order and then of the third, which pairs must share as well; of what is still large, one node after the other is
-compared with the rest of its bucket until no bucket holds nodes of two components. So every link is found or runs
-within a component, and no group is paired in full.
-
-Null or empty text, or one without words: n_shingles 0, linked with nothing. Repeated rows are one node. Null doc_id:
-never a component's id unless it has no other. Empty table: empty result. Other columns are not read.
+one keeps common passages out of prefixes, the less the more different shingles fall into each run. A shingle among
+whose neighbours none comes twice has no partner, and isn't shuffled.
+
+Nodes that share a prefix shingle of the first order are a bucket. A bucket is compared in blocks: some of its nodes,
+the left ones, meet all of its nodes, each block of left ones with each block of all in a step of its own, of bounded
+size. There the prefixes of the second and the third order are intersected, and what shares both is verified. No pair
+is a row: a block gives only as many links as tie what its links tie. Buckets of the same nodes are compared once.
+(1) Under three more orders, by hash alone, a prefix of one shingle gives buckets that most near copies of a group
+share; PICKS nodes of each are its left ones. That ties large groups in as many comparisons as there are nodes. (2) In
+the buckets of the first order's whole prefix, all nodes outside the bucket's largest component are left ones: every
+link is found or runs within a component.
+
+Null or empty text, or one without words: n_shingles 0, linked with nothing. Very long texts: one set each, in a block
+of its own if it must. Repeated rows are one node. Null doc_id: never a component's id unless it has no other. Empty
+table: empty result. Other columns are not read; keep_first gives them back, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,12 @@ from .words import SOLID, Words, mix, shingles
 
 RANGES = 256  # of the counted hashes; each has 2 ** 24 of them
 FLUSH = 4_000_000
-SMALL = 512
-PROBES = 4
-TURNS = 2
+PICKS = 8
+ROWS, SHINGLES = 2048, 400_000  # of a block
+DENSE = 8  # rows of a block that hold a shingle, from which it is a column of a matrix
+LEAST = ["m0", "m1", "m2"]
 ORDERS = [np.uint64(0x51ED270B35AE1F4D), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
 PIVOTS = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)]
-BYTES = 6  # of a shingle's hash where sets are compared
 
 
 def sets(texts: pa.Array, k: int):
@@ -66,39 +67,24 @@ def level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[own >> np.uint64(40)]
 
 
-def prefix(own: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set under an order, as many as every linked set must share one of."""
-    n = len(own)
-    p = n - -(-percent * n // 100) + 1
+def prefix_size(n: int, percent: int) -> int:
+    """As many first shingles as every linked set must share one of."""
+    return n - -(-percent * n // 100) + 1
+
+
+def ranked(own: np.ndarray, order: int, levels: np.ndarray) -> np.ndarray:
+    """A set's shingles under an order."""
     rank = (mix(own ^ ORDERS[order]) >> np.uint64(8)) | (level(own, levels).astype(np.uint64) << np.uint64(56))
-    return own[np.argsort(rank, kind="stable")[:p]]
+    return own[np.argsort(rank, kind="stable")]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _short(own: np.ndarray) -> bytes:
-    """Sorted 6-byte hashes."""
-    top = np.sort(own & np.uint64((1 << 8 * BYTES) - 1))
-    return top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :BYTES] = part
-    return out.view("<u8").ravel()
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int((a[at] == b).sum())
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _counted(tokens: list[np.ndarray]):
@@ -122,10 +108,10 @@ def _add(counts: np.ndarray, data: bytes) -> None:
 
 
 def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each text (doc_id, n, node, m0 to m2) and the shingles' counts (part, counts), from one pass."""
+    """A row for each text (doc_id, th, n, node, m0 to m2) and the shingles' counts (part, counts), from one pass."""
     common.ship(docs.sparkSession)
-    schema = "doc_id long, n long, node long, m0 long, m1 long, m2 long, part int, counts binary"
-    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+    schema = "doc_id long, th long, n long, node long, m0 long, m1 long, m2 long, part int, counts binary"
+    kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def out(rows):
@@ -136,19 +122,19 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
-                for doc_id, own in zip(part.column(0).to_pylist(), sets(common.text_of(part), k), strict=True):
+                for doc_id, th, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets(common.text_of(part), k), strict=True):
                     if len(own) == 0:
-                        rows.append((doc_id, 0, None, None, None, None, None, None))
+                        rows.append((doc_id, th, 0, None, None, None, None, None, None))
                         continue
-                    rows.append((doc_id, len(own), node_of(own), *(int(mix(own ^ s).min().astype(np.int64)) for s in PIVOTS), None, None))
+                    rows.append((doc_id, th, len(own), node_of(own), *(int(mix(own ^ s).min().astype(np.int64)) for s in PIVOTS), None, None))
                     tokens.append((own >> np.uint64(32)).astype(np.uint32))
                     held += len(own)
                 yield out(rows)
                 if held >= FLUSH:
-                    yield from (out([(None,) * 6 + x]) for x in _counted(tokens))
+                    yield from (out([(None,) * 7 + x]) for x in _counted(tokens))
                     tokens, held = [], 0
         if tokens:
-            yield from (out([(None,) * 6 + x]) for x in _counted(tokens))
+            yield from (out([(None,) * 7 + x]) for x in _counted(tokens))
 
     both = common.stage(_texts(docs).mapInArrow(run, schema), "measured")
     return both.where("part IS NULL").drop("part", "counts"), both.where("part IS NOT NULL").select("part", "counts")
@@ -194,7 +180,7 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
                 for own in sets(common.text_of(part), k):
                     if len(own) and (node := node_of(own)) not in seen:
                         seen.add(node)
-                        first = prefix(own, 0, levels.value, percent)
+                        first = ranked(own, 0, levels.value)[: prefix_size(len(own), percent)]
                         place = np.flatnonzero(level(first, levels.value) > 0)
                         tokens.append(first[place])
                         reach.append((100 * len(own) - (100 + percent) * place) // percent)
@@ -208,150 +194,204 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k: int, percent: int) -> DataFrame:
-    """(node, n, own, pb, pc): the sets of the wanted nodes, each from one row, and their other prefixes."""
-    few = wanted.join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep")
-    texts = _texts(docs).join(few, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
+    """(node, n, m0, m1, m2, own, pc): the sets of the wanted nodes, each from one row, in the second order, so that they
+    begin with that order's prefix, and their prefixes under the third order."""
+    few = wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST)
+    rows = _texts(docs)
+    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
-                for want, own in zip(part.column(0).to_pylist(), sets(common.text_of(part, "text"), k), strict=True):
+                heads = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
+                for (want, *least), own in zip(heads, sets(common.text_of(part, "text"), k), strict=True):
                     if len(own) and node_of(own) == want:
-                        pb, pc = (_short(prefix(own, j, levels.value, percent)) for j in (1, 2))
-                        rows.append((want, len(own), _short(own), pb, pc))
+                        third = ranked(own, 2, levels.value)[: prefix_size(len(own), percent)]
+                        rows.append((want, len(own), *least, ranked(own, 1, levels.value).tobytes(), third.tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "own", "pb", "pc"])
-
-    return common.stage(texts.mapInArrow(run, "node long, n long, own binary, pb binary, pc binary").dropDuplicates(["node"]), "sets")
-
-
-def _verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that share prefix shingles under the other orders and are similar enough."""
-    side = lambda c: own.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("pb", "pc", "own")))
-
-    def run(batches):
-        for batch in batches:
-            u, v, out = batch.column("u").to_pylist(), batch.column("v").to_pylist(), []
-            columns = [batch.column(f"{c}_{x}") for x in ("pb", "pc", "own") for c in "uv"]
-            for i in range(batch.num_rows):
-                b0, b1, c0, c1, x, y = (_long(c[i].as_py()) for c in columns)
-                if np.isin(b0, b1).any() and np.isin(c0, c1).any():
-                    both = _common(x, y)
-                    out.append(100 * both >= percent * (len(x) + len(y) - both))
-                else:
-                    out.append(False)
-            keep = np.flatnonzero(np.array(out, bool))
-            yield pa.record_batch([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
-
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", *(f"{c}_{x}" for c in "uv" for x in ("pb", "pc", "own")))
-    return both.mapInArrow(run, "u long, v long")
-
-
-def _fits(percent: int):
-    """Whether sizes n and m can be similar enough."""
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in one bucket; left, right: key, node, n, reach, comp."""
-    other = right.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2"))
-    near = (F.col("comp") != F.col("comp2")) & (F.col("node") != F.col("other")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
-    both = left.join(other, "key").where(near & _fits(percent))
-    return both.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n, reach, comp) of buckets that hold nodes of several components, with `main`, the bucket's largest
-    component, and `rest`, how many of its nodes are of others."""
-    ends = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("far"))
-    rows = rows.join(ends, "key").where("reach >= least AND n <= far").drop("least", "far")  # others have no partner here
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    some = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return rows.join(some.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("rest")), "key")
-
-
-def _probes(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's rows with PROBES of its nodes, picked by a hash: a first try that ties most near copies."""
-    picks = [F.min(F.struct(F.xxhash64("node", F.lit(PROBES * turn + i)).alias("h"), "node", "n", "reach", "comp")).alias(f"p{i}") for i in range(PROBES)]
-    some = mixed.groupBy("key").agg(*picks).select("key", F.explode(F.array(*(f"p{i}" for i in range(PROBES)))).alias("p"))
-    return _pairs(some.select("key", "p.node", "p.n", "p.reach", "p.comp").distinct(), mixed, percent).distinct()
+                    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", *LEAST, "own", "pc"])
+
+    schema = "node long, n long, m0 long, m1 long, m2 long, own binary, pc binary"
+    return common.stage(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+
+
+def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share: a product of matrices where an element is in many sets, else pair by pair."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    row, col = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (left, right))
+    _, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    p, q = at[: len(x)], at[len(x) :]
+    n = int(at.max()) + 1
+    cp, cq = np.bincount(p, minlength=n), np.bincount(q, minlength=n)
+    shared = (cp > 0) & (cq > 0)
+    many = np.flatnonzero(shared & (cp + cq > DENSE))
+    place = np.full(n, -1)
+    place[many] = np.arange(len(many))
+    for a in range(0, len(many), 1024):
+        sides = []
+        for token, line, size in ((p, row, len(left)), (q, col, len(right))):
+            on = (place[token] >= a) & (place[token] < a + 1024)
+            side = np.zeros((size, min(1024, len(many) - a)), np.float32)
+            side[line[on], place[token[on]] - a] = 1
+            sides.append(side)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    some = shared & (place < 0)
+    on_p, on_q = np.flatnonzero(some[p]), np.flatnonzero(some[q])
+    if len(on_p):
+        on_p = on_p[np.argsort(p[on_p], kind="stable")]
+        times = cp[q[on_q]]
+        first = np.searchsorted(p[on_p], q[on_q])
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = row[on_p[np.repeat(first, times) + step]] * len(right) + np.repeat(col[on_q], times)
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+    return out
 
 
-def _all(found: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, found)
+def _links(node, n, reach, comp, lefts, rights, own, third, percent: int) -> list[tuple[int, int]]:
+    """Links between the left and right rows of a block, as few as tie the same nodes; (node, least node tied to it)."""
+    l, r = np.flatnonzero(lefts), np.flatnonzero(rights)  # noqa: E741
+    if not len(l) or not len(r):
+        return []
+    ok = (comp[l][:, None] != comp[r]) & (n[r] <= reach[l][:, None]) & (n[l][:, None] <= reach[r])
+    ok &= (percent * n[r] <= 100 * n[l][:, None]) & (percent * n[l][:, None] <= 100 * n[r])
+    second = [x[: prefix_size(len(x), percent)] for x in own]
+    for prefixes in (second, third):
+        if ok.any():
+            # Rows without a candidate need no further look.
+            l, r, ok = l[ok.any(1)], r[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]  # noqa: E741
+            ok &= _overlap([prefixes[i] for i in l], [prefixes[i] for i in r]) > 0
+    if not ok.any():
+        return []
+    l, r, ok = l[ok.any(1)], r[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]  # noqa: E741
+    both = _overlap([own[i] for i in l], [own[i] for i in r])
+    ok &= 100 * both >= percent * (n[l][:, None] + n[r] - both)
+    label, most = node.copy(), np.iinfo(np.int64).max
+    while True:
+        before = label.copy()
+        label[l] = np.minimum(label[l], np.where(ok, label[r], most).min(1))
+        label[r] = np.minimum(label[r], np.where(ok, label[l][:, None], most).min(0))
+        if (label == before).all():
+            on = label != node
+            return list(zip(node[on].tolist(), label[on].tolist(), strict=True))
 
 
-def _with_components(rows: DataFrame, tied: DataFrame) -> DataFrame:
-    return rows.join(tied.select(F.col("node"), F.col("label")), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit numbers of each binary value, without a copy."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [data[a:b].view("<u8") for a, b in zip(at, at[1:], strict=False)]
 
 
-def _rest(rows: DataFrame, own: DataFrame, edges: DataFrame, tied: DataFrame, percent: int) -> list[DataFrame]:
-    """Links in buckets that stay large under all orders: one node after the other against the rest of its bucket."""
-    found = []
-    rows = common.stage(rows.select("key", "node", "n", "reach"), "large")
-    while True:
-        mixed = common.stage(_mixed(_with_components(rows, tied)).drop("main", "rest"), "large")
-        if mixed.isEmpty():
-            return found
-        first = mixed.groupBy("key").agg(F.min(F.struct("node", "n", "reach", "comp")).alias("f")).select("key", "f.*")
-        links = common.stage(_verified(_pairs(first, mixed, percent).distinct(), own, percent), "links")
-        found.append(links)
-        for more in found:
-            edges = edges.unionByName(more)
-        tied = components(edges)
-        rows = common.stage(mixed.join(first.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "reach"), "large")
+def _compared(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the left rows and all rows of each bucket; rows: key, node, n, reach, comp, left.
 
+    A bucket's left rows and all its rows are dealt to blocks of at most about ROWS rows and SHINGLES shingles, and each
+    block of left rows meets each block of rows in a task of its own.
+    """
+    count = lambda c, w: F.greatest(F.lit(1), F.ceil(c / ROWS), F.ceil(w / SHINGLES)).cast("int")
+    lefts = F.col("left").cast("long")
+    sizes = rows.groupBy("key").agg(count(F.sum(lefts), F.sum(lefts * F.col("n"))).alias("nl"), count(F.count(F.lit(1)), F.sum("n")).alias("nr"), F.sum(lefts).alias("some"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    dealt = rows.join(sizes.where("some > 0 AND c0 <> c1").drop("some", "c0", "c1"), "key")
+    dealt = dealt.withColumns({"i": F.when(F.col("left"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("nl"))).otherwise(-1).cast("int"), "j": F.pmod(F.xxhash64("node", F.lit(2)), F.col("nr")).cast("int")})
+    block = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    as_left = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda b: block(F.col("i"), b)))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda a: block(a, F.col("j")))
+    both = F.array_distinct(F.concat(F.coalesce(as_left, F.array().cast("array<struct<a:int,b:int>>")), as_right))
+    dealt = dealt.select("key", "node", "n", "reach", "comp", "i", "j", F.explode(both).alias("at"))
+    dealt = dealt.select("key", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "node", "n", "reach", "comp", (F.col("i") == F.col("at.a")).alias("l"), (F.col("j") == F.col("at.b")).alias("r"))
+    dealt = dealt.join(own.select("node", "own", "pc"), "node").select("key", "a", "b", "node", "n", "reach", "comp", "l", "r", "own", "pc")
 
-def near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach) for each row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if held is None or held.num_rows == 0:
+                continue
+            key, a, b, node, n, reach, comp, lefts, rights = (held.column(c).to_numpy(zero_copy_only=False) for c in range(9))
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+            edges = [0, *edges.tolist()] + ([held.num_rows] if batch is None else [])
+            own, third, found = _arrays(held.column(9)), _arrays(held.column(10)), []
+            for x, y in zip(edges, edges[1:], strict=False):
+                s = slice(x, y)
+                found += _links(node[s], n[s], reach[s], comp[s], lefts[s], rights[s], own[s], third[s], percent)
+            if found:
+                yield pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+            held = held.slice(edges[-1])  # its last block may go on
+
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long").distinct()
+
+
+def _signature() -> list:
+    """Equal for buckets of the same nodes (and, but for a hash collision, of no others), which are compared once."""
+    return [F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", F.lit(3))), F.bit_xor(F.xxhash64("node", F.lit(4)))).alias("same")]
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Buckets of one signature as one; rows: same, node, n, reach, comp, left."""
+    rows = rows.groupBy(F.col("same").alias("key"), "node").agg(F.first("n").alias("n"), F.max("reach").alias("reach"), F.first("comp").alias("comp"), F.max("left").alias("left"))
+    return common.stage(rows, "buckets")
+
+
+def _stars(own: DataFrame, percent: int) -> DataFrame:
+    """Buckets of nodes with the same first shingle under a hash; PICKS of each, chosen by hashes, are its left rows."""
+    rows = own.select("node", "n", F.explode(F.array(*LEAST)).alias("key"))
+    picks = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(10 + i)).alias("h"), "node"))["node"] for i in range(PICKS)))
+    some = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), picks.alias("picks"), *_signature()).where("c > 1").drop("c")
+    reach = F.floor(100 * F.col("n") / percent).cast("long")
+    return _merged(rows.join(some, "key").select("same", "node", "n", reach.alias("reach"), F.col("node").alias("comp"), F.array_contains("picks", F.col("node")).alias("left")))
+
+
+def _open(posted: DataFrame, tied: DataFrame) -> DataFrame:
+    """Buckets of the first order's prefix that hold several components; rows outside the largest of them are left rows."""
+    sizes = tied.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    tied = tied.join(sizes, "label")
+    tied = tied.unionByName(sizes.select(F.col("label").alias("node"), "label", "size"))
+    rows = posted.join(tied, "node", "left").select("key", "node", "n", "reach", F.coalesce("label", "node").alias("comp"), F.coalesce("size", F.lit(0)).alias("size"))
+    stats = rows.groupBy("key").agg(*_signature(), F.min("n").alias("least"), F.max("reach").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
+    rows = rows.join(stats.where("c0 <> c1").drop("c0", "c1"), "key").where("reach >= least AND n <= far")  # others have no partner here
+    return _merged(rows.select("same", "node", "n", "reach", "comp", (F.col("comp") != F.col("main")).alias("left")))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, node) of each row, and (node, comp, least): the component of each node, with its least doc_id."""
     texts, counted = _measured(docs, k)
-    nodes = common.stage(texts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in ("m0", "m1", "m2"))), "nodes")
-    levels = spark.sparkContext.broadcast(_levels(counted))  # 16 MB
+    first = F.min(F.struct("doc_id", "th")).alias("rep")
+    nodes = common.stage(texts.where("n > 0").groupBy("node").agg(first, F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in LEAST)), "nodes")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(counted))  # 16 MB
     posted = common.stage(_prefixes(docs, levels, k, percent), "prefixes")
     shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n", "reach").distinct(), "shared")
     own = _candidates(docs, nodes, posted.select("node").distinct(), levels, k, percent)
-    stars = None
-    for m in ("m0", "m1", "m2"):
-        first = nodes.groupBy(m).agg(F.min(F.struct("rep", "node", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select(m, F.col("f.node").alias("v"), F.col("f.n").alias("m"))
-        star = nodes.select(F.col("node").alias("u"), "n", m).join(first, m).where((F.col("u") != F.col("v")) & _fits(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        stars = star if stars is None else stars.unionByName(star)
-    found = [common.stage(_verified(stars.distinct(), own, percent), "links")]
-    tied = components(found[0])
-    rows = common.stage(_mixed(_with_components(posted, tied)), "mixed")
-    for turn in range(TURNS):
-        if rows.isEmpty():
-            break
-        found.append(common.stage(_verified(_probes(rows, turn, percent), own, percent), "links"))
-        tied = components(_all(found))
-        rows = common.stage(_mixed(_with_components(posted, tied)), "mixed")
-    pairs = None
-    for column in ("pb", "pc", None):
-        small = rows.where(F.col("rest") <= SMALL)
-        more = _pairs(small.where("comp <> main"), small, percent)
-        pairs = more if pairs is None else pairs.unionByName(more)
-        rows = rows.where(F.col("rest") > SMALL).drop("main", "rest")
-        if column is None or rows.isEmpty():
-            break
-        # Large buckets are divided by the prefix shingles of the next order.
-        pieces = F.transform(F.sequence(F.lit(0), (F.length(column) / BYTES).cast("int") - 1), lambda i: F.substring(column, i * BYTES + 1, F.lit(BYTES)))
-        finer = rows.join(own.select("node", F.explode(pieces).alias("t")), "node")
-        rows = common.stage(_mixed(finer.select(F.xxhash64("key", "t").alias("key"), "node", "n", "reach", "comp")), "mixed")
-    found.append(common.stage(_verified(pairs.distinct(), own, percent), "links"))
-    if not rows.isEmpty():
-        found += _rest(rows, own, _all(found), components(_all(found)), percent)
-    labelled = _with_components(nodes.select("node", "rep"), components(_all(found)))
-    least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labelled = labelled.join(least, "comp").select("node", "component_id")
-    out = texts.select("doc_id", "n", "node").join(labelled, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component: that of its least doc_id; rows of one doc_id are one document, those without one stay."""
-    kept = near_copies(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    few = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
-    return few.unionByName(docs.where("doc_id IS NULL")) if docs.schema["doc_id"].nullable else few
+    tied = components(_compared(_stars(own, percent), own, percent))
+    more = _compared(_open(posted, tied), own, percent)
+    tied = components(more.unionByName(tied.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    labelled = nodes.select("node", "least").join(tied, "node", "left").select("node", "least", F.coalesce("label", "node").alias("comp"))
+    least = labelled.groupBy("comp").agg(F.min("least").alias("least"))
+    return texts, labelled.drop("least").join(least, "comp")
+
+
+def near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach) for each row of `docs` (doc_id, text)."""
+    texts, labelled = _grouped(docs, k, percent)
+    out = texts.join(labelled, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component, that of its least doc_id (null: last), then text hash; and all rows without a shingle."""
+    texts, labelled = _grouped(docs, k, percent)
+    rows = texts.where("n > 0").join(labelled, "node")
+    own_id, own_th = (common.fresh(docs, c) for c in ("kept_id", "kept_th"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))).alias("f")
+    kept = rows.groupBy("comp").agg(first).select(F.col("f.doc_id").alias(own_id), F.col("f.th").alias(own_th))
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    on = docs["doc_id"].cast("long").eqNullSafe(kept[own_id]) & (th == kept[own_th])
+    chosen = docs.where(worded).join(kept, on).dropDuplicates([own_id, own_th]).select(*docs.columns)
+    return chosen.unionByName(docs.where(~worded))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rankloom.llm import components, jaccard
@@ -71,9 +72,10 @@ def planted(seed):
     return [*data, (5000, None), (None, "no id at all here"), (None, data[0][1]), data[1], data[1], (5001, "É\té    x")]
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 64), (2, 1), (3, 3)])
-def test_all_links(spark, monkeypatch, seed, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize(("seed", "rows", "picks"), [(1, 2048, 8), (2, 1, 1), (3, 3, 2)])
+def test_all_links(spark, monkeypatch, seed, rows, picks):
+    monkeypatch.setattr(jaccard, "ROWS", rows)
+    monkeypatch.setattr(jaccard, "PICKS", picks)
     data = planted(seed)
     docs = spark.createDataFrame([(d, t, 1) for d, t in data], SCHEMA)
     got = sorted(map(tuple, jaccard.near_copies(docs).collect()), key=str)
@@ -96,9 +98,39 @@ def test_keep_first_and_nothing(spark):
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "FEW", few)
+@pytest.mark.parametrize("dense", [0, 3, 1000])
+def test_overlap(monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    r = np.random.default_rng(4)
+    left, right = ([np.unique(r.integers(0, 60, k)).astype(np.uint64) for k in r.integers(1, 40, n)] for n in (30, 17))
+    assert jaccard._overlap(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+
+
+def test_unlinked_group(spark, monkeypatch):
+    """A large group of texts that share prefix shingles and have few links, in blocks."""
+    monkeypatch.setattr(jaccard, "ROWS", 16)
+    r = random.Random(9)
+    base, data = [f"b{i}" for i in range(60)], []
+    for i in range(120):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            own[r.randrange(60)] = f"x{i % 90}"
+        data.append((i, " ".join(own)))
+    docs = spark.createDataFrame([(d, t, 1) for d, t in data], SCHEMA)
+    assert sorted(map(tuple, jaccard.near_copies(docs).collect())) == sorted(brute(data))
+
+
+def test_keep_first_by_text(spark):
+    """Rows of one doc_id with different texts, and copies without one."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    data = [(1, a), (1, b), (2, b), (None, a), (None, " ".join(f"c{i}" for i in range(30))), (None, " ".join(f"c{i}" for i in range(30))), (3, ""), (3, None), (4, a), (4, a)]
+    docs = spark.createDataFrame([(d, t, "k", t) for d, t in data], "doc_id long, text string, kept_id string, kept_th string")
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, data[4][1]), (3, ""), (3, None)], key=str)
+
+
+def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     up = {}
