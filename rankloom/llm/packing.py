@@ -1,14 +1,16 @@
 """Packing by multiway Karmarkar-Karp differencing (operator 3).
 
-Texts become ids; an id list longer than a sequence gives full sequences, and the rest of each, cut into pieces of at
-most `piece` ids, is packed in groups of about `group` sequences: every piece is a partition into k windows of which
-one is filled, the two partitions with the largest imbalance are merged again and again, the fullest windows of one
-with the emptiest of the other, until one partition is left: k near-equal windows. k is the least that could hold the
-ids and rises until no window exceeds its capacity. Groups are formed as rows pass by, so nothing is shuffled and
-memory is bounded by a group.
-
-Null or empty text: one piece that holds the end id. Repeated rows and doc_ids are packed one by one. Empty table:
-empty result. Any other column is not read. A sequence's padding (up to `length`, none at a power of two) isn't stored.
+Texts become ids; an id list longer than a sequence gives full sequences, and the rest of each, a whole text where it is
+no longer than a sequence, is packed in groups of about `group` sequences: every piece is a partition into k windows of
+which one is filled, the two partitions with the largest imbalance are merged again and again, the fullest windows of
+one with the emptiest of the other, until one partition is left: k near-equal windows. k is the least that could hold the
+ids and rises while windows exceed their capacity by more than `spare` of the group's ids. What is over then is cut off
+the windows' largest pieces and fills the emptiest windows, so few texts are cut. Groups are formed as rows pass by, so
+nothing is shuffled and memory is bounded by a group.
+
+Null or empty text: one piece that holds the end id. Very long texts: mostly full sequences. Repeated rows, doc_ids and
+null doc_ids are packed one by one. Equal sizes: in order of arrival. Empty table: empty result. Any other column is not
+read. A sequence's padding (up to `length`, none at a power of two) isn't stored.
 """
 
 from __future__ import annotations
@@ -62,19 +64,46 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """The window of each size and their count, the least tried that exceeds no capacity."""
+def windows(sizes: np.ndarray, capacity: int, spare: float = 0.0) -> tuple[np.ndarray, int]:
+    """The window of each size and their count, the least tried of which at most `spare` of all is over the capacities."""
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         at = difference(sizes, k)
-        worst = np.bincount(at, sizes, k).max()
-        if worst <= capacity:
+        over = np.maximum(np.bincount(at, sizes, k) - capacity, 0).sum()
+        if over <= spare * sizes.sum():
             return at, k
-        k = min(len(sizes), k + max(1, int(k * (worst / capacity - 1) / 2)))
+        k = min(len(sizes), k + max(1, int(over) // capacity))
+
+
+def settled(rows: list[tuple], at: np.ndarray, k: int, capacity: int, width: int) -> list[tuple]:
+    """(piece, window): what is over a window's capacity is cut off its largest pieces and put where most room is.
+
+    A piece: doc_id, start, length, doc_tokens, ids.
+    """
+    fill = np.bincount(at, [r[2] for r in rows], k).astype(np.int64)
+    part = lambda row, a, n: (row[0], row[1] + a, n, row[3], row[4][a * width : (a + n) * width])
+    out, tails = [], []
+    for i in sorted(range(len(rows)), key=lambda i: (-rows[i][2], i)):
+        row, w = rows[i], int(at[i])
+        n = int(min(max(fill[w] - capacity, 0), row[2]))
+        if n:
+            fill[w] -= n
+            tails.append(part(row, row[2] - n, n))
+        if n < row[2]:
+            out.append((part(row, 0, row[2] - n) if n else row, w))
+    for row in sorted(tails, key=lambda r: -r[2]):
+        done = 0
+        while done < row[2]:
+            w = int(fill.argmin())
+            n = int(min(row[2] - done, capacity - fill[w]))
+            out.append((part(row, done, n), w))
+            fill[w] += n
+            done += n
+    return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, piece: int = 512, group: int = 96) -> DataFrame:
-    """A row for each piece (SCHEMA): ids as packed integers of `tokens.id_type`."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, group: int = 96, spare: float = 0.005, ordinary: bool = False) -> DataFrame:
+    """A row for each piece (SCHEMA): ids as packed integers of `tokens.id_type`; ordinary: see `tokens`."""
     common.ship(docs.sparkSession)
     dtype = tokens.id_type(tokenizer)
     width = np.dtype(dtype).itemsize
@@ -82,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
     kinds = [pa.int64()] * 6 + [pa.binary()]
 
     def run(batches):
-        encode, end = tokens.encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        encode, end = tokens.encoder(tokenizer, dtype, ordinary), np.array([end_id], dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rest, held = [], 0
 
@@ -90,10 +119,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def close(rows, sequence):
-            at, k = windows(np.array([r[2] for r in rows]), length)
+            at, k = windows(np.array([r[2] for r in rows]), length, spare)
             fill = [0] * k
             done = []
-            for row, w in zip(rows, at.tolist(), strict=True):
+            for row, w in settled(rows, at, k, length, width):
                 done.append((*row[:4], sequence + w, fill[w], row[4]))
                 fill[w] += row[2]
             return sorted(done, key=lambda r: r[4:6]), sequence + k
@@ -108,12 +137,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, p
                     for at in range(0, cut, length):
                         full.append((doc_id, at, length, n, sequence, 0, ids[at * width : (at + length) * width]))
                         sequence += 1
-                    parts = -(-(n - cut) // piece)
-                    edges = [cut + (n - cut) * j // parts for j in range(parts + 1)] if parts else []
-                    for a, b in zip(edges, edges[1:], strict=False):
-                        rest.append((doc_id, a, b - a, n, ids[a * width : b * width]))
-                        held += b - a
-                        if held >= group * length - piece:
+                    if cut < n:
+                        rest.append((doc_id, cut, n - cut, n, ids[cut * width :]))
+                        held += n - cut
+                        if held >= (group - 1) * length:
                             rows, sequence = close(rest, sequence)
                             yield out(rows)
                             rest, held = [], 0

@@ -78,8 +78,11 @@ class _Shard:
         self.fs.move(self.own + "d", self.path + ".docs")
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, length: int = 2048, rows: int = 64) -> DataFrame:
-    """Writes the files and returns one row for each (MANIFEST); `tokenizer`: a path that all executors can open."""
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, length: int = 2048, rows: int = 64, ordinary: bool = False) -> DataFrame:
+    """Writes the files and returns one row for each (MANIFEST); `tokenizer`: a path that all executors can open.
+
+    ordinary: special tokens' strings in a text are plain text, not those tokens.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     dtype = tokens.id_type(tokenizer)
@@ -90,7 +93,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     def write(batches):
         fs, top = pafs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (pafs.LocalFileSystem(), out_dir)
         shard = TaskContext.get().partitionId()
-        encode, end, file = tokens.encoder(tokenizer, dtype), np.array([end_id], dtype).tobytes(), None
+        encode, end, file = tokens.encoder(tokenizer, dtype, ordinary), np.array([end_id], dtype).tobytes(), None
         for batch in batches:
             for part in common.pieces(batch):
                 if file is None:

@@ -1,8 +1,10 @@
 """Token ids of texts, by the tokenizers library, as packed little-endian integers.
 
 Byte-level and word-end BPE merge inside one pre-token only, so a text may be cut before every single space that is
-followed by something else than white space, and each unit encoded once and kept. Units are encoded by the library;
-a bounded number of them is kept in each worker.
+followed by something else than white space, and each unit encoded once and kept. A unit is cut further behind letters
+of which the vocabulary's own normalizer and pre-tokenizer say that a pre-token ends there, whichever mark follows.
+Units are encoded by the library; a bounded number of them is kept in each worker. A text that holds the string of a
+special token is encoded whole, as the library does: the string becomes that token, or, if `ordinary`, plain text.
 """
 
 from __future__ import annotations
@@ -15,19 +17,17 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 KEEP = 1_600_000
-_kept: dict[tuple[str, str], "Encoder"] = {}
+_kept: dict[tuple[str, str, bool], "Encoder"] = {}
 _odd = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
 _cut = re.compile(r" (?=\S)")
-_letter, _mark = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
-#: Where a pre-token surely ends: between a letter and a mark or line feed, and after a single line feed.
-_inner = re.compile(rf"(?<=[{_letter}])(?=[{_mark}\n])|(?<=\S\n)(?=[{_letter}])")
+_MARKS = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["\n"]
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, ordinary: bool = False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = ordinary
     return t
 
 
@@ -36,11 +36,33 @@ def id_type(path: str) -> str:
     return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def _ends_after(tokenizer, letter: str) -> bool:
+    """Whether a pre-token ends between the letter and any mark, and each side is normalized alone as it is together."""
+    norm = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    split, left = tokenizer.pre_tokenizer.pre_tokenize_str, norm("x" + letter)
+    for mark in _MARKS:
+        both = norm(f"x{letter}{mark}x")
+        if both != left + norm(mark + "x") or not any(at[0] == len(left) for _, at in split(both)):
+            # A line feed may be white space that is dropped: then the next pre-token begins after it.
+            if mark != "\n" or both != left + norm(mark + "x") or len(left) not in {at[1] for _, at in split(both)}:
+                return False
+    return True
+
+
+def _inner(tokenizer) -> re.Pattern:
+    """Where a pre-token surely ends: between such a letter and a mark or line feed, and after a single line feed."""
+    safe = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and _ends_after(tokenizer, c))
+    marks = re.escape("".join(_MARKS))
+    return re.compile(rf"(?<=[{safe}])(?=[{marks}])|(?<=\S\n)(?=[{safe}])") if safe else re.compile(r"(?!)")
+
+
 class Encoder:
     """dtype: how ids are packed."""
 
-    def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.code = _tokenizer(path), {"<u2": "H", "<u4": "I"}[dtype]
+    def __init__(self, path: str, dtype: str, ordinary: bool = False):
+        self.tokenizer, self.code = _tokenizer(path, ordinary), {"<u2": "H", "<u4": "I"}[dtype]
+        self.inner = _inner(self.tokenizer)
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of parts, and of units that have a space before them.
         self.parts: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
@@ -53,7 +75,7 @@ class Encoder:
 
     def _learn(self, new: set[str], heads: set[str]) -> None:
         """Keeps the ids of units and of the texts' heads. A part with a space before it is a unit itself."""
-        cut = {u: _inner.split(u) for u in new if not u.isalpha()}
+        cut = {u: self.inner.split(u) for u in new if not u.isalpha()}
         plain = new.difference(cut)
         plain.update(ps[0] for ps in cut.values())
         self._encode(list(plain.difference(self.units)), self.units, " ")
@@ -74,6 +96,11 @@ class Encoder:
                 gc.enable()
 
     def _packed(self, texts: list[str]) -> list[bytes]:
+        whole = {t: b"" for t in texts if any(x in t for x in self.special)}
+        if whole:
+            self._encode(list(whole), whole)
+            others = iter(self._packed([t for t in texts if t not in whole]))
+            return [whole[t] if t in whole else next(others) for t in texts]
         if len(self.units) > KEEP or len(self.parts) > KEEP:
             self.units.clear()
             self.parts.clear()
@@ -89,8 +116,8 @@ class Encoder:
         return [b"".join(ids_of) for ids_of in found]
 
 
-def encoder(path: str, dtype: str) -> Encoder:
+def encoder(path: str, dtype: str, ordinary: bool = False) -> Encoder:
     """One for each worker and vocabulary."""
-    if (path, dtype) not in _kept:
-        _kept[path, dtype] = Encoder(path, dtype)
-    return _kept[path, dtype]
+    if (path, dtype, ordinary) not in _kept:
+        _kept[path, dtype, ordinary] = Encoder(path, dtype, ordinary)
+    return _kept[path, dtype, ordinary]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rankloom.llm import tokens
+from tokenizers import Tokenizer
+
 from rankloom.llm.queries import tokenizer_path
 
 from .test_jaccard import brute
@@ -43,7 +44,7 @@ def test_stages(spark, tmp_path):
         elif k == 3:
             assert set(after) == {i for (i, _), (_, hit, _) in zip(before, contaminated(before, items), strict=True) if not hit}
         else:
-            t = tokens._tokenizer(tokenizer_path("word_bpe_49k.json"))
+            t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
             got = {}
             for r in out.collect():
                 got.setdefault(r.doc_id, []).append((r.start, r.ids))

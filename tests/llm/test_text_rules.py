@@ -6,11 +6,13 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from rankloom.llm import decontaminate, line_chunks, packing, quality, token_files, tokens
+from rankloom.llm import decontaminate, line_chunks, packing, quality, token_files
 from rankloom.llm.queries import op6_decontaminate, op9_line_chunks, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -34,8 +36,13 @@ def rows(spark):
     return [(r[0], r[1], r[2], "x") for r in docs] + [(None if i is None else 10_000 + i, *rest) for i, *rest in ODD]
 
 
+@lru_cache
+def plain(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text, end):
-    return tokens._tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end]
+    return plain(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -92,6 +99,25 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+def test_packing_keeps_texts_whole():
+    """Only what is over a capacity is cut, and the pieces are those of the texts."""
+    r = np.random.default_rng(8)
+    rows = [(i, 0, int(n), int(n), bytes(r.integers(0, 256, 2 * n, np.uint8))) for i, n in enumerate(np.minimum(r.lognormal(6.3, 0.9, 300).astype(int) + 1, 2047))]
+    sizes = np.array([x[2] for x in rows])
+    at, k = packing.windows(sizes, 2048, 0.005)
+    out = packing.settled(rows, at, k, 2048, 2)
+    fill = np.bincount([w for _, w in out], [x[2] for x, _ in out], k)
+    assert fill.max() <= 2048 and sizes.sum() / (2048 * k) > 0.97
+    whole = defaultdict(bytes)
+    for (i, start, n, total, ids), _ in sorted(out, key=lambda x: x[0][:2]):
+        assert len(whole[i]) == 2 * start and len(ids) == 2 * n and total == sizes[i]
+        whole[i] += ids
+    assert [whole[i] for i in range(300)] == [x[4] for x in rows]
+    assert len(out) - len(rows) < 60
+    at, k = packing.windows(sizes, 2048)
+    assert np.bincount(at, sizes, k).max() <= 2048
+
+
 @pytest.mark.parametrize("k", [1, 2, 5, 17])
 def test_differencing_is_near_equal(k):
     sizes = np.random.default_rng(k).integers(1, 300, 400)
