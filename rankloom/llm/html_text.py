@@ -1,16 +1,23 @@
 """Main text of pages, with removal of site templates (operator 8).
 
-A page is parsed into blocks of text. Navigation, page headers, footers, asides, forms, scripts, notices, adverts and
-comments are left out by element, role and class names; what remains of the articles (else of main, else of the body)
-is the page's content. Each element of it is a subtree with a hash of its tags and texts. Spark counts, for each host,
-on how many different contents each subtree stands; one that stands on at least `share` of a host's different contents
-and on at least `least` of them belongs to the site's template and is deleted with all its blocks. Copies of one page
-count as one content, so a text isn't a template because its page is copied.
+A page is parsed into blocks of text and into the subtrees of all its block elements, menus, footers and adverts among
+them; only scripts, styles and other raw elements are skipped. A subtree has a hash of its tags and texts. An element
+that its tag, role, class or id calls a menu, page header, footer, aside, form, notice, advert or comment has a second
+hash, its frame: tags, names without digits, and which frames are within, but no text, link or number, so that a varying
+menu still recurs. Spark counts, for each host, on how many different contents each hash stands. A subtree on at least
+`share` of a host's different contents, or a frame on at least `frame_share` of them, and on at least `least`, belongs
+to the site's template and is deleted with all its blocks. Contents are the texts outside such elements, so copies of
+one page count as one content, and a text isn't a template because its page is copied.
+
+Tags and roles that never hold main text (nav, footer, a comment's article) go even where they don't recur. Names alone
+are no proof: they decide only on hosts of fewer than `few` contents, where recurrence can't be told. Of what is left,
+the articles are the text, else main, else the body.
 
 White space in a block becomes one space; blocks are joined by line feeds. Null html: empty text. Null url: host null,
 of its own. Repeated rows are judged one by one. Broken markup: an element ends where its parent does, a paragraph
-where a block begins; an end tag without a start is ignored. Deep nesting needs no recursion. Empty table: empty
-result. Rows meet template subtrees only where a page has some, by (page_id, content).
+where a block begins; an end tag without a start is ignored. Deep nesting needs no recursion, very long pages take time
+in proportion. Other columns, whatever their names, aren't read. Empty table: empty result. Rows meet their host's
+templates by host, of which there are as many as a page has subtrees, divided by the shares.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 BLOCK = _words("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul")
 RAW = _words("script style textarea title noscript template iframe svg math object canvas noframes xmp")
-LEFT_OUT = _words("head nav aside footer form button select option input label dialog menu audio video applet") | RAW
+SKIP = _words("head applet audio video") | RAW
+LEFT_OUT = _words("nav aside footer form button select option input label dialog menu")
 ROLES = _words("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form")
 NAMES = _words("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments reply replies disqus share sharing social related recommended widget toolbar login search pagination pager")
 TOP = _words("html body main article")
@@ -41,30 +49,51 @@ ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'
 NAME = re.compile(r"[A-Za-z]+")
 
 
-def _left_out(tag: str, attributes: str, within: bool) -> bool:
-    """within: inside an article or main."""
-    if tag in LEFT_OUT or tag == "header" and not within:
-        return True
+#: What an element is: part of the page, so called by its names, never main text, never text.
+PLAIN, NAMED, APART, SKIPPED = range(4)
+
+
+def _kind(tag: str, attributes: str, within: bool) -> tuple[int, str]:
+    """What an element is, and its names without digits; within: inside an article or main."""
+    if tag in SKIP:
+        return SKIPPED, ""
+    kind = APART if tag in LEFT_OUT or tag == "header" and not within else PLAIN
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return kind, ""
     values = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if "hidden" in values or values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true":
-        return True
     both = f"{values.get('class', '')} {values.get('id', '')}".lower()
-    if tag == "article":
-        return bool({"comment", "comments", "reply"} & set(both.split()))
     names = set(NAME.findall(both))
-    return bool(names & NAMES) or not within and "header" in names
+    told = " ".join(sorted(names))
+    if "hidden" in values or values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true":
+        return APART, told
+    if tag == "article":
+        return (APART if {"comment", "comments", "reply"} & set(both.split()) else kind), told
+    return max(kind, NAMED if names & NAMES or not within and "header" in names else PLAIN), told
+
+
+class _Open:
+    """An element that hasn't ended."""
+
+    __slots__ = ("tag", "kind", "names", "inside", "own", "frames", "first", "root")
+
+    def __init__(self, tag: str, kind: int, names: str, inside: int, first: int, root: int):
+        #: inside: the most any element around it is, or itself; root: 2 in an article, 1 in main, else 0
+        self.tag, self.kind, self.names, self.inside, self.first, self.root = tag, kind, names, inside, first, root
+        self.own = blake2b(tag.encode(), digest_size=8)
+        self.frames: set[bytes] = set()
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
 
 
 class _Page:
-    """Blocks of the content, and subtrees (hash, first block, block after the last)."""
+    """blocks: text, root, whether it's outside all named elements; trees: hash, first block, block after the last, kind."""
 
     def __init__(self, text: str):
-        #: tag, left out, hash, first block, root
-        self.open: list[list] = [["", False, blake2b(digest_size=8), 0, None]]
-        self.blocks: list[tuple[str, str]] = []
-        self.trees: list[tuple[int, int, int]] = []
+        self.open: list[_Open] = [_Open("", PLAIN, "", PLAIN, 0, 0)]
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.trees: list[tuple[int, int, int, int]] = []
         self.run: list[str] = []
         self.count: dict[str, int] = {}
         self.parse(text)
@@ -98,7 +127,7 @@ class _Page:
         self.flush()
 
     def text(self, data: str, decode: bool = True) -> None:
-        if not self.open[-1][1]:
+        if self.open[-1].inside < SKIPPED:
             self.run.append(html.unescape(data) if decode and "&" in data else data)
 
     def flush(self) -> None:
@@ -106,8 +135,10 @@ class _Page:
             words = " ".join("".join(self.run).split())
             self.run = []
             if words:
-                self.blocks.append((words, self.open[-1][4]))
-                self.open[-1][2].update(words.encode("utf-8", "replace") + b"\0")
+                top = self.open[-1]
+                self.blocks.append((words, top.root, top.inside == PLAIN))
+                top.own.update(words.encode("utf-8", "replace") + b"\0")
+                top.frames.add(b"text")
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK and self.count.get("p"):
@@ -120,98 +151,142 @@ class _Page:
             self.flush()
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             return
-        _, out, _, _, root = self.open[-1]
-        root = "article" if tag == "article" or root == "article" else "main" if tag == "main" or root == "main" else "body" if tag == "body" else root
-        self.open.append([tag, out or _left_out(tag, attributes, self.open[-1][4] in ("article", "main")), blake2b(tag.encode(), digest_size=8), len(self.blocks), root])
+        top = self.open[-1]
+        root = 2 if tag == "article" or top.root == 2 else 1 if tag == "main" or top.root == 1 else 0
+        kind, names = _kind(tag, attributes, top.root > 0)
+        self.open.append(_Open(tag, kind, names, max(top.inside, kind), len(self.blocks), root))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self) -> None:
-        tag = self.open[-1][0]
-        if tag in BLOCK:
+        if self.open[-1].tag in BLOCK:
             self.flush()
-        tag, out, own, first, root = self.open.pop()
-        self.count[tag] -= 1
-        if tag in BLOCK and not out:
-            digest = own.digest()
-            self.open[-1][2].update(digest)
-            if tag not in TOP and len(self.blocks) > first:
-                self.trees.append((int.from_bytes(digest, "little", signed=True), first, len(self.blocks)))
+        done = self.open.pop()
+        self.count[done.tag] -= 1
+        up, last = self.open[-1], len(self.blocks)
+        if done.inside == SKIPPED:
+            return
+        framed = done.kind in (NAMED, APART)
+        if done.tag in BLOCK:
+            digest = done.own.digest()
+            up.own.update(digest)
+            if done.tag not in TOP and last > done.first:
+                self.trees.append((_number(digest), done.first, last, PLAIN))
+        if done.tag in BLOCK or framed:
+            frame = blake2b(f"{done.tag} {done.names} ".encode() + b"".join(sorted(done.frames)), digest_size=8).digest()
+            up.frames.add(frame)
+            if framed and last > done.first:
+                self.trees.append((_number(frame), done.first, last, done.kind))
+        else:
+            up.frames |= done.frames
 
     def end_within(self, tags: frozenset, stops: frozenset) -> None:
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in tags:
+            if self.open[k].tag in tags:
                 while len(self.open) > k:
                     self.pop()
                 return
-            if self.open[k][0] in stops:
+            if self.open[k].tag in stops:
                 return
 
     def end(self, tag: str) -> None:
         if not self.count.get(tag):
             return
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 while len(self.open) > k:
                     self.pop()
                 return
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
+            if tag not in BLOCK and self.open[k].tag in BLOCK:
                 return  # an inline end tag ends nothing outside its block
 
-    def content(self) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """Blocks of the articles, else of main, else all; and the subtrees' ranges among them."""
-        kinds = {k for _, k in self.blocks}
-        keep = "article" if "article" in kinds else "main" if "main" in kinds else None
-        at, texts = [0], []
-        for text, kind in self.blocks:
-            if keep is None or kind == keep:
-                texts.append(text)
-            at.append(len(texts))
-        return texts, [(h, at[a], at[b]) for h, a, b in self.trees if at[b] > at[a]]
+    def content(self) -> int:
+        """A hash of the text outside named elements, of the articles, else of main, else of all."""
+        best = max((root for _, root, plain in self.blocks if plain), default=0)
+        texts = [text for text, root, plain in self.blocks if plain and root == best]
+        return _number(blake2b("\0".join(texts).encode("utf-8", "replace"), digest_size=8).digest())
+
 
+def main_text(blocks: list[tuple[str, int]], trees: list[tuple[int, int, int, int]], template: frozenset[int], small: bool) -> str:
+    """What is left without the template; small: names decide, as the host has few contents."""
+    change = [0] * (len(blocks) + 1)
+    for number, first, after, kind in trees:
+        if number in template or kind == APART or kind == NAMED and small:
+            change[first] += 1
+            change[after] -= 1
+    kept, depth = [], 0
+    for (text, root), step in zip(blocks, change, strict=False):
+        depth += step
+        if depth == 0:
+            kept.append((text, root))
+    best = max((root for _, root in kept), default=0)
+    return "\n".join(text for text, root in kept if root == best)
 
-def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    return _Page(page).content()
 
+def text_of(page: str) -> str:
+    """The text of one page alone."""
+    parsed = _Page(page)
+    return main_text([b[:2] for b in parsed.blocks], parsed.trees, frozenset(), True)
 
-TREES = "array<struct<hash:long,first:int,after:int>>"
+
+TREES = "array<struct<hash:long,first:int,after:int,kind:int>>"
+BLOCKS = "array<struct<text:string,root:int>>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks, trees, content (a hash of the blocks)."""
+    """page_id, url, host, blocks, trees, content."""
     host, _ = split_url(pages["url"])
     df = pages.select("page_id", "url", F.when(pages["url"].isNotNull(), host).alias("host"), "html")
-    tree = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("after", pa.int32())]))
+    tree = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("kind", pa.int32())]))
+    block = pa.list_(pa.struct([("text", pa.string()), ("root", pa.int32())]))
 
     def make():
         def fn(batch):
-            blocks, trees = [], []
+            blocks, trees, contents = [], [], []
             for page in common.text_of(batch, "html").to_pylist():
-                own, subtrees = blocks_of(page)
-                blocks.append([x.encode("utf-8", "replace").decode() for x in own])
-                trees.append([{"hash": h, "first": a, "after": b} for h, a, b in subtrees])
-            return [pa.array(blocks, pa.list_(pa.string())), pa.array(trees, tree)]
+                parsed = _Page(page)
+                blocks.append([{"text": x.encode("utf-8", "replace").decode(), "root": r} for x, r, _ in parsed.blocks])
+                trees.append([{"hash": h, "first": a, "after": b, "kind": k} for h, a, b, k in parsed.trees])
+                contents.append(parsed.content())
+            return [pa.array(blocks, block), pa.array(trees, tree), pa.array(contents, pa.int64())]
 
         return fn
 
-    df = common.map_arrow(df, make, [common.field("blocks", "array<string>"), common.field("trees", TREES)], ["page_id", "url", "host"])
-    return df.withColumn("content", F.xxhash64("blocks"))
+    fields = [common.field("blocks", BLOCKS), common.field("trees", TREES), common.field("content", "long")]
+    return common.map_arrow(df, make, fields, ["page_id", "url", "host"])
 
 
-def extract(pages: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+def templates(parsed: DataFrame, share: float = 0.5, frame_share: float = 0.02, least: int = 5) -> DataFrame:
+    """host, contents, template (hashes of subtrees and frames that recur)."""
+    own = F.array_distinct(F.transform("trees", lambda t: F.struct(t["hash"].alias("hash"), (t["kind"] == PLAIN).alias("exact"))))
+    seen = parsed.select("host", "content", F.explode(own).alias("t")).select("host", "content", "t.*").distinct()
+    seen = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on"), F.bool_and("exact").alias("exact")).where(F.col("on") >= least)
+    hosts = parsed.select("host", "content").distinct().groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("contents"))
+    enough = F.col("on") >= F.when(F.col("exact"), share).otherwise(frame_share) * F.col("contents")
+    found = seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(enough).groupBy("host").agg(F.collect_set("hash").alias("template"))
+    both = hosts.join(found, F.col("host").eqNullSafe(F.col("of")), "left")
+    return both.select(F.col("of").alias("host"), "contents", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
+
+
+def extract(pages: DataFrame, share: float = 0.5, frame_share: float = 0.02, least: int = 5, few: int = 20) -> DataFrame:
     """page_id, url, text."""
     parsed = common.stage(parse(pages), "pages")
-    trees = parsed.select("host", "content", F.explode(F.array_distinct(F.transform("trees", lambda t: t["hash"]))).alias("hash")).distinct()
-    seen = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= least)
-    hosts = parsed.select("host", "content").distinct().groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("contents"))
-    template = seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("on") >= share * F.col("contents")).select(F.col("host").alias("of"), "hash")
-    template = common.stage(template, "template")
-    if not template.isEmpty():
-        rows = parsed.select("page_id", "host", "content", F.explode("trees").alias("t"))
-        hit = rows.join(template, F.col("host").eqNullSafe(F.col("of")) & (F.col("t.hash") == F.col("hash")))
-        hit = hit.groupBy(F.col("page_id").alias("hit_page"), F.col("content").alias("hit_content"), F.col("host").alias("hit_host")).agg(F.collect_set(F.struct("t.first", "t.after")).alias("gone"))
-        parsed = parsed.join(hit, F.col("page_id").eqNullSafe(F.col("hit_page")) & (F.col("content") == F.col("hit_content")) & F.col("host").eqNullSafe(F.col("hit_host")), "left")
-        gone = F.col("gone")
-        kept = F.filter("blocks", lambda x, i: ~F.coalesce(F.exists(gone, lambda g: (g["first"] <= i) & (i < g["after"])), F.lit(False)))
-    else:
-        kept = F.col("blocks")
-    return parsed.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+    found = common.stage(templates(parsed, share, frame_share, least), "template").withColumnRenamed("host", "of")
+    rows = parsed.join(found, F.col("host").eqNullSafe(F.col("of")), "left").select("page_id", "url", "blocks", "trees", "contents", "template")
+
+    def make():
+        known: dict[tuple, frozenset] = {}
+
+        def fn(batch):
+            blocks, trees, contents, template = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("blocks", "trees", "contents", "template"))
+            texts = []
+            for bs, ts, n, hashes in zip(blocks, trees, contents, template, strict=True):
+                if (key := tuple(hashes)) not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[key] = frozenset(key)
+                texts.append(main_text([(b["text"], b["root"]) for b in bs], [(t["hash"], t["first"], t["after"], t["kind"]) for t in ts], known[key], n < few))
+            return [pa.array(texts, pa.string())]
+
+        return fn
+
+    return common.map_arrow(rows, make, [common.field("text", "string")], ["page_id", "url"])

@@ -140,13 +140,49 @@ z</b></p><aside>side</aside><div>Loose<ul><li>a<li>b</ul>tail</div><form><input>
 <p data-x="a > b">attr &lt;kept&gt;</p></article><footer>No</footer></body></html>"""
 
 
+def lines_of(page):
+    return html_text.text_of(page).split("\n")
+
+
 def test_blocks():
-    got, _ = html_text.blocks_of(HTML)
+    got = lines_of(HTML)
     assert got == ["Title & more", "Bold text.", "Next one xy z".replace("one x", "onex"), "Loose", "a", "b", "tail", "attr <kept>"]
-    assert html_text.blocks_of("")[0] == [] and html_text.blocks_of("just < text & more")[0] == ["just < text & more"]
-    assert html_text.blocks_of("<main><p>in</main><p>out")[0] == ["in"]
-    assert html_text.blocks_of("<div>" * 30_000 + "deep" + "</div>" * 30_000)[0] == ["deep"]
-    assert html_text.blocks_of('<p a="unclosed>x</p><p>y')[0][-1] == "y"
+    assert lines_of("") == [""] and lines_of("just < text & more") == ["just < text & more"]
+    assert lines_of("<main><p>in</main><p>out") == ["in"]
+    assert lines_of("<div>" * 30_000 + "deep" + "</div>" * 30_000) == ["deep"]
+    assert lines_of('<p a="unclosed>x</p><p>y')[-1] == "y"
+
+
+def test_names_alone_are_no_proof(spark):
+    """An article, or a part of it on few pages, that is called social or related keeps its text; a frame that recurs goes."""
+    pages = []
+    for i in range(60):
+        once = f'<section class="social">about society {i}</section>' if i == 7 else ""
+        offer = f'<div class="promo{i}"><ul>' + "".join(f"<li><a href=/{i}{j}>offer {i} {j}</a>" for j in range(i % 4 + 1)) + "</ul></div>"
+        pages.append((i, f"http://big.example/{i}", f'<nav><a href="/{i}">menu {i}</a></nav><article class="social related"><p>news number {i}</p>{once}{offer}</article><footer>foot {i}</footer>'))
+    pages += [(100, "http://small.example/", '<article class="related"><p>kept</p><div class="promo">gone</div></article>'), (101, "http://small.example/2", "x" * 300_000), (101, "http://small.example/2", "x" * 300_000)]
+    got = [(r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    want = [(i, f"news number {i}" + (f"\nabout society {i}" if i == 7 else "")) for i in range(60)] + [(100, "kept"), (101, "x" * 300_000), (101, "x" * 300_000)]
+    assert sorted(got) == sorted(want)
+
+
+def test_template_counts(spark):
+    """Templates of the real pages against a count in Python."""
+    rows = [(r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    on, contents = {}, {}
+    for url, page in rows:
+        parsed, host = html_text._Page(page or ""), cut(url)[0]
+        contents.setdefault(host, set()).add(parsed.content())
+        for h, _, _, kind in parsed.trees:
+            on.setdefault((host, h, kind == html_text.PLAIN), set()).add(parsed.content())
+    want = {}
+    for (host, h, exact), c in on.items():
+        if len(c) >= max(5, (0.5 if exact else 0.02) * len(contents[host])):
+            want.setdefault(host, set()).add(h)
+    df = html_text.templates(html_text.parse(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+    got = {r.host: (r.contents, set(r.template)) for r in df.collect()}
+    assert got == {h: (len(c), want.get(h, set())) for h, c in contents.items()}
+    assert sum(len(x) for x in want.values()) > 20
 
 
 @pytest.mark.parametrize("scheme", ["http://h.example/"])
