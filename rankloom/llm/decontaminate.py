@@ -1,16 +1,19 @@
 """Benchmark decontamination by suffix arrays over the training texts (operator 6).
 
 Rows pass by in shards. In each, the words that the benchmark also has are numbered, every other word and each text's
-end is a stop, and the suffixes that begin a run of numbered words long enough for any window are sorted: the shard's
-suffix array, as deep as the longest item. Every test suffix is searched in it by bisection: the places where its
-window occurs are a range of the array, and the longest verbatim match ends at the suffix's neighbours there or goes
-on along the text. Words are compared by 64-bit hashes, and matches byte by byte after that.
-
-The benchmark is the query set: it is read in blocks of at most `block` characters, each of which is broadcast; the
-training rows stream past one block after the other, without a shuffle.
-
-Null or empty text: no words, no hits. Item without words: never matched. An empty benchmark hits nothing; an empty
-table gives an empty result. Repeated rows are judged one by one, equal items are all reported.
+end is a stop, and the places of the suffixes that begin a run of numbered words long enough for any window are sorted
+by their first `window` words, the shard's suffix array: no decision needs a deeper order. Every test suffix is searched
+in it by bisection: the places where its window occurs are a range of the array. Windows that follow each other in item
+and text are put together, which gives the longest verbatim matches at any length. Words are compared by 64-bit hashes,
+and matches byte by byte after that.
+
+The benchmark is the query set: it is read in blocks of at most `block` characters or one item, each of which is
+broadcast; the training rows stream past one block after the other, without a shuffle. A block takes memory in
+proportion to its words, however long its items are.
+
+Null or empty text: no words, no hits. Very long texts are one shard each. Item without words: never matched. An empty
+benchmark hits nothing; an empty table gives an empty result. Repeated rows are judged one by one, equal items are all
+reported. Columns that clash with the new ones' names stay; `find` tells the new names.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import ALNUM, Words
+from .words import ALNUM, LOWER, Words
 
 WINDOW = 10
 SUFFIXES = 6_000_000  # numbers in a shard's suffix array, its depth times its length
 
 
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of n places."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Block:
     """Test suffixes of some items, searchable."""
 
@@ -34,22 +42,24 @@ class Block:
         words = Words(pa.array([t for _, t in items], pa.large_string()), ALNUM)
         self.names = [n for n, _ in items]
         self.vocabulary, ids = np.unique(words.hash, return_inverse=True)
-        at = np.searchsorted(words.hash[np.zeros(0, int)], []) if len(words.hash) == 0 else np.unique(ids, return_index=True)[1]
-        self.spelled = [words.text(i) for i in at]
+        at = np.unique(ids, return_index=True)[1]
+        #: The vocabulary's spelling: bytes, and where each word begins.
+        self.size = words.end[at] - words.start[at] if len(at) else np.zeros(0, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = LOWER[words.data[_spans(words.start[at], self.size)]] if len(at) else np.zeros(0, np.uint8)
         length = np.diff(words.first)
         item = np.repeat(np.arange(len(items)), np.where(length < window, np.minimum(length, 1), length - window + 1))
         first = np.flatnonzero(np.diff(item, prepend=-1)) if len(item) else np.zeros(0, int)
         self.item = item
-        #: Place in its item, width of the window and length of each test suffix.
+        #: Place in its item and width of the window of each test suffix.
         self.place = np.arange(len(item)) - np.repeat(first, np.diff(np.append(first, len(item))))
         self.width = np.minimum(length[item], window)
-        self.length = length[item] - self.place
-        self.depth = int(length.max(initial=1))
+        self.depth = max(1, min(window, int(length.max(initial=1))))
         self.least = int(self.width.min(initial=window))
         self.ids = np.zeros((len(item), self.depth), ">u4")
         where = words.first[item] + self.place
         for j in range(self.depth):
-            on = self.length > j
+            on = length[item] - self.place > j
             self.ids[on, j] = ids[where[on] + j] + 1
 
     def prefix(self, fill: int) -> np.ndarray:
@@ -58,6 +68,18 @@ class Block:
         return _keys(out)
 
 
+def _differ(words: Words, at: np.ndarray, block: Block, ids: np.ndarray) -> np.ndarray:
+    """Which of the words at places `at` are spelled unlike the vocabulary's words `ids`."""
+    n = words.end[at] - words.start[at]
+    out = n != block.size[ids]
+    same = np.flatnonzero(~out)
+    if len(same):
+        n, at, ids = n[same], at[same], ids[same]
+        unlike = LOWER[words.data[_spans(words.start[at], n)]] != block.bytes[_spans(block.begin[ids], n)]
+        out[same] = np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    return out
+
+
 def _keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian numbers as byte strings, which sort as the rows do."""
     rows = np.ascontiguousarray(rows, ">u4")
@@ -114,10 +136,10 @@ def matches(words: Words, block: Block) -> list[tuple]:
     hit = np.cumsum(mark[:-1]) > 0
     doc_of = np.searchsorted(first, np.flatnonzero(hit), "right") - 1
     word_at = np.flatnonzero(hit) - doc_of  # a stop stands after each text
-    for i, k in zip(word_at, ids[hit], strict=True):
-        if words.text(i) != block.spelled[k - 1]:  # two words of one hash
-            words.hash[i] ^= np.uint64(1)
-            return matches(words, block)
+    unlike = _differ(words, word_at, block, ids[hit].astype(np.int64) - 1)
+    if unlike.any():  # two words of one hash
+        words.hash[word_at[unlike]] ^= np.uint64(1)
+        return matches(words, block)
     doc = np.searchsorted(first, place, "right") - 1
     item, start = block.item[window], block.place[window]
     # Windows one word apart in item and text lie on a diagonal; their runs are the verbatim matches.

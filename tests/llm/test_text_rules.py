@@ -168,6 +168,38 @@ def test_decontaminate(spark, block):
     assert decontaminate.decontaminate(spark.createDataFrame(data, SCHEMA), bench.limit(0)).count() == len(data)
 
 
+def test_very_long_item():
+    """An item of 200,000 words takes memory in proportion, and its longest match is found."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rankloom.llm.words import ALNUM, Words
+
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in r.integers(0, 5000, 200_000)]
+    texts = ["before " + " ".join(words[50_000:120_000]) + " after", "nothing of it", " ".join(words[:9])]
+    tracemalloc.start()
+    block = decontaminate.Block([("long", " ".join(words)), ("short", "after")], 10)
+    found = decontaminate.matches(Words(pa.array(texts), ALNUM), block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, n) for d, n, _ in found] == [(0, 70_001)] and max(found[0][2], key=lambda m: m[3]) == (0, 50_000, 1, 70_000)
+    assert peak < 1 << 30
+
+
+def test_words_of_one_hash():
+    """Words that only share a hash aren't hits."""
+    import pyarrow as pa
+
+    from rankloom.llm.words import ALNUM, Words
+
+    block = decontaminate.Block([("a", "one two")], 10)
+    words = Words(pa.array(["one two", "six two", "seven two"]), ALNUM)
+    words.hash[[2, 4]] = words.hash[0]
+    assert [(d, n) for d, n, _ in decontaminate.matches(words, block)] == [(0, 2)]
+
+
 def test_decontaminate_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [(str(r[0]), r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
