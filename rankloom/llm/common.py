@@ -114,3 +114,29 @@ def field(name: str, kind: str) -> T.StructField:
 
 def sha_join(items) -> F.Column:
     return F.sha2(F.array_join(items, ","), 256)
+
+
+def beta_moments(k: F.Column, n: F.Column, least: float, most: float) -> tuple[F.Column, F.Column]:
+    """Aggregates over groups with k of n: the mean rate, and the strength (a + b) of the beta prior of the groups' rates.
+
+    By the moments of a beta-binomial: from the spread of the rates, weighted by n, what binomial chance alone gives is
+    taken off; the rest is the correlation rho within groups, and a + b = 1 / rho - 1, held within least and most.
+    """
+    total, groups, mean = F.sum(n), F.count_if(n > 0), F.try_divide(F.sum(k), F.sum(n))
+    chance = mean * (1 - mean)
+    spread = F.sum(F.try_divide(k * k, n)) - total * mean * mean
+    room = total - F.try_divide(F.sum(n * n), total) - (groups - 1)
+    rho = F.when((room > 0) & (chance > 0), (spread - chance * (groups - 1)) / (chance * room))
+    strength = F.coalesce(F.try_divide(F.lit(1.0), F.greatest(rho, F.lit(0.0))) - 1, F.lit(most))
+    return F.coalesce(mean, F.lit(0.0)), F.least(F.lit(most), F.greatest(F.lit(least), strength))
+
+
+def lower_bound(a: F.Column, b: F.Column, z: float) -> F.Column:
+    """Mean less z deviations of Beta(a, b)."""
+    n = a + b
+    return a / n - z * F.sqrt(a * b / (n * n * (n + 1)))
+
+
+def worse(rate: F.Column, base: F.Column, times: float) -> F.Column:
+    """Whether a rate's odds are over so many times the base rate's."""
+    return rate * (1 - base) > times * base * (1 - rate)

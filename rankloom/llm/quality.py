@@ -1,12 +1,15 @@
 """Quality rules of texts and of their hosts (operator 10), with DataFrame functions only.
 
 `measure` counts words, symbols, repeated lines and words in repeated 5-word windows of each text. `host_verdicts`
-adds up how often each rule fails on a host's texts, shrinks the rates by a beta prior fitted to all hosts by their
-moments, and rejects a host if a shrunk rate exceeds `limit`. `apply_rules` joins that to the texts.
-
-Null or empty text: no words, so it fails. Null host: a host of its own. Repeated rows each count. Empty table: empty
-result. Windows are compared by 64-bit hashes. Host verdicts are broadcast only if at most MOST_HOSTS are rejected;
-else rows and verdicts meet by host and salt.
+adds up how often each rule fails on a host's texts and shrinks the rates by a beta prior, fitted to all hosts by
+beta-binomial moments. A host of which the lower bound of a shrunk rate (mean less `z` deviations) exceeds `limit` is
+rejected with all its texts. One of which it has over `times` the odds of the rule's rate on all texts is suspect: of
+its texts those go that fail that rule, even where the base rules alone would keep them. `apply_rules` joins the
+verdicts to the texts. Where hosts differ by no more than chance, none is told apart.
+
+Null or empty text: no words, so it fails. Very long texts are measured whole. Null host: a host of its own. Repeated
+rows each count. Ties are no matter. Empty table: empty result. Windows are compared by 64-bit hashes. Only hosts with
+a verdict are joined, by Spark's own choice of join. Columns that clash with new ones stay; the new names are told.
 """
 
 from __future__ import annotations
@@ -18,8 +21,6 @@ from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MOST_HOSTS = 20_000
-SALTS = 64
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -73,35 +74,32 @@ def rules(names: dict[str, str]) -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, names: dict[str, str], host: str = "source", limit: float = 0.5) -> DataFrame:
-    """host, n, the shrunk rate of each rule, and rejected."""
+def host_verdicts(measured: DataFrame, names: dict[str, str], host: str = "source", limit: float = 0.5, times: float = 2.0, z: float = 1.64) -> DataFrame:
+    """host, n, the shrunk rate of each rule, rejected, and suspect (the rules that its texts must pass)."""
     failed = rules(names)
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(r).alias(f"k_{k}") for k, r in failed.items()))
+    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.count_if(r).cast("double").alias(f"k_{k}") for k, r in failed.items()))
     hosts = common.stage(hosts, "hosts")
-    rate = {k: F.col(f"k_{k}") / F.col("n") for k in failed}
-    # Beta(a, b) by moments: mean m and variance v of the rates give a + b = m (1 - m) / v - 1, held within 1 and 1e6.
-    prior = hosts.agg(*(F.avg(r).alias(f"m_{k}") for k, r in rate.items()), *(F.var_pop(r).alias(f"v_{k}") for k, r in rate.items()))
+    fitted = {k: common.beta_moments(F.col(f"k_{k}"), F.col("n"), 1.0, 1e6) for k in failed}
+    prior = hosts.agg(*(m.alias(f"m_{k}") for k, (m, _) in fitted.items()), *(t.alias(f"t_{k}") for k, (_, t) in fitted.items()))
     both = hosts.crossJoin(F.broadcast(prior))  # one row
-    m, v = (lambda k: F.col(f"m_{k}")), (lambda k: F.col(f"v_{k}"))
-    total = lambda k: F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(m(k) * (1 - m(k)), v(k)) - 1, F.lit(1e6))))
-    shrunk = {k: (F.col(f"k_{k}") + m(k) * total(k)) / (F.col("n") + total(k)) for k in failed}
-    out = both.select("host", "n", *(s.alias(f"rate_{k}") for k, s in shrunk.items()))
-    return out.withColumn("rejected", F.greatest(*(F.col(f"rate_{k}") for k in failed)) > limit)
+    a = {k: F.col(f"k_{k}") + F.col(f"m_{k}") * F.col(f"t_{k}") for k in failed}
+    b = {k: F.col("n") - F.col(f"k_{k}") + (1 - F.col(f"m_{k}")) * F.col(f"t_{k}") for k in failed}
+    bound = {k: common.lower_bound(a[k], b[k], z) for k in failed}
+    rejected = F.greatest(*bound.values()) > limit
+    suspect = F.array_compact(F.array(*(F.when(common.worse(bound[k], F.col(f"m_{k}"), times), k) for k in failed)))
+    return both.select("host", F.col("n").cast("long").alias("n"), *((a[k] / (a[k] + b[k])).alias(f"rate_{k}") for k in failed), rejected.alias("rejected"), suspect.alias("suspect"))
 
 
-def apply_rules(docs: DataFrame, host: str = "source", limit: float = 0.5, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def apply_rules(docs: DataFrame, host: str = "source", keep: list[str] | None = None, **options) -> tuple[DataFrame, dict[str, str]]:
     """Appends MEASURES, base_failed and kept to the columns `keep` of `docs` (all, if None); `host` is one of them."""
     measured, names = measure(docs)
     measured = measured.select(*(docs.columns if keep is None else keep), *names.values())
-    kept, reject, salt, key = (common.fresh(measured, k) for k in ("kept", "host_rejected", "host_salt", "rule_host"))
+    kept, reject, suspect, key = (common.fresh(measured, k) for k in ("kept", "host_rejected", "host_suspect", "rule_host"))
     measured = common.stage(measured, "measured")
-    bad = host_verdicts(measured, names, host, limit).where("rejected").select(F.col("host").alias(key), F.lit(True).alias(reject))
-    bad = common.stage(bad, "rejected")
-    if bad.count() <= MOST_HOSTS:
-        df = measured.join(F.broadcast(bad), F.col(host).eqNullSafe(F.col(key)), "left")
-    else:
-        spread = bad.withColumn(salt + "_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = measured.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        df = salted.join(spread, F.col(host).eqNullSafe(F.col(key)) & (F.col(salt) == F.col(salt + "_")), "left")
-    df = df.withColumn(kept, ~F.col(names["base_failed"]) & F.col(reject).isNull())
+    known = host_verdicts(measured, names, host, **options).where("rejected OR size(suspect) > 0")
+    known = common.stage(known.select(F.col("host").alias(key), F.col("rejected").alias(reject), F.col("suspect").alias(suspect)), "verdicts")
+    df = measured.join(known, F.col(host).eqNullSafe(F.col(key)), "left")
+    fails = [F.array_contains(suspect, k) & r for k, r in rules(names).items()]
+    out = F.coalesce(F.col(reject) | F.greatest(*fails), F.lit(False))
+    df = df.withColumn(kept, ~F.col(names["base_failed"]) & ~out)
     return df.select(*measured.columns, kept), names | {"kept": kept}

@@ -44,9 +44,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all urls. A page's outcome is the quality label of the document that its url names: /<lang>/<doc_id>."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    _, path = urls.split_url(pages["url"])
-    named = pages.select("page_id", F.try_to_number(F.nullif(F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("long").alias("doc_id"))
-    outcomes = named.join(labels, "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+    host, path = urls.split_url(pages["url"])
+    cut = pages.select("page_id", host.alias("host"), path.alias("path")).distinct()  # repeated rows are one page
+    named = F.nullif(F.regexp_extract("path", r"^/[a-z]+/([0-9]{1,18})", 1), F.lit(""))
+    outcomes = cut.select("host", F.try_to_number(named, F.lit("9" * 18)).cast("long").alias("doc_id")).join(labels, "doc_id").select("host", (1 - F.col("quality")).alias("bad"))
     return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -11,20 +11,22 @@ WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr
 c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM u)),
 r(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 fit AS (SELECT c.page_id, r.h || r.p AS rule, r.verdict FROM c JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p) QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.h || r.p) DESC) = 1),
-o AS (SELECT c.host, 1 - l.quality AS bad FROM c JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(c.path, '^/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT)),
-h0 AS (SELECT host, CAST(count(CASE WHEN bad = 1 THEN 1 END) AS DOUBLE) AS bad, CAST(count(CASE WHEN bad = 0 THEN 1 END) AS DOUBLE) AS good FROM o GROUP BY 1),
+o AS (SELECT c.host, 1 - l.quality AS bad FROM (SELECT DISTINCT * FROM c) c JOIN labels l ON l.doc_id = TRY_CAST(nullif(regexp_extract(c.path, '^/[a-z]+/([0-9]{{1,18}})', 1), '') AS BIGINT)),
+h0 AS (SELECT host, CAST(count(CASE WHEN bad = 1 THEN 1 END) AS DOUBLE) AS bad, CAST(count(CASE WHEN bad IN (0, 1) THEN 1 END) AS DOUBLE) AS n FROM o GROUP BY 1),
 h1 AS (SELECT *, string_split(regexp_replace(host, ':.*$', ''), '.') AS a FROM h0),
 h2 AS (SELECT *, CASE WHEN len(a) >= 3 AND length(a[-1]) = 2 AND a[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM h1),
-hosts AS (SELECT host, bad, good, array_to_string(a[greatest(1, len(a) - k):], '.') AS domain, array_to_string(a[greatest(1, len(a) - k + 1):], '.') AS suffix FROM h2),
-sx AS (SELECT suffix, sum(bad) AS bad, sum(good) AS good FROM hosts GROUP BY 1),
-dm AS (SELECT domain, suffix, sum(bad) AS bad, sum(good) AS good FROM hosts GROUP BY 1, 2),
-st AS (SELECT lvl, coalesce(m, 0) AS mean, least(1000.0, greatest(2.0, coalesce(m * (1 - m) / nullif(sq - m * m, 0) - 1, 1000.0))) AS strength FROM (
-  SELECT lvl, sum(bad) / nullif(sum(bad + good), 0) AS m, sum(bad * bad / (bad + good)) / nullif(sum(bad + good), 0) AS sq FROM (
-    SELECT 's' AS lvl, bad, good FROM sx UNION ALL SELECT 'd', bad, good FROM dm UNION ALL SELECT 'h', bad, good FROM hosts) WHERE bad + good > 0 GROUP BY 1)),
-sr AS (SELECT suffix, (bad + mean * strength) / (bad + good + strength) AS rate FROM sx, st WHERE lvl = 's'),
-dr AS (SELECT domain, (bad + rate * strength) / (bad + good + strength) AS rate FROM dm JOIN sr USING (suffix), st WHERE lvl = 'd'),
-hr AS (SELECT host, bad + rate * strength AS a, good + (1 - rate) * strength AS b FROM hosts JOIN dr USING (domain), st WHERE lvl = 'h'),
-bl AS (SELECT host FROM hr WHERE a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5)
+hosts AS (SELECT host, bad, n, array_to_string(a[greatest(1, len(a) - k):], '.') AS domain, array_to_string(a[greatest(1, len(a) - k + 1):], '.') AS suffix FROM h2),
+sx AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY 1),
+dm AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY 1, 2),
+mo AS (SELECT lvl, sum(bad) / sum(n) AS m, sum(n) AS nn, count(*) AS mm, sum(bad * bad / n) AS sq, sum(n * n) AS n2 FROM (
+  SELECT 's' AS lvl, bad, n FROM sx UNION ALL SELECT 'd', bad, n FROM dm UNION ALL SELECT 'h', bad, n FROM hosts) WHERE n > 0 GROUP BY 1),
+st AS (SELECT lvl, m AS mean, least(1000.0, greatest(2.0, coalesce(1.0 / nullif(greatest(CASE WHEN nn - n2 / nn - (mm - 1) > 0 AND m * (1 - m) > 0
+  THEN (sq - nn * m * m - m * (1 - m) * (mm - 1)) / (m * (1 - m) * (nn - n2 / nn - (mm - 1))) END, 0.0), 0.0) - 1, 1000.0))) AS strength FROM mo),
+dr AS (SELECT dm.*, (sx.bad - dm.bad + st.mean * st.strength) / (sx.n - dm.n + st.strength) AS up FROM dm JOIN sx USING (suffix), st WHERE lvl = 's'),
+hp AS (SELECT host, hosts.bad, hosts.n, (dr.bad - hosts.bad + up * st.strength) / (dr.n - hosts.n + st.strength) AS prior FROM hosts JOIN dr USING (domain), st WHERE lvl = 'd'),
+hr AS (SELECT host, mean, bad + prior * strength AS a, n - bad + (1 - prior) * strength AS b FROM hp, st WHERE lvl = 'h'),
+lb AS (SELECT host, mean, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM hr),
+bl AS (SELECT host FROM lb WHERE bound * (1 - mean) > 2.0 * mean * (1 - bound))
 SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.verdict, CASE WHEN c.host IN (SELECT host FROM bl) THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN fit USING (page_id)"""
 
 OP10 = f"""
@@ -41,9 +43,16 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 k AS (SELECT source, rule, CAST(count(CASE WHEN bad THEN 1 END) AS DOUBLE) AS k, count(*) AS n FROM (
   SELECT source, 1 AS rule, n_words < 10 AS bad FROM f UNION ALL SELECT source, 2, 100 * n_repeat_words > 20 * n_words FROM f UNION ALL SELECT source, 3, n_symbols > n_words FROM f
   UNION ALL SELECT source, 4, 10 * n_dup_lines > n_words FROM f UNION ALL SELECT source, 5, word_chars > 40 * n_words FROM f) GROUP BY 1, 2),
-p AS (SELECT rule, avg(k / n) AS m, least(1e6, greatest(1.0, coalesce(avg(k / n) * (1 - avg(k / n)) / nullif(var_pop(k / n), 0) - 1, 1e6))) AS t FROM k GROUP BY 1),
-bad AS (SELECT source FROM k JOIN p USING (rule) GROUP BY 1 HAVING max((k + m * t) / (n + t)) > 0.5)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND source NOT IN (SELECT source FROM bad) AS kept FROM f"""
+mo AS (SELECT rule, sum(k) / sum(n) AS m, CAST(sum(n) AS DOUBLE) AS nn, count(*) AS mm, sum(k * k / n) AS sq, CAST(sum(n * n) AS DOUBLE) AS n2 FROM k GROUP BY 1),
+p AS (SELECT rule, m, least(1e6, greatest(1.0, coalesce(1.0 / nullif(greatest(CASE WHEN nn - n2 / nn - (mm - 1) > 0 AND m * (1 - m) > 0
+  THEN (sq - nn * m * m - m * (1 - m) * (mm - 1)) / (m * (1 - m) * (nn - n2 / nn - (mm - 1))) END, 0.0), 0.0) - 1, 1e6))) AS t FROM mo),
+b AS (SELECT source, rule, m, k + m * t AS a, n - k + (1 - m) * t AS b FROM k JOIN p USING (rule)),
+lb AS (SELECT source, rule, m, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM b),
+v AS (SELECT source, max(bound) > 0.5 AS rejected, list(rule) FILTER (bound * (1 - m) > 2.0 * m * (1 - bound)) AS suspect FROM lb GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected
+  OR list_contains(suspect, 1) AND n_words < 10 OR list_contains(suspect, 2) AND 100 * n_repeat_words > 20 * n_words OR list_contains(suspect, 3) AND n_symbols > n_words
+  OR list_contains(suspect, 4) AND 10 * n_dup_lines > n_words OR list_contains(suspect, 5) AND word_chars > 40 * n_words, false) AS kept
+FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'UP', 'LOW'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

@@ -1,15 +1,19 @@
 """URL rules and empirical-Bayes host reputation (operator 4).
 
 Rules name a host and a path; the longest rule that fits decides. For other urls a host's labelled outcomes decide:
-hosts are nested in registered domains, and these in suffixes. Each level's beta prior has the mean of the level above
-(the suffix's: of all pages) and a strength fitted by moments to the spread of rates among the level's members, so a
-host with few labels leans on its domain, and that on its suffix. A host is blocked if the lower bound of its posterior
-bad rate (mean less `z` deviations) exceeds `limit`: a page is never blocked for want of evidence.
+hosts are nested in registered domains, and these in suffixes. A suffix's prior has the mean of all outcomes, a domain's
+that of the suffix's other domains, a host's that of the domain's other hosts, so that no label counts twice; strengths
+are fitted by beta-binomial moments to the spread of rates among the level's members beyond chance. A host with few
+labels thus leans on its domain, and that on its suffix; where hosts differ by no more than chance, none is told apart.
+A host is blocked if the lower bound of its posterior bad rate (mean less `z` deviations) has over `times` the odds of
+the mean rate of all outcomes: a page is never blocked for want of evidence.
 
 The registered domain is the suffix and the label before it; the suffix is the host's last two labels if both are
 short country-style labels (such as co.uk), else its last. Null url, or one without "://": empty host and path, which
-no rule fits. Pages without a label count nowhere. A page with several labels counts once for each. Hosts are joined
-by host and salt, as one may hold a third of all pages. Empty tables: empty result, or the general prior.
+no rule fits. Very long urls are judged whole. Each row is judged; of rules of equal length the one of the longer host
+decides. Outcomes count by row, null ones nowhere. Hosts, of which one may hold a third of all pages, are joined by
+host, where Spark splits what is skewed, or sends the hosts if they are small. Other columns, whatever their names,
+aren't read. Empty tables: empty result, or the general prior.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from . import common
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,49 +57,35 @@ def domain_of(host: Column) -> tuple[Column, Column]:
     return join(last + 1), join(last)
 
 
-def _shrunk(level: DataFrame, up: Column) -> tuple[Column, Column]:
-    """Beta parameters of a level's members, given the mean above."""
-    return F.col("bad") + up * F.col("strength"), F.col("good") + (1 - up) * F.col("strength")
-
-
-def _strength(level: DataFrame, least: float = 2.0, most: float = 1000.0) -> DataFrame:
-    """One row: m (1 - m) / v - 1, from the mean and variance of members' rates, weighted by their labels."""
-    n = F.col("bad") + F.col("good")
-    m = F.try_divide(F.sum("bad"), F.sum(n))
-    sums = level.where(n > 0).agg(m.alias("m"), F.try_divide(F.sum(F.col("bad") * F.col("bad") / n), F.sum(n)).alias("sq"))
-    v = F.col("sq") - F.col("m") * F.col("m")
-    return sums.select(F.coalesce(F.col("m"), F.lit(0.0)).alias("mean"), F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), v) - 1, F.lit(most)))).alias("strength"))
-
-
-def reputations(outcomes: DataFrame, limit: float = 0.5, z: float = 1.64) -> DataFrame:
+def reputations(outcomes: DataFrame, times: float = 2.0, z: float = 1.64, least: float = 2.0, most: float = 1000.0) -> DataFrame:
     """host, bad, good, rate (posterior mean), bound, blocked; outcomes: host, bad (0 or 1, null: unlabelled)."""
-    hosts = outcomes.groupBy("host").agg(F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
+    count = lambda v: F.count_if(F.col("bad") == v).cast("double")
+    hosts = outcomes.groupBy("host").agg(count(1).alias("bad"), (count(1) + count(0)).alias("n"))
     domain, suffix = domain_of(F.col("host"))
     hosts = common.stage(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
-    sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    suffixes = hosts.groupBy("suffix").agg(*sums)
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    rate = lambda a, b: a / (a + b)
-    a, b = _shrunk(suffixes, F.col("mean"))
-    suffixes = suffixes.crossJoin(F.broadcast(_strength(suffixes))).select("suffix", rate(a, b).alias("suffix_rate"))
-    a, b = _shrunk(domains, F.col("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").crossJoin(F.broadcast(_strength(domains))).select("domain", rate(a, b).alias("domain_rate"))
-    a, b = _shrunk(hosts, F.col("domain_rate"))
-    out = hosts.join(domains, "domain").crossJoin(F.broadcast(_strength(hosts))).select("host", "bad", "good", a.alias("a"), b.alias("b"))
-    n = F.col("a") + F.col("b")
-    out = out.withColumn("rate", F.col("a") / n).withColumn("bound", F.col("rate") - z * F.sqrt(F.col("a") * F.col("b") / (n * n * (n + 1))))
-    return out.withColumn("blocked", F.col("bound") > limit).drop("a", "b")
-
-
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, rate and bound; outcomes: page_id, bad (1: a bad outcome)."""
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n"))
+    fitted = [suffixes.agg(common.beta_moments(F.col("s_bad"), F.col("s_n"), least, most)[1].alias("s_strength"))]
+    fitted.append(domains.agg(common.beta_moments(F.col("d_bad"), F.col("d_n"), least, most)[1].alias("d_strength")))
+    mean, strength = common.beta_moments(F.col("bad"), F.col("n"), least, most)
+    fitted.append(hosts.agg(mean.alias("mean"), strength.alias("strength")))
+    out = hosts.join(domains.join(suffixes, "suffix").drop("suffix"), "domain")
+    for one in fitted:
+        out = out.crossJoin(F.broadcast(one))  # one row
+    up = (F.col("s_bad") - F.col("d_bad") + F.col("mean") * F.col("s_strength")) / (F.col("s_n") - F.col("d_n") + F.col("s_strength"))
+    prior = (F.col("d_bad") - F.col("bad") + up * F.col("d_strength")) / (F.col("d_n") - F.col("n") + F.col("d_strength"))
+    a, b = F.col("bad") + prior * F.col("strength"), F.col("n") - F.col("bad") + (1 - prior) * F.col("strength")
+    out = out.select("host", F.col("bad").cast("long").alias("bad"), (F.col("n") - F.col("bad")).cast("long").alias("good"), "mean", a.alias("a"), b.alias("b"))
+    out = out.withColumns({"rate": F.col("a") / (F.col("a") + F.col("b")), "bound": common.lower_bound(F.col("a"), F.col("b"), z)})
+    return out.withColumn("blocked", common.worse(F.col("bound"), F.col("mean"), times)).drop("a", "b", "mean")
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, **options) -> DataFrame:
+    """page_id, host, path, rule, verdict, rate and bound; outcomes: host, bad (1: a bad outcome)."""
     host, path = split_url(pages["url"])
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labelled = cut.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    known = reputations(labelled.select("host", "bad"), limit).select(F.col("host").alias("known"), "rate", "bound", "blocked")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    spread = known.withColumn("known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = salted.join(spread, (F.col("host") == F.col("known")) & (F.col("salt") == F.col("known_salt")), "left")
+    known = common.stage(reputations(outcomes, **options).select(F.col("host").alias("known"), "rate", "bound", "blocked"), "reputations")
+    both = cut.join(known, F.col("host") == F.col("known"), "left")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("blocked"), "block").otherwise("allow"))
     return both.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "rate", "bound")

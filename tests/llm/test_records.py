@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import html_text, pii, toxicity, urls
 from rankloom.llm.queries import op2_pii, op4_urls, op5_toxicity
@@ -89,7 +91,7 @@ def ruled(host, path):
 def test_url_rules(spark):
     odd = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y", "x://example.net", "http://example.net/en", "http://example.net/EN/", "http://badexample.com/de/", "a://example.com/de/#", "a://x.example.com?/de/", "a://org/fr/", "a://b://c.org/fr/", "a://É.Org/fr/\n", "a://example.net:80/en/", "a://net/"]
     pages = [(i, u, "x") for i, u in enumerate(odd)] + [(None, "a://x.net/", "x"), (3, "http://", "x")]
-    empty = spark.createDataFrame([], "page_id long, bad int")
+    empty = spark.createDataFrame([], "host string, bad int")
     got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, host string"), empty).select("page_id", "host", "path", "rule", "verdict").fillna("-").collect())
     want = sorted((str(i), *cut(u), ruled(*cut(u))[0] or "-", ruled(*cut(u))[1] or "allow") for i, u, _ in pages)
     assert got == want
@@ -97,12 +99,63 @@ def test_url_rules(spark):
         assert r.rule == ruled(r.host, r.path)[0] and (r.rule is None or r.verdict == ruled(r.host, r.path)[1])
 
 
+def moments(pairs, least, most):
+    """Mean and strength of the beta prior of rates k of n."""
+    pairs = [(k, n) for k, n in pairs if n > 0]
+    total = sum(n for _, n in pairs)
+    m = sum(k for k, _ in pairs) / total
+    room = total - sum(n * n for _, n in pairs) / total - (len(pairs) - 1)
+    if room <= 0 or m in (0, 1):
+        return m, most
+    rho = (sum(n * (k / n - m) ** 2 for k, n in pairs) - m * (1 - m) * (len(pairs) - 1)) / (m * (1 - m) * room)
+    return m, most if rho <= 0 else min(most, max(least, 1 / rho - 1))
+
+
 def test_reputation(spark):
-    rows = [("bad.example.com", 1)] * 60 + [("bad.example.com", 0)] * 2 + [("new.example.com", 1)] + [("fine.example.org", 0)] * 80 + [("other.co.uk", 1), ("silent.example.org", None)]
+    rows = [("bad.example.com", 1)] * 60 + [("bad.example.com", 0)] * 2 + [("new.example.com", 1)] + [("fine.example.org", 0)] * 80 + [("more.example.org", 0)] * 90 + [("more.example.org", 1)] * 9
+    rows += [("other.co.uk", 1), ("third.org", 0), ("third.org", 1), ("silent.example.org", None)]
     got = {r.host: r for r in urls.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert got["bad.example.com"].blocked and not got["fine.example.org"].blocked and not got["silent.example.org"].blocked
-    assert got["fine.example.org"].rate < got["silent.example.org"].rate < got["other.co.uk"].rate
-    assert got["new.example.com"].rate > got["other.co.uk"].rate * 0.9 and got["new.example.com"].bad == 1
+    hosts = {h: (sum(b == 1 for g, b in rows if g == h), sum(b is not None for g, b in rows if g == h)) for h, _ in rows}
+    domain = {h: h if h.count(".") == 1 else h.split(".", 1)[1] if h != "other.co.uk" else h for h in hosts}
+    suffix = {h: "co.uk" if h == "other.co.uk" else h.rsplit(".", 1)[1] for h in hosts}
+    add = lambda of: {g: tuple(map(sum, zip(*(hosts[h] for h in hosts if of[h] == g)))) for g in of.values()}
+    domains, suffixes = add(domain), add(suffix)
+    base, s_h = moments(hosts.values(), 2, 1000)
+    s_d, s_s = moments(domains.values(), 2, 1000)[1], moments(suffixes.values(), 2, 1000)[1]
+    for h, (k, n) in hosts.items():
+        (dk, dn), (sk, sn) = domains[domain[h]], suffixes[suffix[h]]
+        up = (sk - dk + base * s_s) / (sn - dn + s_s)
+        prior = (dk - k + up * s_d) / (dn - n + s_d)
+        a, b = k + prior * s_h, n - k + (1 - prior) * s_h
+        bound = a / (a + b) - 1.64 * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+        assert (got[h].bad, got[h].good) == (k, n - k) and np.isclose(got[h].rate, a / (a + b)) and np.isclose(got[h].bound, bound)
+        assert got[h].blocked == (bound / (1 - bound) > 2 * base / (1 - base))
+    assert [h for h in hosts if got[h].blocked] == ["bad.example.com", "new.example.com"]  # the second by its domain
+
+
+def test_url_query_where_a_host_is_bad(spark, tmp_path):
+    """Real pages, with one host's labels turned bad, and repeated rows: the posterior decides, as in the SQL."""
+    import duckdb
+
+    from rankloom.llm.queries import SQL
+
+    sf = "/root/testdata/sf0.1"
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    host, path = urls.split_url(pages["url"])
+    cuts = pages.select("page_id", host.alias("host"), F.regexp_extract(path, r"^/[a-z]+/([0-9]+)", 1).alias("doc")).collect()
+    of = next(h for h, _ in Counter(r.host for r in cuts).most_common() if h.endswith(".com"))
+    own = {int(r.doc) for r in cuts if r.host == of}
+    labels = labels.where(~F.col("doc_id").isin(own)).unionByName(spark.createDataFrame([(i, 0, 0) for i in own], labels.schema))
+    pages.unionByName(pages.limit(3)).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in op4_urls(spark, str(tmp_path)).fillna("-").collect())
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(SQL["op4_urls"]).fetchall()
+    assert {r[:2] + r[3:] for r in got} == {(p, h, r or "-", v) for p, h, _, r, v in want} and len(got) == pages.count() + 3
+    assert {r[4] for r in got if r[1] == of and r[3] == "-"} == {"block"} and {r[4] for r in got if r[1] != of and r[3] == "-"} == {"allow"}
+    assert op4_urls(spark, sf).where(f"host = '{of}' AND verdict = 'block' AND rule IS NULL").count() == 0
 
 
 def test_toxicity(spark):

@@ -230,16 +230,34 @@ def test_quality_measures(spark):
     assert quality.apply_rules(spark.createDataFrame([], SCHEMA))[0].count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 20_000])
-def test_bad_hosts_lose_all_their_texts(spark, monkeypatch, most):
-    monkeypatch.setattr(quality, "MOST_HOSTS", most)
-    good = "these are ten different words that make up one text"
-    data = [(i, "junk" if i % 20 else good, "bad", "") for i in range(200)] + [(1000 + i, good, f"s{i % 9}", "") for i in range(300)]
+GOOD = "these are ten different words that make up one text"
+
+
+def test_bad_hosts_lose_all_their_texts(spark):
+    data = [(i, "junk" if i % 20 else GOOD, "bad", "") for i in range(200)] + [(1000 + i, GOOD, f"s{i % 9}", "") for i in range(300)]
     df, names = quality.apply_rules(spark.createDataFrame([(i, t, s) for i, t, s, _ in data], "doc_id long, text string, source string"))
     assert {r.source for r in df.where(names["kept"]).collect()} == {f"s{i}" for i in range(9)}
     assert df.where(names["kept"]).count() == 300
 
 
+def test_suspect_hosts_and_equal_hosts(spark, tmp_path):
+    """Real texts and sources, and one more source of many symbols: its failing texts go, its others stay; as in the SQL."""
+    import duckdb
+
+    from rankloom.llm.queries import SQL, op10_quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [(100_000 + i, GOOD + (" " + "$%" * 20 if i % 4 == 0 else f" {i}"), "en", "noisy", 0) for i in range(400)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in op10_quality(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(SQL["op10_quality"]).fetchall())
+    turned = {r[0] for r in got if not r[6] and not r[7]}
+    assert turned == {i for i, t, *_ in odd if "$" in t and not next(r[6] for r in got if r[0] == i)} and turned
+    assert op10_quality(spark, "/root/testdata/sf0.01").where("kept = base_failed").count() == 0
+
+
 LINES = ["alpha one two three", "beta four five", "gamma six", "delta seven eight nine", "epsilon ten", "zeta eleven twelve"]
 
 
