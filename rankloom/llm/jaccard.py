@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from . import tokens as token_ids
 from .components import components
 from .words import SOLID, Words, mix, shingles
 
 RANGES = 256  # of the counted hashes; each has 2 ** 24 of them
 FLUSH = 4_000_000
 PICKS = 8
-ROWS, SHINGLES = 2048, 400_000  # of a block
+ROWS, SHINGLES = 1024, 200_000  # of a block
 DENSE = 8  # rows of a block that hold a shingle, from which it is a column of a matrix
 LEAST = ["m0", "m1", "m2"]
 ORDERS = [np.uint64(0x51ED270B35AE1F4D), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
@@ -118,6 +119,7 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
+        token_ids.release()
         tokens, held = [], 0
         for batch in batches:
             for part in common.pieces(batch):
@@ -219,7 +221,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k:
 
 def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each two sets share: a product of matrices where an element is in many sets, else pair by pair."""
-    out = np.zeros((len(left), len(right)), np.int64)
+    out = np.zeros((len(left), len(right)), np.int32)
     x, y = np.concatenate(left), np.concatenate(right)
     row, col = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (left, right))
     _, at = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -237,7 +239,7 @@ def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             side = np.zeros((size, min(1024, len(many) - a)), np.float32)
             side[line[on], place[token[on]] - a] = 1
             sides.append(side)
-        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+        out += (sides[0] @ sides[1].T).astype(np.int32)  # counts up to 1,024 are exact
     some = shared & (place < 0)
     on_p, on_q = np.flatnonzero(some[p]), np.flatnonzero(some[q])
     if len(on_p):
@@ -246,7 +248,7 @@ def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         first = np.searchsorted(p[on_p], q[on_q])
         step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         pairs = row[on_p[np.repeat(first, times) + step]] * len(right) + np.repeat(col[on_q], times)
-        out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape).astype(np.int32)
     return out
 
 
@@ -267,7 +269,7 @@ def _links(node, n, reach, comp, lefts, rights, own, third, percent: int) -> lis
         return []
     l, r, ok = l[ok.any(1)], r[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]  # noqa: E741
     both = _overlap([own[i] for i in l], [own[i] for i in r])
-    ok &= 100 * both >= percent * (n[l][:, None] + n[r] - both)
+    ok &= (100 + percent) * both.astype(np.int64) >= percent * (n[l][:, None] + n[r])
     label, most = node.copy(), np.iinfo(np.int64).max
     while True:
         before = label.copy()

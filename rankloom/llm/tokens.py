@@ -116,6 +116,11 @@ class Encoder:
         return [b"".join(ids_of) for ids_of in found]
 
 
+def release() -> None:
+    """Lets go of what this worker keeps: workers are reused, and other operators need the memory."""
+    _kept.clear()
+
+
 def encoder(path: str, dtype: str, ordinary: bool = False) -> Encoder:
     """One for each worker and vocabulary."""
     if (path, dtype, ordinary) not in _kept:
