@@ -93,9 +93,9 @@ def minmax(value: Column, lo: Column, hi: Column, rel_floor: float = 0.01) -> Co
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson score interval, rounded to 6; (0, 0) without trials."""
+    """Wilson score interval, not rounded; (0, 0) without trials."""
     p = hits / F.when(n > 0, n)
     den = 1 + z * z / n
     mid = (p + z * z / (2 * n)) / den
     off = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / den
-    return tuple(F.when(n > 0, half_up(x, 6)).otherwise(0.0) for x in (mid - off, mid + off))
+    return tuple(F.when(n > 0, x).otherwise(0.0) for x in (mid - off, mid + off))

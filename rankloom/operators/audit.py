@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,26 @@ def allowed_path(path: Column) -> Column:
     return (F.size(F.array_intersect(parts, F.array(*map(F.lit, FORBIDDEN)))) == 0) & ~F.startswith(path, F.lit("/")) & (~golden | F.array_contains(parts, "evaluation"))
 
 
+def selected(files: DataFrame, include: list[str], exclude: list[str], path: str = "path") -> DataFrame:
+    """Distinct paths at or below one of `include`, none of whose parts is in `exclude`, in order."""
+    parts = F.split(F.col(path), "/")
+    below = F.lit(False)
+    for top in include:
+        below = below | (F.col(path) == top) | F.startswith(F.col(path), F.lit(top.rstrip("/") + "/"))
+    return files.where(below & ~F.arrays_overlap(parts, F.array(*map(F.lit, exclude)))).select(path).distinct().orderBy(path)
+
+
+def directory_hash(folder: str) -> str:
+    """SHA-256 of the paths and contents of a local folder's files, in order of path; files are read block by block."""
+    digest, top = hashlib.sha256(), Path(folder)
+    for file in sorted(f for f in top.rglob("*") if f.is_file()):
+        digest.update(file.relative_to(top).as_posix().encode())
+        with file.open("rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    return digest.hexdigest()
+
+
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

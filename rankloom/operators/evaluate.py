@@ -40,11 +40,11 @@ def token_cost(rows: DataFrame, price_in: float, price_out: float, by: list[str]
 
 
 def utilisation_cost(levels: DataFrame, hourly: float, tokens: float, shares: list[float]) -> DataFrame:
-    """Serving cost of 1,000 requests and of a million tokens at several utilisations; levels: level, rps."""
+    """Serving cost of 1,000 requests and of a million tokens at several utilisations, not rounded; levels: level, rps."""
     table = F.explode(F.array(*map(F.lit, shares))).alias("utilisation")
     df = levels.select("level", "rps", table)
     per_1k = F.try_divide(F.lit(hourly / 3.6), F.col("rps") * F.col("utilisation"))
-    return df.select("level", "utilisation", half_up(per_1k, 6).alias("per_1k"), half_up(per_1k / tokens * 1000, 6).alias("per_mtok"))
+    return df.select("level", "utilisation", per_1k.alias("per_1k"), (per_1k / tokens * 1000).alias("per_mtok"))
 
 
 def subgroups(rows: DataFrame, fields: list[str], least: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,12 +67,56 @@ def resolve_cache(requests: DataFrame, cache: DataFrame, key: str) -> tuple[Data
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str, most_chars: int = 4_000_000) -> DataFrame:
-    """Pairs of rows and phrases they contain. The phrases, a stated query set, are broadcast if they are small enough."""
-    size = phrases.agg(F.coalesce(F.sum(F.length(phrase)), F.lit(0))).first()[0]
-    if size > most_chars:
-        raise ValueError(f"{size} characters of phrases; give them in parts of at most {most_chars}")
-    return docs.join(F.broadcast(phrases), F.contains(F.col(text), F.col(phrase)))
+def record_id(df: DataFrame) -> Column:
+    """scenario_id, else id, as text; a row that has neither fails the job."""
+    own = [F.col(c).cast("string") for c in ("scenario_id", "id") if c in df.columns]
+    return F.coalesce(*own, F.raise_error(F.lit("a row has neither scenario_id nor id")).cast("string"))
+
+
+def read_through(requests: DataFrame, cache: DataFrame, key: str, fetch=None) -> DataFrame:
+    """Cached rows, and what `fetch` makes of the requests that miss; without it a miss fails the job. Appends cached."""
+    hits, misses = resolve_cache(requests, cache, key)
+    if fetch is None:
+        missed = F.raise_error(F.concat(F.lit("not in the cache: "), F.col(key).cast("string")))
+        fetched = misses.select(*(F.when(missed.isNull(), F.lit(None)).cast(cache.schema[c].dataType).alias(c) for c in cache.columns))
+    else:
+        fetched = fetch(misses).select(*cache.columns)
+    return hits.select(*cache.columns, F.lit(True).alias("cached")).unionByName(fetched.withColumn("cached", F.lit(False)))
+
+
+def shard_plan(rows: DataFrame, place: str, tokens: Column, size: int, price: float) -> DataFrame:
+    """shard, n, tokens and what they cost at a price for a million; `size` rows to a shard, in order of their place."""
+    from rankloom.functions.scalars import half_up
+
+    shards = rows.select(F.floor(F.col(place) / size).alias("shard"), tokens.alias("t"))
+    return shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("long").alias("tokens"), half_up(F.sum("t") / 1e6 * price, 6).alias("cost"))
+
+
+def _hash_of(width: int):
+    return lambda i: F.xxhash64(F.slice("_cut", i, width))
+
+
+def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str, width: int = 3) -> DataFrame:
+    """Pairs of rows and phrases they contain.
+
+    What stands between two spaces of a phrase stands between spaces in every text that contains it: rows and phrases
+    meet by the first `width` such words in a row (fewer, if there are fewer), and what meets is compared in full. Only
+    phrases of less than three words are looked for in every text.
+    """
+    words = lambda c: F.split(c, " ", -1)
+    sized = phrases.withColumn("_width", F.greatest(F.lit(0), F.least(F.size(words(phrase)) - 2, F.lit(width))))
+    widths = [r[0] for r in sized.select("_width").distinct().collect()]  # at most width + 1 rows
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = docs.join(sized.where("_width = 0").drop("_width"), F.contains(F.col(text), F.col(phrase))) if 0 in widths else None
+    for w in sorted(x for x in widths if x):
+        own = sized.where(F.col("_width") == w).drop("_width").withColumn("_words", F.xxhash64(F.slice(words(phrase), 2, w)))
+        cut = rows.select("_row", words(F.col(text)).alias("_cut")).where(F.size("_cut") >= w)
+        pieces = F.transform(F.sequence(F.lit(1), F.size("_cut") - w + 1), _hash_of(w))
+        some = cut.select("_row", F.explode(F.array_distinct(pieces)).alias("_words"))
+        some = some.join(own.select("_words").distinct(), "_words", "left_semi").distinct()
+        pairs = rows.join(some.join(own, "_words").drop("_words"), "_row").drop("_row").where(F.contains(F.col(text), F.col(phrase)))
+        found = pairs if found is None else found.unionByName(pairs)
+    return docs.crossJoin(phrases).limit(0) if found is None else found
 
 
 #: Column names of expert rows, and what the engine calls them: fixed values.

@@ -68,3 +68,19 @@ def unsorted_rows(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
     before = F.lag(value).over(Window.partitionBy(by).orderBy(order))
     return df.withColumn("before", before).where(F.col(value) > F.col("before")).drop("before")
+
+
+def length_summary(rows: DataFrame, length: Column, limit: int) -> DataFrame:
+    """One row: percentiles of a length, the longest and how many are over a limit."""
+    from rankloom.functions.scalars import half_up
+
+    n = rows.select(length.alias("n"))
+    return n.agg(F.count("n").alias("n_texts"), *(half_up(F.percentile("n", F.lit(p / 100))).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max("n").alias("longest"), F.count_if(F.col("n") > limit).alias("n_over"))
+
+
+def require_lengths(rows: DataFrame, key: str, length: Column, limit: int) -> DataFrame:
+    """The rows; raises, with the five longest, if any is over a limit."""
+    over = rows.select(F.col(key).alias("key"), length.alias("n")).where(F.col("n") > limit)
+    if worst := over.orderBy(F.desc("n"), "key").limit(5).collect():
+        raise ValueError(f"{over.count()} rows are over {limit}; the longest: " + ", ".join(f"{r.key}: {r.n}" for r in worst))
+    return rows

@@ -2,47 +2,66 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from hashlib import sha256
+from math import ceil, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import stable_hash
 
-#: Rows that the sequential method takes.
-MOST = 100_000
+#: Different label tuples whose leftover rows the driver deals out.
+MOST_CELLS = 1_000_000
 
 
-def numbered(df: DataFrame, order: str, name: str, rows: int = 1 << 16) -> DataFrame:
-    """Appends the 0-based place in an order, without a window over all rows: ranges first, then counts of ranges."""
-    bounds = df.select(F.col(order).alias("o")).where("o IS NOT NULL")
-    low, high, n = bounds.agg(F.min("o"), F.max("o"), F.count(F.lit(1))).first()
-    if not n:
-        return df.withColumn(name, F.lit(None).cast("long")).limit(0)
-    step = max(1, (high - low + 1) * rows // max(n, 1)) if isinstance(low, int) else None
-    if step is None:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    cut = df.withColumn("_range", F.floor((F.col(order) - low) / step))
-    sums = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+def _running(cells: DataFrame, count: str, order: str, by: list[str] = ()) -> Column:
+    """The sum of a count over the cells before each."""
+    w = Window.partitionBy(*by) if by else Window
+    return F.coalesce(F.sum(count).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def numbered(df: DataFrame, order: str, name: str, rows: int = 1 << 18, most: int = 4096) -> DataFrame:
+    """Appends the 0-based place in a numeric or time order; null: no place.
+
+    No window runs over all rows: quantiles of the order cut it into ranges of about `rows` rows, at most `most` ranges,
+    however its values are spread; rows are numbered within a range, after the counts of the ranges before.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    value, has = F.col(order).cast("double"), F.col(order).isNotNull()
+    cells = min(most, df.where(has).count() // rows + 1)
+    bounds = []
+    if cells > 1:
+        bounds = df.where(has).agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 20 * cells)).first()[0]
+    cut = df.withColumn("_range", F.when(has, 0.0))
+    if bounds:
+        edges = [-float("inf"), *sorted(set(bounds)), float("inf")]
+        cut = Bucketizer(splits=edges, inputCol="_value", outputCol="_range", handleInvalid="keep").transform(df.withColumn("_value", F.when(has, value).otherwise(float("nan"))))
+        cut = cut.withColumn("_range", F.when(has, F.col("_range"))).drop("_value")
+    sums = cut.where(has).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.select("_range", _running(sums, "_n", "_range").alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + F.col("_before")
-    return cut.join(before, "_range").withColumn(name, place.cast("long")).drop("_range", "_before")
+    return cut.join(F.broadcast(before), "_range", "left").withColumn(name, place.cast("long")).drop("_range", "_before")  # at most `most` rows
 
 
 def label_text(columns: list[str]) -> Column:
     return F.concat_ws("|", *(F.lower(F.col(c).cast("string")) for c in columns))
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, namespace: str, labels: list[str] = (), buckets: int = 256) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int, namespace: str, labels: list[str] = (), rows: int = 1 << 16) -> DataFrame:
     """Appends place: the 0-based rank by (labels, seeded hash).
 
-    Rows are ranked within a cell of labels and the hash's first byte; the counts of cells, few rows, give the offsets.
+    Rows are ranked within a cell of labels and the hash's first digits, of which there are enough for about `rows` rows
+    in a cell; the counts of cells give the offsets, first of the labels, then of the cells within one.
     """
+    digits = min(6, max(1, ceil(log(max(df.count(), 1) / rows + 1, 16))))
     h = stable_hash(seed, namespace, F.col(key))
-    df = df.withColumn("_h", h).withColumn("_l", label_text(list(labels)) if labels else F.lit("")).withColumn("_b", F.substring("_h", 1, 2))
+    df = df.withColumn("_h", h).withColumn("_l", label_text(list(labels)) if labels else F.lit("")).withColumn("_b", F.substring("_h", 1, digits))
     cells = df.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = cells.select("_l", "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_l", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    of = cells.groupBy("_l").agg(F.sum("_n").alias("_all"))
+    of = of.select("_l", _running(of, "_all", "_l").alias("_first"))
+    before = cells.join(of, "_l").select("_l", "_b", (F.col("_first") + _running(cells, "_n", "_b", ["_l"])).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_l", "_b").orderBy("_h", key)) - 1 + F.col("_before")
     return df.join(before, ["_l", "_b"]).withColumn("place", place.cast("long")).drop("_h", "_l", "_b", "_before")
 
@@ -70,48 +89,74 @@ def folds(df: DataFrame, key: str, labels: list[str], k: int, seed: int) -> Data
     return hash_rank(df, key, seed, "fold", labels).withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
 
 
-def iterative(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str, most: int = MOST) -> DataFrame:
-    """key, split by the greedy exact method: the rarest label's rows first, each to the group that lacks it most.
+def iterative(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str) -> DataFrame:
+    """Appends split, of exact sizes. Rows of one tuple of labels are a cell; each group takes its whole share of a cell.
 
-    Sequential, so one task; at most `most` rows, above which `systematic` is the method to use.
+    What is left, fewer rows of a cell than there are groups, is dealt out cell by cell, those that hold the rarest label
+    first, else by a seeded hash: each row to the group with room that lacks most of that one of the cell's labels of which it
+    lacks least, in parts of what it should have of it. Which
+    of a cell's rows a group takes goes by a seeded hash. Only cells, at most MOST_CELLS, meet on the driver.
     """
-    n = df.count()
+    names, n = list(sizes), df.count()
     if n != sum(sizes.values()):
         raise ValueError(f"sizes add up to {sum(sizes.values())}, there are {n} rows")
-    if n > most:
-        raise ValueError(f"{n} rows; the exact method takes {most} at most, use systematic()")
-    digest = lambda space, text: sha256(f"{seed}:{namespace}:{space}:{text}".encode()).hexdigest()
-
-    def assign(pdf):
-        rows = {r[0]: [(c, str(v).lower()) for c, v in zip(labels, r[1:], strict=True)] for r in pdf[[key, *labels]].itertuples(index=False)}
-        totals = Counter(x for ls in rows.values() for x in ls)
-        waiting = defaultdict(set)
-        for k, ls in rows.items():
-            for x in ls:
-                waiting[x].add(k)
-        room, have, out = dict(sizes), {g: Counter() for g in sizes}, {}
-        want = {g: {x: c * z / n for x, c in totals.items()} for g, z in sizes.items()}
-        while waiting:
-            rare = min(waiting, key=lambda x: (len(waiting[x]), x))
-            for k in sorted(waiting[rare], key=lambda k: digest("record", k)):
-
-                def lack(g, k=k):
-                    need = [(want[g][x] - have[g][x]) / max(want[g][x], 1.0) for x in rows[k]]
-                    return sum(need) / len(need), room[g] / max(sizes[g], 1), digest("group", f"{k}{g}")
-
-                g = max((g for g in room if room[g]), key=lack)
-                out[k], room[g] = g, room[g] - 1
-                have[g].update(rows[k])
-                for x in rows[k]:
-                    if x != rare:
-                        waiting[x].discard(k)
-                        if not waiting[x]:
-                            del waiting[x]
-            del waiting[rare]
-        return pdf[[key]].assign(split=pdf[key].map(out))
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *labels).groupBy().applyInPandas(assign, f"{key} {kind}, split string")
+    text = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in labels]
+    cells = df.groupBy(*(t.alias(f"_l{i}") for i, t in enumerate(text))).agg(F.count(F.lit(1)).alias("_n")).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"over {MOST_CELLS} label tuples; use systematic()")
+    label = [f"_l{i}" for i in range(len(labels))]
+    cells = cells.sort_values(label, ignore_index=True)
+    count, share = cells["_n"].to_numpy(), np.array([sizes[g] for g in names]) / max(n, 1)
+    take = np.floor(np.outer(count, share) + 1e-9).astype(np.int64)
+    codes = np.stack([cells[c].factorize()[0] for c in label], 1) if len(cells) else np.zeros((0, len(labels)), np.int64)
+    codes = codes + np.concatenate([[0], np.cumsum(codes.max(0) + 1)[:-1]]) if len(cells) else codes
+    total = np.bincount(codes.ravel(), np.repeat(count, len(labels)), minlength=1)
+    want = np.outer(total, share)
+    lack = want.copy()
+    for c in range(len(labels)):
+        np.subtract.at(lack, codes[:, c], take)
+    room = np.array([sizes[g] for g in names]) - take.sum(0)
+    by_hash = [sha256(f"{seed}:{namespace}:{'|'.join(t)}".encode()).hexdigest() for t in cells[label].itertuples(index=False, name=None)]
+    for i in np.lexsort((by_hash, total[codes].min(1))) if len(cells) else ():
+        for _ in range(count[i] - take[i].sum()):
+            need = np.where(room > 0, (lack[codes[i]] / np.maximum(want[codes[i]], 1)).min(0), -np.inf)
+            g = int(need.argmax())
+            take[i, g] += 1
+            room[g] -= 1
+            lack[codes[i], g] -= 1
+    ends = np.cumsum(take, 1)
+    rows = [(*t, e) for t, e in zip(cells[label].itertuples(index=False, name=None), ends.tolist(), strict=True)]
+    schema = ", ".join(f"{c} string" for c in label) + ", _ends array<long>"
+    dealt = df.sparkSession.createDataFrame(rows, schema)
+    ranked = hash_rank(df, key, seed, namespace, labels)
+    keyed = ranked.select("*", *(t.alias(c) for t, c in zip(text, label, strict=True)))
+    first = keyed.groupBy(*label).agg(F.min("place").alias("_first"))
+    keyed = keyed.join(first.join(dealt, label), label)
+    at = F.size(F.filter("_ends", lambda e: e <= F.col("place") - F.col("_first")))
+    split = F.element_at(F.array(*map(F.lit, names)), at + 1)
+    return keyed.withColumn("split", split).select(*df.columns, "split")
+
+
+def two_stage(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], parts: dict[str, dict[str, int]], seed: int, namespace: str) -> DataFrame:
+    """Appends split: first into the groups of `sizes`, then those that `parts` names into parts of their own."""
+    first = iterative(df, key, labels, sizes, seed, namespace)
+    out = first.where(~F.col("split").isin(list(parts)))
+    for group, own in parts.items():
+        out = out.unionByName(iterative(first.where(F.col("split") == group).drop("split"), key, labels, own, seed, f"{namespace}-{group}"))
+    return out
+
+
+def balance(split: DataFrame, labels: list[str], slack: float) -> DataFrame:
+    """split, n_rows, and balanced: whether no label's count is `slack` rows or more from the split's share of all."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.lower(F.col(c).cast("string")).alias("value")) for c in labels))).alias("l")
+    n = split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    had = split.select("split", pairs).groupBy("split", "l").agg(F.count(F.lit(1)).alias("c"))
+    all_ = had.groupBy("l").agg(F.sum("c").alias("all"))
+    whole = n.agg(F.sum("n_rows").alias("n"))
+    want = n.crossJoin(F.broadcast(whole)).crossJoin(all_)  # few groups, and one row for each label
+    both = want.join(had, ["split", "l"], "left")
+    apart = F.abs(F.coalesce("c", F.lit(0)) - F.col("all") * F.col("n_rows") / F.col("n"))
+    return both.groupBy("split").agg(F.first("n_rows").alias("n_rows"), (F.max(apart) < slack).alias("balanced"))
 
 
 def deviation(reference: DataFrame, subset: DataFrame, labels: list[str]) -> DataFrame:

@@ -14,11 +14,11 @@ from rankloom.registry import query
 
 _h = lambda x, d=4: f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
 
-# The search: 200 panels by seeded hash, 10 anchors and more.
-_SAMPLE = "sample AS (SELECT scenario_id, (row_number() OVER (ORDER BY sha256('9:sample:' || scenario_id)) - 1) % 5 AS fold FROM (SELECT DISTINCT scenario_id FROM panel) ORDER BY sha256('9:sample:' || scenario_id) LIMIT 200)"
+# The search: all panels, folds by seeded hash, 10 anchors and more.
+_FOLDS = "folded AS (SELECT scenario_id, (row_number() OVER (ORDER BY sha256('9:sample:' || scenario_id)) - 1) % 5 AS fold FROM (SELECT DISTINCT scenario_id FROM panel))"
 _CANDS = "cand(id, static, ins0, sc0, price) AS (VALUES " + ", ".join(f"({i}, {float(s)!r}, {float(n)!r}, {float(c)!r}, {float(p)!r})" for i, (s, n, c, p, _) in enumerate(calibrate.ANCHORS)) + "), w AS (SELECT id, CAST(price AS DOUBLE) AS w_price, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 4.0 / 7.0 AS w_cov, CAST(ins0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_ins, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 3.0 / 7.0 AS w_ded, CAST(sc0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_score FROM cand)"
-SEARCH = f"""{NORMED}, {V.TEACHERS}, {_SAMPLE}, {_CANDS},
-rr AS (SELECT id, fold, n.scenario_id, tariff_id, pos, {_h('(w_cov * n_cov + w_ins * n_ins + w_ded * (1.0 - n_ded) + w_score * n_score) / (w_cov + w_ins + w_ded + w_score) / (1.0 + w_price * n_price)')} AS reward FROM normed n JOIN sample USING (scenario_id) CROSS JOIN w),
+SEARCH = f"""{NORMED}, {V.TEACHERS}, {_FOLDS}, {_CANDS},
+rr AS (SELECT id, fold, n.scenario_id, tariff_id, pos, {_h('(w_cov * n_cov + w_ins * n_ins + w_ded * (1.0 - n_ded) + w_score * n_score) / (w_cov + w_ins + w_ded + w_score) / (1.0 + w_price * n_price)')} AS reward FROM normed n JOIN folded USING (scenario_id) CROSS JOIN w),
 ord AS (SELECT *, row_number() OVER (PARTITION BY id, scenario_id ORDER BY reward DESC, pos) AS place FROM rr),
 lab AS (SELECT o.*, t.rank AS t FROM ord o LEFT JOIN teacher t ON t.scenario_id = o.scenario_id AND t.tariff_id = o.tariff_id),
 hits AS (SELECT id, fold, scenario_id, count(CASE WHEN place = 1 AND t = 1 THEN 1 END) AS top1, count(CASE WHEN place <= 3 AND t IS NOT NULL THEN 1 END) AS top3, 3 + 3 * (count(*) - 3) AS constraints FROM lab GROUP BY 1, 2, 3),
@@ -26,21 +26,10 @@ prs AS (SELECT a.id, a.scenario_id, count(*) AS pairs FROM lab a JOIN lab b ON a
 sums AS (SELECT h.id, h.fold, count(*) AS n, CAST(sum(top1) AS BIGINT) AS top1, CAST(sum(top3) AS BIGINT) AS top3, CAST(sum(coalesce(pairs, 0)) AS BIGINT) AS pairs, CAST(sum(constraints) AS BIGINT) AS constraints FROM hits h LEFT JOIN prs p ON p.id = h.id AND p.scenario_id = h.scenario_id GROUP BY 1, 2)"""
 
 
-def sample(spark, sf):
-    """200 panels as arrays with their fold, and the teachers."""
-    ids = V.panels(spark, sf).select("scenario_id").distinct()
-    h = S.stable_hash(9, "sample", F.col("scenario_id"))
-    return folded(spark, sf, ids.orderBy(h).limit(200))
-
-
-def folded(spark, sf, ids=None):
-    """All panels, or those of ids, as arrays with their fold, and the teachers."""
+def folded(spark, sf):
+    """All panels as arrays with their fold, and the teachers."""
     panels = V.panels(spark, sf)
-    if ids is not None:
-        panels = panels.join(ids, "scenario_id", "left_semi")
-    else:
-        ids = panels.select("scenario_id").distinct()
-    chosen = splits.hash_rank(ids, "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
+    chosen = splits.hash_rank(panels.select("scenario_id").distinct(), "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
     return scoring.panel_arrays(scoring.norms(panels)).join(chosen, "scenario_id"), ranking.top_ids(V.teachers(spark, sf))
 
 
@@ -50,15 +39,7 @@ def anchors(spark):
 
 @query("candidate_sums", "D10 F7 H3 G14 J31", f"WITH {SEARCH} SELECT * FROM sums")
 def candidate_sums(spark, sf):
-    return _sums(spark, *sample(spark, sf))
-
-
-@query("candidate_sums_all", "D10 F7 H3 G14 J31")
-def candidate_sums_all(spark, sf):
-    return _sums(spark, *folded(spark, sf))
-
-
-def _sums(spark, panels, teachers):
+    panels, teachers = folded(spark, sf)
     return calibrate.evaluate(panels, teachers, anchors(spark)).withColumn("fold", F.col("fold").cast("long"))
 
 
@@ -68,15 +49,7 @@ def _distance() -> str:
 
 @query("candidate_ranks", "F8 F9 H4 J13", f"WITH {SEARCH}, d AS ({_distance()}), tot AS (SELECT id, sum(n) AS n, sum(top1) AS top1, sum(top3) AS top3, sum(pairs) AS pairs FROM sums GROUP BY 1) SELECT tot.id, CAST(n AS BIGINT) AS n, CAST(top1 AS BIGINT) AS top1, CAST(top3 AS BIGINT) AS top3, CAST(pairs AS BIGINT) AS pairs, {_h('distance')} AS distance, row_number() OVER (ORDER BY top1 DESC, top3 DESC, pairs DESC, distance, tot.id) AS rank FROM tot JOIN d ON d.id = tot.id")
 def candidate_ranks(spark, sf):
-    return _ranks(spark, *sample(spark, sf))
-
-
-@query("candidate_ranks_all", "F8 F9 H4 J13")
-def candidate_ranks_all(spark, sf):
-    return _ranks(spark, *folded(spark, sf))
-
-
-def _ranks(spark, panels, teachers):
+    panels, teachers = folded(spark, sf)
     cands = anchors(spark)
     df = calibrate.ranked(calibrate.evaluate(panels, teachers, cands), cands)
     return df.select("id", "n", "top1", "top3", "pairs", S.half_up(F.col("distance")).alias("distance"), "rank")
@@ -84,15 +57,7 @@ def _ranks(spark, panels, teachers):
 
 @query("cross_validation", "F10 E12 E13", f"WITH {SEARCH}, d AS ({_distance()}), rest AS (SELECT s.*, distance, sum(top1) OVER x - top1 AS r1, sum(top3) OVER x - top3 AS r3, sum(pairs) OVER x - pairs AS rp FROM sums s JOIN d ON d.id = s.id WINDOW x AS (PARTITION BY s.id)) SELECT fold, id, n, top1, top3, pairs, constraints FROM rest QUALIFY row_number() OVER (PARTITION BY fold ORDER BY r1 DESC, r3 DESC, rp DESC, distance, id) = 1")
 def cross_validation(spark, sf):
-    return _validated(spark, *sample(spark, sf))
-
-
-@query("cross_validation_all", "F10 E12 E13")
-def cross_validation_all(spark, sf):
-    return _validated(spark, *folded(spark, sf))
-
-
-def _validated(spark, panels, teachers):
+    panels, teachers = folded(spark, sf)
     cands = anchors(spark)
     df = calibrate.cross_validated(calibrate.evaluate(panels, teachers, cands), cands)
     return df.withColumn("fold", F.col("fold").cast("long"))
@@ -176,11 +141,11 @@ def token_cost(spark, sf):
     return evaluate.token_cost(c, 1.25, 10.0, ["role"])
 
 
-@query("utilisation_cost", "E21", f"WITH s AS (SELECT user_id % 4 AS level, count(*) / 60.0 AS rps FROM events GROUP BY 1) SELECT level, CAST(u AS DOUBLE) AS utilisation, {_h('0.65 / 3.6 / (rps * CAST(u AS DOUBLE))', 5)} AS per_1k FROM s, unnest([0.25, 0.5, 0.75, 1.0]) AS t(u)")
+@query("utilisation_cost", "E21", f"WITH s AS (SELECT user_id % 4 AS level, count(*) / 60.0 AS rps FROM events GROUP BY 1) SELECT level, CAST(u AS DOUBLE) AS utilisation, {_h('0.65e0 / 3.6e0 / (rps * CAST(u AS DOUBLE))', 6)} AS per_1k, {_h('0.65e0 / 3.6e0 / (rps * CAST(u AS DOUBLE)) / 1000.0e0 * 1000', 6)} AS per_mtok FROM s, unnest([0.25, 0.5, 0.75, 1.0]) AS t(u)")
 def utilisation_cost(spark, sf):
     levels = V.table(spark, sf, "events").groupBy((F.col("user_id") % 4).alias("level")).agg((F.count(F.lit(1)) / 60.0).alias("rps"))
     df = evaluate.utilisation_cost(levels, 0.65, 1000.0, [0.25, 0.5, 0.75, 1.0])
-    return df.select("level", "utilisation", S.half_up(F.col("per_1k"), 5).alias("per_1k"))
+    return df.select("level", "utilisation", *(S.half_up(F.col(c), 6).alias(c) for c in ("per_1k", "per_mtok")))
 
 
 def _texts(spark, sf):

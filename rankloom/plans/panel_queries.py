@@ -96,22 +96,20 @@ def panel_margin(spark, sf):
     return scored(spark, sf).withColumn("next", F.lead("reward").over(w)).where("rank = 1").select("scenario_id", S.half_up(F.col("reward") - F.col("next")).alias("margin"))
 
 
-@query("rescored_ids", "G17 J9 J7", f"""WITH {SCORED}, best AS (SELECT scenario_id, tariff_id, reward FROM scored WHERE rank = 1)
-SELECT scenario_id, tariff_id, reward, 'wg-' || lpad(CAST(row_number() OVER (ORDER BY scenario_id) - 1 AS VARCHAR), 3, '0') AS new_id FROM best ORDER BY scenario_id LIMIT 200""")
+@query("rescored_ids", "G17 J9", f"""WITH {SCORED}, best AS (SELECT scenario_id, tariff_id, reward FROM scored WHERE rank = 1)
+SELECT scenario_id, tariff_id, reward, printf('wg-%03d', row_number() OVER (ORDER BY scenario_id) - 1) AS new_id FROM best""")
 def rescored_ids(spark, sf):
-    """The first 200 panels, scored again and numbered."""
-    best = scored(spark, sf).where("rank = 1").select("scenario_id", "tariff_id", "reward").orderBy("scenario_id").limit(200)
-    n = F.row_number().over(Window.orderBy("scenario_id")) - 1
-    return best.withColumn("new_id", F.concat(F.lit("wg-"), F.lpad(n.cast("string"), 3, "0")))
-
-
-@query("rescored_ids_all", "G17 J9 J7")
-def rescored_ids_all(spark, sf):
     """All panels, scored again and numbered."""
     best = scored(spark, sf).where("rank = 1").select("scenario_id", "tariff_id", "reward")
     return splits.numbered(best, "scenario_id", "n").withColumn("new_id", F.format_string("wg-%03d", "n")).drop("n")
 
 
+@query("priced_until", "J7", f"WITH {SCORED} SELECT scenario_id, tariff_id, reward FROM scored WHERE rank = 1 ORDER BY scenario_id LIMIT 200")
+def priced_until(spark, sf):
+    """Panels of three options and more until there are 200, the stop that was asked for."""
+    return scored(spark, sf).where("rank = 1").select("scenario_id", "tariff_id", "reward").orderBy("scenario_id").limit(200)
+
+
 @query("utility_map", "F16 I11 I12", f"""WITH {SCORED}, e AS (SELECT scenario_id, min(reward) AS lo, max(reward) AS hi FROM scored GROUP BY 1)
 SELECT s.scenario_id, s.tariff_id, floor((CASE WHEN hi = lo THEN 1.0 ELSE (reward - lo) / (hi - lo) END) * 1e6 + 0.5) / 1e6 AS utility FROM scored s JOIN e USING (scenario_id)""")
 def utility_map(spark, sf):

@@ -89,12 +89,12 @@ def fold_sums(spark, sf):
     return profile.leave_one_out(sums, "candidate", "fold", ["n", "hits"]).select("*", *profile.rates({"rate": ("hits", "n")}))
 
 
-@query("wilson_intervals", "E14 J12", f"""WITH s AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(CASE WHEN event_type = 'click' THEN 1 END) AS DOUBLE) AS h FROM events GROUP BY 1), w AS (SELECT *, h / n AS p, 1 + 1.96 * 1.96 / n AS d FROM s)
-SELECT user_id, {_h('(p + 1.96 * 1.96 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d', 4)} AS low, {_h('(p + 1.96 * 1.96 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / d', 4)} AS high FROM w""")
+@query("wilson_intervals", "E14 J12", f"""WITH s AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(CASE WHEN event_type = 'click' THEN 1 END) AS DOUBLE) AS h FROM events GROUP BY 1), w AS (SELECT *, h / n AS p, 1 + 1.96e0 * 1.96e0 / n AS d FROM s)
+SELECT user_id, {_h('(p + 1.96e0 * 1.96e0 / (2 * n)) / d - 1.96e0 * sqrt(p * (1 - p) / n + 1.96e0 * 1.96e0 / (4 * n * n)) / d', 6)} AS low, {_h('(p + 1.96e0 * 1.96e0 / (2 * n)) / d + 1.96e0 * sqrt(p * (1 - p) / n + 1.96e0 * 1.96e0 / (4 * n * n)) / d', 6)} AS high FROM w""")
 def wilson_intervals(spark, sf):
     s = V.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("event_type") == "click").cast("double").alias("h"))
     low, high = S.wilson(F.col("h"), F.col("n"))
-    return s.select("user_id", S.half_up(low, 4).alias("low"), S.half_up(high, 4).alias("high"))
+    return s.select("user_id", S.half_up(low, 6).alias("low"), S.half_up(high, 6).alias("high"))
 
 
 _PART = MARGINALS.replace("m AS", "b AS").replace("FROM risk", "FROM part_risk")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions import json_text as J
 from rankloom.functions import scalars as S
-from rankloom.operators import context, joins, quality
+from rankloom.operators import context, joins, quality, splits
 from rankloom.plans import views as V
 from rankloom.plans.panel_queries import SCORED, scored
 from rankloom.registry import query
@@ -89,17 +90,9 @@ def content_ids(spark, sf):
     return V.risks(spark, sf).select("scenario_id", S.canonical_json(quality.RISK_FIELDS).alias("canonical"), S.content_id(quality.RISK_FIELDS).alias("content_id"))
 
 
-@query("stable_hashes", "B13 F11 G10", "SELECT o_orderkey, sha256('42:output:' || o_orderkey) AS h FROM orders ORDER BY h LIMIT 500")
+@query("stable_hashes", "B13 F11 G10", "SELECT o_orderkey, sha256('42:output:' || o_orderkey) AS h, row_number() OVER (ORDER BY sha256('42:output:' || o_orderkey), o_orderkey) - 1 AS place FROM orders")
 def stable_hashes(spark, sf):
-    """The first 500 rows in a seeded order."""
-    return V.table(spark, sf, "orders").select("o_orderkey", S.stable_hash(42, "output", F.col("o_orderkey")).alias("h")).orderBy("h").limit(500)
-
-
-@query("stable_hashes_all", "B13 F11 G10")
-def stable_hashes_all(spark, sf):
     """All rows with their hash and place in the seeded order."""
-    from rankloom.operators import splits
-
     o = V.table(spark, sf, "orders").select("o_orderkey", S.stable_hash(42, "output", F.col("o_orderkey")).alias("h"))
     return splits.hash_rank(o, "o_orderkey", 42, "output")
 
@@ -128,7 +121,7 @@ def json_key_check(spark, sf):
     return V.table(spark, sf, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(extra, ",").alias("extra"))
 
 
-@query("batch_check", "C6 J1 J2", f"WITH {V.RISKS}, c AS (SELECT *, {CANONICAL} AS j FROM risk), g AS (SELECT DISTINCT j FROM c WHERE scenario_id % 10 = 0) SELECT count(*) AS n, count(DISTINCT sha256(j)) AS n_ids, count(CASE WHEN j IN (SELECT j FROM g) THEN 1 END) AS collisions, count(DISTINCT {FLOOD}) AS hazards, count(DISTINCT CASE WHEN construction_year <= 1959 THEN 1 WHEN construction_year <= 1994 THEN 2 ELSE 3 END) AS ages FROM c")
+@query("batch_check", "C6 J2", f"WITH {V.RISKS}, c AS (SELECT *, {CANONICAL} AS j FROM risk), g AS (SELECT DISTINCT j FROM c WHERE scenario_id % 10 = 0) SELECT count(*) AS n, count(DISTINCT sha256(j)) AS n_ids, count(CASE WHEN j IN (SELECT j FROM g) THEN 1 END) AS collisions, count(DISTINCT {FLOOD}) AS hazards, count(DISTINCT CASE WHEN construction_year <= 1959 THEN 1 WHEN construction_year <= 1994 THEN 2 ELSE 3 END) AS ages FROM c")
 def batch_check(spark, sf):
     df = V.risks(spark, sf).withColumn("content_id", S.content_id(quality.RISK_FIELDS))
     golden = df.where("scenario_id % 10 = 0").select("content_id").distinct().withColumn("golden", F.lit(True))
@@ -164,7 +157,7 @@ def annotation_check(spark, sf):
     return top.join(offered, "scenario_id").select("scenario_id", fine.alias("fine"))
 
 
-@query("cache_lookup", "A6 C10 J10", "SELECT o.o_orderkey, o.o_orderstatus IN ('F', 'O') AND o.o_orderkey % 4 <> 0 AS hit FROM orders o")
+@query("cache_lookup", "A6 C10", "SELECT o.o_orderkey, o.o_orderstatus IN ('F', 'O') AND o.o_orderkey % 4 <> 0 AS hit FROM orders o")
 def cache_lookup(spark, sf):
     o = V.table(spark, sf, "orders")
     cache = o.where("o_orderkey % 4 <> 0").where(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", F.lit(True).alias("hit"))
@@ -179,11 +172,10 @@ def length_audit(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", n.alias("n"), (n + 500 > 2000).alias("over")).orderBy(F.desc("n"), "doc_id").limit(5)
 
 
-@query("length_summary", "C14 J19")
+@query("length_summary", "C14 J19", "SELECT count(text) AS n_texts, " + ", ".join(f"floor(quantile_cont(length(text), {p / 100}) * 1e4 + 0.5) / 1e4 AS p{p}" for p in (50, 90, 95, 99)) + ", max(length(text)) AS longest, count(CASE WHEN length(text) + 500 > 2000 THEN 1 END) AS n_over FROM documents")
 def length_summary(spark, sf):
     """Percentiles of all texts' lengths and how many are over the limit, one row."""
-    n = V.table(spark, sf, "documents").select(F.length("text").cast("long").alias("n"))
-    return n.agg(F.count("n").alias("n_texts"), *(F.percentile("n", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max("n").alias("longest"), F.count_if(F.col("n") + 500 > 2000).alias("n_over"))
+    return quality.length_summary(V.table(spark, sf, "documents"), F.length("text").cast("long"), 1500)
 
 
 @query("label_join", "D1 D2", "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN (SELECT DISTINCT doc_id, quality, toxic FROM labels) l ON d.doc_id = l.doc_id WHERE l.doc_id NOT IN (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)")
@@ -203,7 +195,7 @@ def key_differences(spark, sf):
     return joins.key_differences(V.table(spark, sf, "documents"), V.table(spark, sf, "labels"), "doc_id")
 
 
-@query("fresh_candidates", "D5 C15", "SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey")
+@query("fresh_candidates", "D5", "SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey")
 def fresh_candidates(spark, sf):
     golden = V.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     firsts = V.table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
@@ -217,25 +209,21 @@ def partition_proof(spark, sf):
     return joins.partition_proof(parts, o, "o_orderkey").withColumnRenamed("foreign", "foreign_keys")
 
 
-@query("merged_shards", "D8 F13 J27", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS source_index, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard FROM orders WHERE o_orderkey < 2000")
+@query("merged_shards", "D8 F13", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS source_index, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard FROM orders")
 def merged_shards(spark, sf):
-    from rankloom.operators import splits
-
-    manifest = splits.numbered(V.table(spark, sf, "orders").where("o_orderkey < 2000").select("o_orderkey"), "o_orderkey", "source_index")
-    shards = [V.table(spark, sf, "orders").where(f"o_orderkey < 2000 AND o_orderkey % 2 = {k}").select("o_orderkey") for k in range(2)]
-    return joins.merge_shards(shards, manifest, "o_orderkey", "source_index").withColumn("shard", F.floor(F.col("source_index") / 100))
-
-
-@query("merged_shards_all", "D8 F13 J27")
-def merged_shards_all(spark, sf):
-    from rankloom.operators import splits
-
     o = V.table(spark, sf, "orders").select("o_orderkey")
     manifest = splits.numbered(o, "o_orderkey", "source_index")
     shards = [o.where(f"o_orderkey % 2 = {k}") for k in range(2)]
     return joins.merge_shards(shards, manifest, "o_orderkey", "source_index").withColumn("shard", F.floor(F.col("source_index") / 100))
 
 
+@query("shard_plan", "J27 F13", "WITH p AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS shard, CAST(ceil(coalesce(length(text), 0) / 3.0e0) AS BIGINT) AS tokens FROM documents) SELECT shard, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, floor(sum(tokens) / 1e6 * 1.25e0 * 1e6 + 0.5) / 1e6 AS cost FROM p GROUP BY 1")
+def shard_plan(spark, sf):
+    """Shards of 100 documents in order, with an estimate of their tokens and cost."""
+    d = splits.numbered(V.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "place")
+    return joins.shard_plan(d, "place", J.token_estimate(F.col("text")), 100, 1.25)
+
+
 @query("resumed", "D9", "SELECT o_orderkey, sum(CAST(o_orderkey % 7 AS BIGINT)) OVER (ORDER BY o_orderkey) AS spent FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) QUALIFY spent <= 1000")
 def resumed(spark, sf):
     """New rows that a budget of 1000 pays for, in order."""
@@ -250,7 +238,7 @@ def phrase_leaks(spark, sf):
     return joins.containing(V.table(spark, sf, "documents").select("doc_id", "text"), phrases, "text", "phrase").select("doc_id", "item_id")
 
 
-@query("path_policy", "J28 J29", "SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS allowed FROM part")
+@query("path_policy", "J28", "SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS allowed FROM part")
 def path_policy(spark, sf):
     from rankloom.operators import audit
 
@@ -259,6 +247,45 @@ def path_policy(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", audit.allowed_path(path).alias("allowed"))
 
 
-@query("golden_names", "D12 J1", "SELECT o_orderkey AS scenario_id, o_orderstatus AS teacher_top3 FROM orders")
+@query("golden_names", "D12", "SELECT o_orderkey AS scenario_id, o_orderstatus AS teacher_top3 FROM orders")
 def golden_names(spark, sf):
     return joins.golden_names(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("fable_top3")))
+
+
+@query("record_ids", "J1", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 's' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END AS record_id FROM orders")
+def record_ids(spark, sf):
+    """One id or the other; a row with neither fails the job."""
+    k = F.col("o_orderkey")
+    df = V.table(spark, sf, "orders").select("o_orderkey", F.when(k % 2 == 0, F.concat(F.lit("s"), k.cast("string"))).alias("scenario_id"), F.col("o_custkey").alias("id"))
+    return df.select("o_orderkey", joins.record_id(df).alias("record_id"))
+
+
+@query("read_through", "J10 H10", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE 'fetched' END AS status, o_orderkey % 4 <> 0 AS cached FROM orders")
+def read_through(spark, sf):
+    """Cached answers, and fetched ones for what misses."""
+    o = V.table(spark, sf, "orders")
+    cache = o.where("o_orderkey % 4 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return joins.read_through(o.select("o_orderkey"), cache, "o_orderkey", lambda misses: misses.withColumn("status", F.lit("fetched")))
+
+
+@query("bundle_files", "J29", "SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'data/' WHEN 1 THEN 'src/cache/' ELSE 'src/' END || p_brand AS path FROM part WHERE p_size % 3 = 2")
+def bundle_files(spark, sf):
+    from rankloom.operators import audit
+
+    k = F.col("p_size") % 3
+    path = F.concat(F.when(k == 0, "data/").when(k == 1, "src/cache/").otherwise("src/"), F.col("p_brand"))
+    return audit.selected(V.table(spark, sf, "part").select(path.alias("path")), ["src"], ["cache"])
+
+
+@query("raw_options", "A9 A10", "SELECT CAST(event_id AS VARCHAR) AS tariff_id, floor(CAST(user_id AS DOUBLE) * 100 + 0.5) / 100 AS price_annual FROM events WHERE event_id % 3 <> 0 AND user_id > 0")
+def raw_options(spark, sf):
+    """Raw options as a source gives them, typed, without those that have no id or no price."""
+    from pyspark.sql import types as T
+
+    from rankloom.sources import readers
+
+    k = F.col("event_id")
+    given = {"id": F.when(k % 3 != 0, k.cast("string")), "gesellschaft": F.lit(" x "), "tarif": F.lit("y"), "jahresbeitrag": F.concat(F.col("user_id").cast("string"), F.lit(",00"))}
+    names = T._parse_datatype_string(readers.RAW).names
+    raw = V.table(spark, sf, "events").select(*(given.get(c, F.lit(None).cast("string")).alias(c) for c in names))
+    return readers.normalise_raw(raw).select("tariff_id", S.half_up(F.col("price_annual"), 2).alias("price_annual"))

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUILDING_TYPES = ["single-family", "two-family", "multi-family", "semi-detached", "terraced"]
-CLASSES = ["BAK1", "BAK2", "FHG1", "FHG2", "FHG3"]
-ROOFS = ["gable", "flat", "other"]
-ATTICS = ["not-converted", "converted", "partially-converted", "none"]
+from rankloom.operators.quality import ENUMS
+
+BUILDING_TYPES, CLASSES, ROOFS, ATTICS = (ENUMS[c] for c in ("building_type", "construction_class", "roof_type", "attic_status"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

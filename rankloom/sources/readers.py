@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Strict scan: a bad line fails the job; a missing or empty input raises."""
+    """Strict scan: raises with file and line number if a line is no JSON object, and if there are no rows."""
+    if bad := bad_lines(spark, path).orderBy("file", "line").limit(1).collect():
+        raise ValueError(f"{bad[0].file}:{bad[0].line}: not a JSON object: {bad[0].value[:80]}")
     df = spark.read.schema(schema).json(path, mode="FAILFAST")
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
@@ -18,9 +19,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that aren't JSON objects, with their file."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_name"))
-    return lines.where(F.try_parse_json("value").isNull() | ~F.startswith(F.trim("value"), F.lit("{")))
+    """file, line (from 1) and value of lines that aren't JSON objects; blank ones don't count.
+
+    Lines are numbered within each block of a file, after the counts of the blocks before, which are all that meet.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    bad = lines.where((F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.startswith(F.trim("value"), F.lit("{"))))
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
 
 
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -34,9 +42,9 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str)
 
 
 def read_keyed(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """A folder of one JSON object a file, keyed by file name; files that can't be read are dropped."""
+    """A folder of one JSON object a file, keyed by file name, in its order; files that can't be read are dropped."""
     df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder, mode="DROPMALFORMED")
-    return df.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    return df.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")).orderBy("key")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -5,23 +5,47 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
-#: Path parts that no sink writes below: fixed values.
+#: Folders and files by name that no sink writes, nor anything below them: fixed values.
 PROTECTED = ("golden", "benchmark")
 
 
 def check_path(path: str, protected: tuple[str, ...] = PROTECTED) -> None:
-    parts = os.path.normpath(path).lower().split("/")
-    if hit := [p for p in protected if any(p in x for x in parts[-2:])]:
-        raise PermissionError(f"{path} is protected ({hit[0]})")
+    """Refuses a path that is, or is below, a protected folder: an absolute path, or any part with this name in it."""
+    plain = os.path.normpath(path.split("://")[-1].removeprefix("file:"))
+    for p in protected:
+        if os.path.isabs(p):
+            real, top = os.path.realpath(plain), os.path.realpath(p)
+            hit = real == top or real.startswith(top.rstrip("/") + "/")
+        else:
+            hit = any(p in part.lower() for part in plain.split("/"))
+        if hit:
+            raise PermissionError(f"{path} is protected ({p})")
 
 
-def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
-    """One folder, committed as a whole; `single` gives one file, for small tables."""
+def _replaced(df: DataFrame, path: str, write) -> None:
+    """Writes beside the path, and puts the whole in its place only when it is complete."""
+    spark = df.sparkSession
+    own = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("new", "old"))
+    write(df.write).save(new)
+    fs = own(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(own(path)) and not fs.rename(own(path), own(old)):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(own(new), own(path)):
+        raise OSError(f"{new} can't be moved to {path}")
+    fs.delete(own(old), True)
+
+
+def write_jsonl(df: DataFrame, path: str, single: bool = False, most: int = 1_000_000) -> None:
+    """One folder, put in place as a whole; `single` gives one file, for tables of at most `most` rows."""
     check_path(path)
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    if single and (n := df.count()) > most:
+        raise ValueError(f"{n} rows; one file takes {most} at most")
+    _replaced(df.coalesce(1) if single else df, path, lambda w: w.option("ignoreNullFields", False).format("json"))
 
 
 def write_split(df: DataFrame, path: str, column: str = "split") -> None:

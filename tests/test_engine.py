@@ -170,8 +170,65 @@ def test_leaks_and_keys(spark):
     docs = spark.createDataFrame([("xx secret yy",), ("clean",)], "t string")
     phrases = spark.createDataFrame([("secret",)], "p string")
     assert joins.containing(docs, phrases, "t", "p").count() == 1
-    with pytest.raises(ValueError):
-        joins.containing(docs, phrases, "t", "p", most_chars=3)
+    import random
+
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choices(["a", "b", "cc", "d\ne", ""], k=r.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "a b"), (61, "a b")]
+    some = [(j, t[r.randint(0, 5) :][: r.randint(1, 30)]) for j, (_, t) in enumerate(texts[:40])] + [(50, None), (51, "cc"), (52, "")]
+    got = joins.containing(spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(some, "j long, p string"), "t", "p")
+    assert sorted((x.i, x.j) for x in got.collect()) == sorted((i, j) for i, t in texts for j, p in some if t is not None and p is not None and p in t)
+
+
+def test_ids_caches_and_plans(spark):
+    df = spark.createDataFrame([("s1", 1), (None, 2), (None, None)], "scenario_id string, id long")
+    assert sorted(x[0] for x in df.where("scenario_id IS NOT NULL OR id IS NOT NULL").select(joins.record_id(df)).collect()) == ["2", "s1"]
+    with pytest.raises(Exception, match="neither"):
+        df.select(joins.record_id(df)).collect()
+    asked, cache = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x")], "k long, v string")
+    with pytest.raises(Exception, match="not in the cache: 2"):
+        joins.read_through(asked, cache, "k").collect()
+    got = joins.read_through(asked, cache, "k", lambda m: m.withColumn("v", F.lit("new")))
+    assert sorted(map(tuple, got.collect())) == [(1, "x", True), (2, "new", False)]
+    with pytest.raises(ValueError, match="1 rows are over 1; the longest: 2: 2"):
+        quality.require_lengths(spark.createDataFrame([(1, "a"), (2, "bb")], "k long, t string"), "k", F.length("t"), 1)
+
+
+def test_numbering(spark):
+    """Places in an order of dense runs, far values, ties and nulls, in many ranges."""
+    values = [*range(300), *([10**12] * 50), *range(10**15, 10**15 + 200), None, None]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long").repartition(5)
+    got = splits.numbered(df, "v", "n", rows=16).collect()
+    known = sorted((x.n, x.v) for x in got if x.v is not None)
+    assert [v for _, v in known] == sorted(v for v in values if v is not None) and [n for n, _ in known] == list(range(550))
+    assert [x.n for x in got if x.v is None] == [None, None]
+    assert splits.numbered(df.limit(0), "v", "n").count() == 0
+    ranked = splits.hash_rank(df.where("v IS NOT NULL"), "i", 3, "t", rows=8)
+    assert [x.i for x in ranked.orderBy("place").collect()] == [x.i for x in df.where("v IS NOT NULL").orderBy(F.sha2(F.concat(F.lit("3:t:"), F.col("i").cast("string")), 256)).collect()]
+
+
+def test_splits_keep_every_label(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, r.choice("aab"), r.choice(["x", "y", None]), r.choice("pqrstu")) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, l string, m string, o string")
+    sizes = {"train": 300, "val": 150, "test": 50}
+    got = splits.iterative(df, "id", ["l", "m", "o"], sizes, 1, "t").collect()
+    assert {s: sum(x.split == s for x in got) for s in sizes} == sizes and len({x.id for x in got}) == 500
+    for c in "lmo":
+        for v in {x[c] for x in got}:
+            n = sum(x[c] == v for x in got)
+            assert all(abs(sum(x[c] == v and x.split == s for x in got) - n * z / 500) < 3 for s, z in sizes.items())
+    parts = splits.two_stage(df, "id", ["l", "o"], sizes, {"train": {"fit": 270, "check": 30}}, 1, "t")
+    assert {x.split: x["count"] for x in parts.groupBy("split").count().collect()} == {"fit": 270, "check": 30, "val": 150, "test": 50}
+
+
+def test_frozen_weights():
+    own = {"w_cov": 0.4, "w_ins": 0.3, "w_ded": 0.3, "w_price": 0.5, "w_score": 0.0}
+    assert calibrate.frozen({"status": "frozen", "weights": own}).price == 0.5
+    for bad in ({"status": "draft", "weights": own}, {"status": "frozen"}, {"status": "frozen", "weights": own | {"x": 1}}, {"status": "frozen", "weights": own | {"w_cov": 0.41}}):
+        with pytest.raises(ValueError):
+            calibrate.frozen(bad)
 
 
 @pytest.mark.parametrize(("path", "ok"), [("../escape.json", False), ("cache/quote.json", False), ("data/golden.jsonl", False), ("runpod/archive.tar", False), ("evaluation/golden.jsonl", True), ("data/train.jsonl", True)])
@@ -187,8 +244,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_jsonl_lenient(spark, str(tmp_path / "none"), "id long").count() == 0
     (tmp_path / "bad.jsonl").write_text('{"id": 1}\n\nnope\n[1]\n')
     assert readers.bad_lines(spark, str(tmp_path / "bad.jsonl")).count() == 2
-    with pytest.raises(Exception, match="FAILFAST|MALFORMED|malformed"):
-        readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id long").collect()
+    assert sorted((x.line, x.value) for x in readers.bad_lines(spark, str(tmp_path / "bad.jsonl")).collect()) == [(3, "nope"), (4, "[1]")]
+    with pytest.raises(ValueError, match="bad.jsonl:3: not a JSON object: nope"):
+        readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id long")
+    (tmp_path / "blank.jsonl").write_text("\n\n")
+    with pytest.raises(ValueError, match="no rows"):
+        readers.read_jsonl(spark, str(tmp_path / "blank.jsonl"), "id long")
+    sinks.write_jsonl(df.limit(1), path)
+    assert readers.read_jsonl(spark, path, "id long, t string").count() == 1 and [x.name for x in tmp_path.iterdir() if x.name.startswith("rows")] == ["rows"]
+    with pytest.raises(ValueError):
+        sinks.write_jsonl(df, path, single=True, most=1)
+    with pytest.raises(PermissionError):
+        sinks.check_path(f"file://{tmp_path}/safe/deep/x.json", (str(tmp_path / "safe"),))
+    sinks.check_path(f"{tmp_path}/safer/x.json", (str(tmp_path / "safe"),))
     cache = tmp_path / "cache"
     cache.mkdir()
     (cache / "k1.json").write_text('{"id": 5}')
@@ -200,6 +268,11 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.write_csv(df, str(tmp_path / "golden_set"))
     sinks.write_csv(df, str(tmp_path / "table"))
     assert readers.read_csv(spark, str(tmp_path / "table"), "id long, t string").count() == 2
+    import hashlib
+
+    assert audit.directory_hash(str(cache)) == hashlib.sha256(b'k1.json{"id": 5}k2.json{broken').hexdigest()
+    files = spark.createDataFrame([("src/a",), ("src/a",), ("srcs/b",), ("src/cache/c",), ("one",)], "path string")
+    assert [x.path for x in audit.selected(files, ["src", "one"], ["cache"]).collect()] == ["one", "src/a"]
     sums = audit.checksums(spark, str(cache))
     assert audit.mismatches(sums, sums).count() == 0 and audit.mismatches(sums.limit(1), sums).count() == 1
     raw = spark.createDataFrame([("x1", " A ", "T", "1.037,89", None, "unbegrenzt", None, "531.15;0", "JA", "nein", "88"), ("", "A", "T", "5", *[None] * 7), ("x2", "A", "T", "0", *[None] * 7)], readers.RAW)

@@ -1,72 +1,39 @@
-"""Queries that cover whole tables: against the capped queries' SQL without its cap."""
+"""Queries that cover whole tables, and searches against the SQL over all candidates."""
 
 from __future__ import annotations
 
 import pytest
 
-from rankloom.registry import QUERIES, SQL
+from rankloom import registry
+from rankloom.operators import calibrate
+from rankloom.plans import evaluation_queries
 
 SF = "/root/testdata/sf0.001"
 
 
-def uncapped(sf, name, *caps):
-    """Rows of the SQL of `name`, from which the test takes its caps out."""
+def by_sql(sql):
     duckdb = pytest.importorskip("duckdb")
-    sql = SQL[name]
-    for cap in caps:
-        assert cap in sql
-        sql = sql.replace(cap, "")
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "documents"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    return con.execute(sql).fetchall()
-
-
-@pytest.mark.parametrize("name", ["candidate_sums", "candidate_ranks", "cross_validation"])
-def test_search_takes_all_panels(spark, name):
-    got = QUERIES[name + "_all"](spark, SF)
-    assert sorted(map(tuple, got.collect())) == sorted(uncapped(SF, name, " LIMIT 200"))
-
-
-def test_calibration_takes_all_panels(spark):
-    n = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").count().where("count >= 3").count()
-    assert n > 200 and {r.n for r in QUERIES["calibration"](spark, SF).collect()} == {n}
-
-
-def test_shards_of_all_orders(spark):
-    got = QUERIES["merged_shards_all"](spark, "/root/testdata/sf0.01")
-    assert got.columns == ["o_orderkey", "source_index", "shard"] and got.where("o_orderkey >= 2000").count() > 0
-    assert sorted(map(tuple, got.collect())) == sorted(uncapped("/root/testdata/sf0.01", "merged_shards", " WHERE o_orderkey < 2000"))
-
-
-def test_hashes_and_ids_of_all_rows(spark):
-    want = sorted(uncapped(SF, "stable_hashes", " LIMIT 500"), key=lambda r: r[1])
-    got = QUERIES["stable_hashes_all"](spark, SF).collect()
-    assert len(want) > 500 and sorted((r.place, r.o_orderkey, r.h) for r in got) == [(i, *r) for i, r in enumerate(want)]
-    # The SQL's lpad cuts places from 1000 on; the ids must not.
-    want = sorted(uncapped(SF, "rescored_ids", " LIMIT 200"))
-    got = sorted(map(tuple, QUERIES["rescored_ids_all"](spark, SF).collect()))
-    assert len(want) > 1000 and [r[:3] for r in got] == [r[:3] for r in want]
-    assert [r[3] for r in got] == [f"wg-{i:03d}" for i in range(len(want))]
-
-
-def test_iterative_split_of_all_risks(spark, monkeypatch):
-    from rankloom.operators import splits
-
-    sf = "/root/testdata/sf0.01"
-    n = spark.read.parquet(f"{sf}/orders.parquet").count()
-    sizes = {"calibration": n // 10, "sft": n // 4, "grpo": n - n // 10 - n // 4}
-    got = QUERIES["iterative_split"](spark, sf).collect()
-    assert n > 1500 and len({r.scenario_id for r in got}) == len(got) == n
-    assert {s: sum(r.split == s for r in got) for s in sizes} == sizes
-    monkeypatch.setattr(splits, "MOST", n - 1)
-    assert QUERIES["iterative_split"](spark, sf).exceptAll(QUERIES["systematic_split"](spark, sf)).count() == 0
-
-
-def test_length_summary(spark):
-    import numpy as np
-
-    n = [len(r[0]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r[0] is not None]
-    row = QUERIES["length_summary"](spark, SF).first()
-    assert (row.n_texts, row.longest, row.n_over) == (len(n), max(n), sum(x > 1500 for x in n))
-    assert [row.p50, row.p90, row.p95, row.p99] == pytest.approx(list(np.percentile(n, [50, 90, 95, 99])))
+    for t in ("orders", "lineitem", "documents", "events", "benchmark", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = con.execute(sql)
+    return [d[0] for d in found.description], found.fetchall()
+
+
+@pytest.mark.parametrize("name", ["wilson_intervals", "utilisation_cost", "cross_validation", "merged_shards", "stable_hashes", "rescored_ids", "length_summary", "shard_plan", "read_through", "record_ids", "bundle_files", "raw_options", "phrase_leaks", "generated_risks", "iterative_split_sizes", "two_stage_split_sizes"])
+def test_against_sql(spark, name):
+    got = registry.QUERIES[name](spark, SF)
+    columns, want = by_sql(registry.SQL[name])
+    assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, want))
+
+
+def test_calibration_against_sql(spark):
+    """The ten best of 500 candidates, with the same candidates as rows of the SQL."""
+    cands = calibrate.candidates(spark, 500, 17).collect()
+    rows = ", ".join(f"({c.id}, " + ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in (c.w.price, c.w.cov, c.w.ins, c.w.ded, c.w["score"])) + f", CAST('{c.distance!r}' AS DOUBLE))" for c in cands if c.id < 40)
+    search = evaluation_queries.SEARCH.replace(evaluation_queries._CANDS, f"w(id, w_price, w_cov, w_ins, w_ded, w_score, distance) AS (VALUES {rows})")
+    _, want = by_sql(f"WITH {search} SELECT id, sum(n), sum(top1), sum(top3), sum(pairs) FROM sums GROUP BY 1")
+    panels, teachers = evaluation_queries.folded(spark, SF)
+    sums = calibrate.evaluate(panels, teachers, calibrate.candidates(spark, 500, 17).where("id < 40"))
+    got = calibrate.ranked(sums, calibrate.candidates(spark, 500, 17)).select("id", "n", "top1", "top3", "pairs").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
