@@ -78,7 +78,7 @@ def read_through(requests: DataFrame, cache: DataFrame, key: str, fetch=None) ->
     hits, misses = resolve_cache(requests, cache, key)
     if fetch is None:
         missed = F.raise_error(F.concat(F.lit("not in the cache: "), F.col(key).cast("string")))
-        fetched = misses.select(*(F.when(missed.isNull(), F.lit(None)).cast(cache.schema[c].dataType).alias(c) for c in cache.columns))
+        fetched = misses.where(missed.isNull()).select(*(F.lit(None).cast(cache.schema[c].dataType).alias(c) for c in cache.columns))
     else:
         fetched = fetch(misses).select(*cache.columns)
     return hits.select(*cache.columns, F.lit(True).alias("cached")).unionByName(fetched.withColumn("cached", F.lit(False)))
