@@ -1,17 +1,20 @@
 """Personal data: base patterns and bootstrapped contextual extraction (operator 2), with DataFrame functions only.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check. They seed a bipartite
-graph of patterns and instances. A pattern is the lower-cased word before a token and the token's shape (letters, digits
-and other characters by run); an instance is the text of a token that holds a digit or an @. In each round a pattern
-of a kind gets the confidence (known instances among its distinct instances, less a prior weight) and an instance the
-noisy-or of its patterns' confidences; instances that reach `accept` become known of that kind. Tokens of accepted
-instances that overlap no base span are added spans of that kind.
-
-A context counts as a pattern only if `support` distinct known instances follow it, so a stray word never is one.
-
-Null or empty text: no spans. Null doc_id and repeated rows are judged like any other; equal rows share their added
-spans. Patterns and instances are joined by their own keys, and counted before they are shuffled. Empty table: empty
-result. Quantifiers are possessive where that changes no match, so long runs of one class take linear time.
+graph of patterns and instances. An instance is a token that holds a digit or an @, or a run of groups of digits between
+single spaces, lower-cased and without a leading +, spaces, brackets and hyphens. Each of its places gives it four patterns: its
+shape (without a leading +, digits as 9, runs of letters as a) with the word before, with both words before, with the word after, and with
+the words before and after. In each round a pattern that `support` distinct known instances of a kind stand in gets the
+confidence (those among all its distinct instances, less a prior weight); patterns of over `trust` pass it on, and an
+instance gets the noisy-or of its patterns' confidences. Instances that reach `accept` become known of that kind, until
+a round finds none, `rounds` at most. Places of accepted instances that overlap no base span are added spans of that
+kind. Of two kinds the one of higher confidence wins, then the later name; a seed keeps the first name.
+
+Context words are lower-cased and read within 200 code points of the place; another instance counts as a word. Patterns
+are 64-bit hashes. Null or empty text: no spans. Null doc_id and repeated rows are judged like any other; equal rows
+share their added spans. Patterns and instances are joined by their own keys, and counted before they are shuffled.
+Empty table: empty result. Columns but doc_id and text, whatever their names, aren't read. Quantifiers are possessive
+where that changes no match, and places are added up in blocks, so very long texts take nearly linear time.
 """
 
 from __future__ import annotations
@@ -35,18 +38,35 @@ TOKEN = rf"(?<![^{_BREAK}])[^{_BREAK}0-9@]*+[0-9@][^{_BREAK}]*+"
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
+#: Groups of digits between single spaces, seven digits at least.
+GROUPS = r"(?<![A-Za-z0-9@._%+-])[+(]?(?=(?:[\x20().-]{0,3}[0-9]){7})[0-9(][0-9().-]*+(?:\x20[0-9(][0-9().-]*+)++"
+FIELDS = "what:string,start:int,end:int,left:string,right:string"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: what, start, end (code points)."""
+    """Leftmost non-overlapping matches: what, start, end (code points), and the text beside it up to the next match."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(found, between, lambda m, b: F.struct(m.alias("what"), F.length(b).alias("gap"), F.length(m).alias("n")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<what:string,start:int,end:int>>").alias("out"))
+    n = F.size(found)
+    parts = F.arrays_zip(found.alias("what"), F.slice(between, F.lit(1), n).alias("left"), F.slice(between, F.lit(2), n).alias("right"))
+    none = F.array().cast(f"array<struct<{FIELDS}>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    place = lambda m, a, b: F.struct(m["what"].alias("what"), a.alias("start"), b.alias("end"), m["left"].alias("left"), m["right"].alias("right"))
 
-    def add(s, x):
-        start = s["at"] + x["gap"]
-        return F.struct((start + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(x["what"], start.alias("start"), (start + x["n"]).alias("end")))).alias("out"))
+    def add(s, m):
+        a = s["at"] + F.length(m["left"])
+        b = a + F.length(m["what"])
+        return F.struct(b.alias("at"), F.concat(s["out"], F.array(place(m, a, b))).alias("out"))
 
-    real = F.filter(sizes, lambda x: x["what"].isNotNull())
-    return F.aggregate(real, state, add, lambda s: s["out"])
+    def shifted(s, c):
+        moved = F.transform(c["out"], lambda m: place(m, m["start"] + s["at"], m["end"] + s["at"]))
+        return F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["out"], moved).alias("out"))
+
+    def blocks(p):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 256).cast("int")), lambda c: F.slice(p, c * 256 + 1, F.lit(256)))
+        return F.aggregate(F.transform(cut, lambda c: F.aggregate(c, start, add)), start, shifted, lambda s: s["out"])
+
+    # A lambda's variable is computed once; an expression in it would be for each element.
+    return F.get(F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, blocks(p)).otherwise(none)), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,35 +99,43 @@ def base_spans(text: Column) -> dict[str, Column]:
     """Checked matches of each kind (what, start, end)."""
     hint = {"email": "@", "ip": ".", "card": "", "phone": "+"}
     none = F.array().cast("array<struct<what:string,start:int,end:int>>")
+    bare = lambda m: F.struct(m["what"].alias("what"), m["start"].alias("start"), m["end"].alias("end"))
     out = {}
     for kind in KINDS:
         may = text.rlike(r"[0-9]") if kind != "email" else F.lit(True)
         if hint[kind]:
             may = may & F.contains(text, F.lit(hint[kind]))
-        out[kind] = F.when(may, F.filter(matches(text, PATTERNS[kind]), _check(kind))).otherwise(none)
+        out[kind] = F.when(may, F.transform(F.filter(matches(text, PATTERNS[kind]), _check(kind)), bare)).otherwise(none)
     return out
 
 
 def shape(what: Column) -> Column:
-    """Runs of digits as 9, of letters as a; other ASCII characters stand."""
-    return F.regexp_replace(F.regexp_replace(what, r"[0-9]+", "9"), r"[A-Za-z\x{80}-\x{10FFFF}]+", "a")
+    """Digits as 9, runs of letters as a; other ASCII characters stand."""
+    return F.regexp_replace(F.regexp_replace(what, r"[0-9]", "9"), r"[A-Za-z\x{80}-\x{10FFFF}]+", "a")
+
+
+def instance(what: Column) -> Column:
+    return F.regexp_replace(F.lower(what), r"^\+|[\x20()-]", "")
 
 
 def _contexts(text: Column) -> Column:
-    """Tokens that may be identifiers, with the word before each: before, what, start, end."""
-    end = F.regexp_replace  # trailing stops belong to the sentence
-    tokens = F.filter(matches(text, TOKEN), lambda m: F.length(m["what"]) >= 4)
+    """Places that may be identifiers: what, start, end, and the hashes of their patterns."""
+    tokens = F.filter(matches(text, f"{GROUPS}|{TOKEN}"), lambda m: F.length(m["what"]) >= 4)
 
     def one(m):
-        what = end(m["what"], r"[.:=-]+$", "")
-        lead = F.substring(text, F.greatest(F.lit(1), m["start"] - 63), F.least(F.lit(64), m["start"]))
-        before = F.lower(F.regexp_extract(lead, r"([^\x00-\x20]+)[\x00-\x20]*$", 1))
-        return F.struct(before.alias("before"), what.alias("what"), m["start"].alias("start"), (m["start"] + F.length(what)).alias("end"))
+        what = F.regexp_replace(m["what"], r"[.:=()-]+$", "")  # trailing stops belong to the sentence
+        left, right = F.lower(F.concat(F.lit("# "), F.substring(m["left"], -200, 200))), F.lower(F.concat(F.substring(m["right"], 1, 200), F.lit(" #")))
+        words = F.regexp_extract_all(left, F.lit(r"[^\x00-\x20]+"), F.lit(0))
+        last, before, after = F.element_at(words, -1), F.try_element_at(words, F.lit(-2)), F.regexp_extract(right, r"[^\x00-\x20]+", 0)
+        form, no = shape(F.regexp_replace(what, r"^\+", "")), F.lit("")
+        kinds = {"left": (last, no, no), "pair": (before, last, no), "right": (no, no, after), "both": (no, last, after)}
+        patterns = F.array(*(F.xxhash64(F.lit(k), form, *(F.coalesce(w, no) for w in ws)) for k, ws in kinds.items()))
+        return F.struct(what.alias("what"), m["start"].alias("start"), (m["start"] + F.length(what)).alias("end"), patterns.alias("patterns"))
 
     return F.transform(tokens, one)
 
 
-def extract(docs: DataFrame, rounds: int = 2, support: int = 3, accept: float = 0.5, prior: float = 1.0) -> DataFrame:
+def extract(docs: DataFrame, rounds: int = 10, support: int = 3, trust: float = 0.5, accept: float = 0.6, prior: float = 1.0) -> DataFrame:
     """doc_id, base (email, ip, card, phone: arrays of what, start, end) and added (array of SPAN)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
@@ -115,20 +143,23 @@ def extract(docs: DataFrame, rounds: int = 2, support: int = 3, accept: float =
     rows = common.stage(rows, "spans")
     covers = lambda t, m: (m["start"] < t["end"]) & (t["start"] < m["end"])
     kind = F.coalesce(*(F.when(F.exists(k, lambda m: covers(F.col("t"), m)), F.lit(k)) for k in KINDS))
-    seen = rows.where(F.size("tokens") > 0).select("doc_id", "th", *KINDS, F.explode("tokens").alias("t"))
-    seen = seen.where(F.length("t.what") >= 4).select("doc_id", "th", F.struct("t.before", shape(F.col("t.what")).alias("shape")).alias("pattern"), "t.what", "t.start", "t.end", kind.alias("kind"))
-    seen = common.stage(seen, "instances")
-    graph = seen.where("pattern.before <> ''").groupBy("pattern", "what").agg(F.min("kind").alias("kind"))
-    graph = common.stage(graph, "graph")
-    known = graph.where("kind IS NOT NULL").select("what", "kind").distinct()
+    seen = rows.where(F.size("tokens") > 0).select("doc_id", "th", *KINDS, F.explode("tokens").alias("t")).where(F.length("t.what") >= 4)
+    seen = common.stage(seen.select("doc_id", "th", instance(F.col("t.what")).alias("instance"), "t.start", "t.end", "t.patterns", kind.alias("kind")), "instances")
+    links = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind")
+    graph = common.stage(links.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")), "graph")
+    known = common.stage(graph.groupBy("instance").agg(F.min("kind").alias("kind")).where("kind IS NOT NULL"), "known")
+    all_ = common.stage(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= support), "patterns")
     for _ in range(rounds):
-        votes = graph.select("pattern", "what").join(known, "what").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("yes"))
-        of = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
-        good = votes.where(F.col("yes") >= support).join(of, "pattern").withColumn("trust", F.col("yes") / (F.col("all") + prior)).where("trust > 0.2")
-        reached = graph.where("kind IS NULL").select("pattern", "what").join(good, "pattern").groupBy("what", "kind")
+        votes = graph.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("yes")).where(F.col("yes") >= support)
+        good = votes.join(all_, "pattern").withColumn("trust", F.col("yes") / (F.col("all") + prior)).where(F.col("trust") > trust)
+        reached = graph.select("pattern", "instance").join(good.select("pattern", "kind", "trust"), "pattern").groupBy("instance", "kind")
         new = reached.agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999999)))))).alias("trust")).where(F.col("trust") >= accept)
-        known = common.stage(known.unionByName(new.groupBy("what").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind")).join(known.select("what"), "what", "left_anti")), "known")
-    added = seen.where("kind IS NULL").drop("kind").join(known.groupBy("what").agg(F.min("kind").alias("kind")), "what")
+        new = new.groupBy("instance").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
+        new = common.stage(new.join(known.select("instance"), "instance", "left_anti"), "known")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    added = seen.where("kind IS NULL").drop("kind").join(known, "instance")
     added = added.groupBy("doc_id", "th").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     added = added.select(F.col("doc_id").alias("added_doc"), F.col("th").alias("added_th"), "added")
     both = rows.drop("tokens").join(added, F.col("doc_id").eqNullSafe(F.col("added_doc")) & (F.col("th") == F.col("added_th")), "left")

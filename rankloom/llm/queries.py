@@ -31,7 +31,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = {k: F.col(k) for k in pii.KINDS}
     whole = {k: pii.all_spans(k) for k in pii.KINDS}
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return df.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(whole).alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(whole).alias("spans"), sum((F.size(v) for v in whole.values()), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

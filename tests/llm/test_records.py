@@ -66,6 +66,76 @@ def test_contexts_discover_identifiers(spark):
     assert not any(got[i] for i in (0, 1, 2, 3, 51, 52))
 
 
+def graph_by_hand(data, rounds=10, support=3, trust=0.5, accept=0.6, prior=1.0):
+    """Added spans of each text, by the definition, with loops over dictionaries."""
+    wordy = r"\x00-\x20"
+    token = pii.TOKEN.replace("*+", "*").replace("++", "+")
+    groups = pii.GROUPS.replace("*+", "*").replace("++", "+")
+    seen, known, of = [], {}, {}
+    for i, text in data:
+        spans = [(k, a, b) for k, found in base(text).items() for a, b in found]
+        places = list(re.finditer(f"{groups}|{token}", text or ""))
+        edges = [0, *(x for m in places for x in m.span()), len(text or "")]
+        for n, m in enumerate(places):
+            what = re.sub(r"[.:=()-]+$", "", m[0])
+            if len(m[0]) < 4 or len(what) < 4:
+                continue
+            left = re.findall(f"[^{wordy}]+", ("# " + text[edges[2 * n] : m.start()][-200:]).lower())
+            after = re.findall(f"[^{wordy}]+", (text[m.end() : edges[2 * n + 3]][:200] + " #").lower())[0]
+            form = re.sub(r"[A-Za-z\x80-\U0010ffff]+", "a", re.sub("[0-9]", "9", what.removeprefix("+")))
+            last, before = left[-1], left[-2] if len(left) > 1 else ""
+            a, b = m.start(), m.start() + len(what)
+            kind = next((k for k in pii.KINDS for s, c, d in spans if s == k and c < b and a < d), None)
+            own = re.sub(r"^\+|[ ()-]", "", what.lower())
+            patterns = [("left", form, last), ("pair", form, before, last), ("right", form, after), ("both", form, last, after)]
+            seen.append((i, a, b, own, kind))
+            for p in patterns:
+                of.setdefault(p, set()).add(own)
+            if kind:
+                known[own] = min(kind, known.get(own, kind))
+    for _ in range(rounds):
+        miss = {}
+        for p, own in of.items():
+            for k in pii.KINDS:
+                yes = sum(known.get(x) == k for x in own)
+                if yes >= support and yes / (len(own) + prior) > trust:
+                    for x in own:
+                        miss[x, k] = miss.get((x, k), 1.0) * (1 - min(yes / (len(own) + prior), 0.999999))
+        new = {}
+        for (x, k), q in miss.items():
+            if x not in known and 1 - q >= accept:
+                new[x] = max(new.get(x, (0, "")), (1 - q, k))
+        if not new:
+            break
+        known |= {x: k for x, (_, k) in new.items()}
+    out = {}
+    for i, a, b, own, kind in seen:
+        if kind is None and own in known:
+            out.setdefault(i, set()).add((known[own], a, b))
+    return out
+
+
+def test_pattern_graph(spark):
+    """Unseen identifiers in contexts of known ones, over several rounds, against the definition."""
+    import random
+
+    r = random.Random(11)
+    number = lambda n: "".join(r.choices("0123456789", k=n))
+    card = lambda: next(d for d in iter(lambda: number(16), "") if luhn(d))
+    bad = [next(d for d in iter(lambda: number(16), "") if not luhn(d)) for _ in range(5)]
+    phone = [f"({number(3)}) 555-{number(4)}" for _ in range(6)]
+    texts = [f"pay with card: {card()} today" for _ in range(9)] + [f"now card: {b} is it" for b in bad[:4]]
+    texts += [f"we saw {b} on file" for b in bad[:4]] + [f"we saw {b} on file again" for b in bad[4:]]
+    texts += [f"call me at +1 {p} please" for p in phone[:4]] + [f"call me at 1 {p} please" for p in phone] + ["in 2020 12 of 300 people, page 1.2"] * 2
+    texts += [" ".join(r.choices(["id", "x1y2", "2020", "a@b", "4111 1111 1111 1112", "of", "1.2.3.4", "+49 30 1234567"], k=30)) for _ in range(20)]
+    texts += [r_.text for r_ in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["x 1234567 " * 2000, None, ""]
+    data = list(enumerate(texts))
+    want = graph_by_hand(data)
+    got = {x.doc_id: {(m.kind, m.start, m.end) for m in x.added} for x in pii.extract(spark.createDataFrame(data, "doc_id long, text string")).collect() if x.added}
+    assert got == want
+    assert all(i in got for i in range(9, 18)) and any(k == "phone" for s in got.values() for k, *_ in s)
+
+
 def test_pii_query(spark):
     got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in op2_pii(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
