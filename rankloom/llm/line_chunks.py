@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame, every: int = 3, bits: int = 62, candidates=chun
     cut = cut.select("doc_id", "th", F.explode(candidates(F.col("lines"), every, bits)).alias("c")).where("c.worded >= 2")
     narrow = common.stage(cut.select("doc_id", "th", "c.hash", "c.first", "c.n", "c.twin"), "chunks")
     place = F.struct("doc_id", "th", "first")
-    again = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).where("times > 1").drop("times")
+    # Staged, so that the join below deals both sides anew and Spark splits a hash that stands in many texts.
+    again = common.stage(narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).where("times > 1").drop("times"), "again")
     occurs = narrow.join(again, "hash").select("doc_id", "th", F.struct("first", "n", "hash", "twin", F.col("kept").eqNullSafe(place).alias("keep")).alias("m"))
     marked = occurs.groupBy("doc_id", "th").agg(F.collect_set("m").alias(marks)).select(F.col("doc_id").alias("chunk_doc"), F.col("th").alias("chunk_th"), marks)
     rows = docs.withColumn(th, F.xxhash64("text"))
