@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,8 +18,16 @@ from pyspark.sql import types as T
 
 _shipped: dict[str, str] = {}
 _own_dir: dict[str, str] = {}
-#: Folders of staged tables, in order.
-made: list[str] = []
+
+
+class _Staged(threading.local):
+    """Folders of the tables that this thread has staged, in order; other threads' runs have their own."""
+
+    def __init__(self):
+        self.made: list[str] = []
+
+
+staged = _Staged()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, one of this process."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they and the driver share")
     if sc.applicationId not in _own_dir:
         _own_dir[sc.applicationId] = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, _own_dir[sc.applicationId], ignore_errors=True)
         sc.setCheckpointDir(_own_dir[sc.applicationId])
     return "file://" + _own_dir[sc.applicationId]
 
@@ -41,12 +55,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
-    made.append(path)
+    staged.made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
+def forget(spark: SparkSession, folders, needed: DataFrame) -> None:
     """Deletes folders of staged tables, but none that `needed` reads."""
     read = needed.inputFiles()
     for folder in folders:
