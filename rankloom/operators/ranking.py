@@ -25,6 +25,12 @@ def top_ids(labels: DataFrame, by: str = "scenario_id", k: int = 3) -> DataFrame
     return labels.groupBy(by).agg(F.slice(F.transform(ranked, lambda x: x["tariff_id"]), 1, k).alias("top3"))
 
 
+def first_ids(rank: str, k: int = 3) -> Column:
+    """Aggregate: the ids of a group's first k ranks."""
+    ranked = F.array_sort(F.collect_list(F.when(F.col(rank) <= k, F.struct(rank, "tariff_id"))))
+    return F.transform(ranked, lambda x: x["tariff_id"])
+
+
 def utilities(m: Column) -> Column:
     """Values of a map into [0, 1]; all 1 if they are equal."""
     lo, hi = F.array_min(F.map_values(m)), F.array_max(F.map_values(m))

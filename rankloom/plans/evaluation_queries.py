@@ -8,7 +8,7 @@ from rankloom.functions import json_text as J
 from rankloom.functions import scalars as S
 from rankloom.operators import calibrate, context, evaluate, ranking, scoring, splits
 from rankloom.plans import views as V
-from rankloom.plans.panel_queries import FROZEN, FROZEN_SQL, NORMED, SCORED, scored
+from rankloom.plans.panel_queries import FROZEN, FROZEN_SQL, NORMED, SCORED, labelled, scored
 from rankloom.plans.profile_queries import STATUSES, statuses
 from rankloom.registry import query
 
@@ -86,10 +86,13 @@ _GROUPS = ["building_type", "construction_class", "roof_type"]
 
 
 def picks(spark, sf):
-    best = lambda weights, name: scoring.recommend(scored(spark, sf, weights)).select("scenario_id", F.col("tariff_id").alias(name))
-    first = V.teachers(spark, sf).where("rank = 1").select("scenario_id", "tariff_id")
-    df = best(FROZEN, "a").join(best(scoring.Weights(), "b"), "scenario_id").join(first, "scenario_id")
-    return df.select("scenario_id", (F.col("a") == F.col("tariff_id")).alias("hit_a"), (F.col("b") == F.col("tariff_id")).alias("hit_b"))
+    """Whether the frozen and the default weights' first picks are the labels' first, from one shuffle."""
+    df = scoring.norms(V.panels(spark, sf)).withColumn("teacher_rank", V.teacher_rank())
+    by = {"a": FROZEN, "b": scoring.Weights()}
+    df = df.withColumns({f"r_{k}": S.half_up(w.reward({f: F.col(f"n_{f}") for f in scoring.FIELDS})[1]) for k, w in by.items()})
+    best = [F.max_by("tariff_id", F.struct(f"r_{k}", (-F.col("pos")).alias("p"))).alias(k) for k in by]
+    df = df.groupBy("scenario_id").agg(*best, F.max(F.when(F.col("teacher_rank") == 1, F.col("tariff_id"))).alias("first"))
+    return df.select("scenario_id", (F.col("a") == F.col("first")).alias("hit_a"), (F.col("b") == F.col("first")).alias("hit_b"))
 
 
 @query("subgroups", "E24", f"WITH {_PICKS.format(base=_BASE)}, {V.RISKS}, g AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, hit_a, hit_b FROM pick JOIN risk USING (scenario_id)" for f in _GROUPS) + f"), r AS (SELECT field, value, count(*) AS n, {_h('avg(CAST(hit_a AS DOUBLE))')} AS rate_a, {_h('avg(CAST(hit_b AS DOUBLE))')} AS rate_b FROM g GROUP BY 1, 2) SELECT *, {_h('rate_a - rate_b')} AS delta, n >= 10 AS counts FROM r")
@@ -105,13 +108,9 @@ def two_policies(spark, sf):
 
 def predictions(spark, sf):
     """Predicted rankings: the score's own, none for every seventh panel, an unknown first pick for every fifth."""
-    s = scored(spark, sf)
-    ids = s.where("rank <= 3").groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tariff_id"))), lambda x: x["tariff_id"]).alias("ids"))
-    maps = s.groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("rewards"))
-    top = ranking.top_ids(V.teachers(spark, sf)).withColumnRenamed("top3", "teacher")
     k = F.col("scenario_id")
     said = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.concat(F.array(F.lit("x")), F.slice("ids", 2, 2))).otherwise(F.col("ids"))
-    return ids.join(maps, "scenario_id").join(top, "scenario_id").withColumn("ids", said)
+    return labelled(spark, sf).select("scenario_id", said.alias("ids"), F.col("m").alias("rewards"), F.col("top3").alias("teacher"))
 
 
 _JUDGED = f"""{SCORED}, {V.TEACHERS}, best AS (SELECT scenario_id, max(reward) AS best_reward FROM scored GROUP BY 1),

@@ -43,7 +43,13 @@ def scored(spark, sf, weights=scoring.Weights()):
     return scoring.score(V.panels(spark, sf), weights)
 
 
-@query("panel_top3", "F1 F2 F3 F4 B2 C16 A10", f"WITH {SCORED} SELECT scenario_id, tariff_id, price_annual, reward, CAST(rank AS INTEGER) AS rank FROM scored WHERE rank <= 3")
+def labelled(spark, sf):
+    """scenario_id, m (reward of each option), ids and top3 (the score's and the labels' first three), in one shuffle."""
+    df = scored(spark, sf).withColumn("teacher_rank", V.teacher_rank())
+    return df.groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("m"), ranking.first_ids("rank").alias("ids"), ranking.first_ids("teacher_rank").alias("top3"))
+
+
+@query("panel_top3", "F1 F2 F3 F4 B2 C16", f"WITH {SCORED} SELECT scenario_id, tariff_id, price_annual, reward, CAST(rank AS INTEGER) AS rank FROM scored WHERE rank <= 3")
 def panel_top3(spark, sf):
     return scoring.top_k(scored(spark, sf), 3).select("scenario_id", "tariff_id", "price_annual", "reward", "rank")
 
@@ -127,9 +133,7 @@ SELECT scenario_id, floor((CASE WHEN d = 0 THEN 1.0 ELSE n / d END) * 1e6 + 0.5)
 
 @query("ranking_gain", "F17 F14", _DCG)
 def ranking_gain(spark, sf):
-    maps = scored(spark, sf).groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("m"))
-    top = ranking.top_ids(V.teachers(spark, sf))
-    return maps.join(top, "scenario_id").select("scenario_id", S.half_up(ranking.gain(F.col("top3"), F.col("m")), 6).alias("gain"))
+    return labelled(spark, sf).select("scenario_id", S.half_up(ranking.gain(F.col("top3"), F.col("m")), 6).alias("gain"))
 
 
 @query("valid_fraction", "I10 I9 J23", f"""WITH {SCORED}, {V.TEACHERS},
@@ -137,8 +141,7 @@ p AS (SELECT scenario_id, tariff_id FROM teacher WHERE rank <= 2 UNION ALL SELEC
 v AS (SELECT p.scenario_id, count(DISTINCT s.tariff_id) AS n FROM p LEFT JOIN scored s USING (scenario_id, tariff_id) GROUP BY 1)
 SELECT scenario_id, floor(least(n, 3) / 3.0 * 1e6 + 0.5) / 1e6 AS valid, floor((0.1 + 0.1 * least(n, 3) / 3.0) * 1e6 + 0.5) / 1e6 AS weighted FROM v""")
 def valid_fraction(spark, sf):
-    maps = scored(spark, sf).groupBy("scenario_id").agg(ranking.reward_map("tariff_id", "reward").alias("m"))
-    top = ranking.top_ids(V.teachers(spark, sf)).withColumn("top3", F.concat(F.slice("top3", 1, 2), F.array(F.lit("x"))))
+    top = labelled(spark, sf).withColumn("top3", F.concat(F.slice("top3", 1, 2), F.array(F.lit("x"))))
     valid = ranking.valid_share(F.col("top3"), F.col("m"))
     total = ranking.weighted_total({"strict": F.lit(1.0), "valid": valid, "top1": F.lit(0.0), "gain": F.lit(0.0)})
-    return maps.join(top, "scenario_id").select("scenario_id", S.half_up(valid, 6).alias("valid"), S.half_up(total, 6).alias("weighted"))
+    return top.select("scenario_id", S.half_up(valid, 6).alias("valid"), S.half_up(total, 6).alias("weighted"))

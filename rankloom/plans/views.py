@@ -65,10 +65,15 @@ def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def teacher_rank() -> F.Column:
+    """The place of an option in the ranking that stands for labels."""
+    w = Window.partitionBy("scenario_id").orderBy(F.coalesce("insured_amount", F.lit(1e9)).desc(), "price_annual", "pos")
+    return F.row_number().over(w)
+
+
 def teachers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scenario_id, rank (1 to 3), tariff_id: the ranking that stands for labels."""
-    w = Window.partitionBy("scenario_id").orderBy(F.coalesce("insured_amount", F.lit(1e9)).desc(), "price_annual", "pos")
-    ranked = panels(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    ranked = panels(spark, sf_dir).withColumn("rank", teacher_rank())
     return ranked.where("rank <= 3").select("scenario_id", "rank", "tariff_id")
 
 
