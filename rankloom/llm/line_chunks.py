@@ -11,8 +11,10 @@ behind each worded line and joins each two neighbouring one-line chunks, so that
 two worded lines or more is made of them: all its lines are removed from all places but the first. Of a line that
 stands three times or more in a row, two are left where the run comes first.
 
-Null text: stays null. Empty text: no chunk. Rows that are equal in doc_id and text share their decisions. Null
-doc_id: first in order. Other columns go through. Empty table: empty result.
+Null text: stays null. Empty text: no chunk. Very long texts: time in proportion to their lines, in memory of one text.
+Rows that are equal in doc_id and text share their decisions. Null doc_id: first in order; ties in doc_id: by the text's
+hash. Other columns go through; those that clash with the new ones' names stay, the new names are told. Empty table:
+empty result.
 """
 
 from __future__ import annotations

@@ -2,13 +2,15 @@
 
 `write_token_files` cuts the ids of all texts, in order of doc_id, into sequences of equal length and writes one file
 for each range of doc_ids. A file is an Arrow IPC stream of equally large batches: `input_ids`, a fixed-size list of
-the smallest unsigned type that holds the vocabulary, and `mask`, a fixed-size list of booleans that are false in the
+the smallest unsigned type that holds the vocabulary, and `mask`, a fixed-size list of bytes that are 1, and 0 in the
 padding after a file's last document. All full batches of a file have one size, so `batch_at` finds any of them by
-arithmetic and maps it without copying. Beside each file a small stream lists its documents (doc_id, start, n_tokens).
+arithmetic, and maps ids and mask without copying. Beside each file a small stream lists its documents (doc_id, start, n_tokens).
 
 Null or empty text: just the end id. Null doc_id: first in order. Rows of one doc_id: in order of the text; each has a
-start of its own. Empty table: no file, an empty result. Other columns are not read.
-A task writes under a name of its own and renames, so a repeated task leaves one whole file.
+start of its own. Very long texts: as many sequences as they need, in one file. Empty table: no file, an empty result.
+Other columns, whatever their names, are not read. Files are as many as the session's shuffle partitions, or more, so
+that none takes over about FILE bytes of input. A task writes under names of its own and renames; a repeated task
+writes the same, and the manifest lists a file only when both are in place.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
+FILE = 256 << 20
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def schema_of(dtype: str, length: int) -> pa.Schema:
     kind = pa.uint16() if dtype == "<u2" else pa.uint32()
-    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class _Shard:
@@ -60,7 +63,7 @@ class _Shard:
         self.left = self.left[cut:]
 
     def _write(self, ids: np.ndarray, rows: int, true: int) -> None:
-        mask = np.arange(rows * self.length) < true
+        mask = (np.arange(rows * self.length) < true).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.n_sequences += rows
@@ -78,6 +81,13 @@ class _Shard:
         self.fs.move(self.own + "d", self.path + ".docs")
 
 
+def _files(docs: DataFrame) -> int:
+    """By the planner's estimate of the input's size, which needs no pass; at least the shuffle partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // FILE)) if size < 1 << 60 else least
+
+
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, length: int = 2048, rows: int = 64, ordinary: bool = False) -> DataFrame:
     """Writes the files and returns one row for each (MANIFEST); `tokenizer`: a path that all executors can open.
 
@@ -88,7 +98,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     dtype = tokens.id_type(tokenizer)
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    dealt = dealt.repartitionByRange(_files(docs), *order[:2]).sortWithinPartitions(*order)
 
     def write(batches):
         fs, top = pafs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (pafs.LocalFileSystem(), out_dir)
@@ -132,10 +142,10 @@ class TokenFile:
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i; the ids are a view of the file."""
+        """Ids and mask of sequence i, views of the file."""
         row = self.batch_at(i // self.rows).slice(i % self.rows, 1)
         ids, mask = (row.column(k).flatten() for k in range(2))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids of the file's stream from `start` on."""

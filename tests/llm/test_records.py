@@ -165,6 +165,7 @@ def test_url_rules(spark):
     got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, host string"), empty).select("page_id", "host", "path", "rule", "verdict").fillna("-").collect())
     want = sorted((str(i), *cut(u), ruled(*cut(u))[0] or "-", ruled(*cut(u))[1] or "allow") for i, u, _ in pages)
     assert got == want
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), empty).count() == 0
     for r in op4_urls(spark, SF).collect():
         assert r.rule == ruled(r.host, r.path)[0] and (r.rule is None or r.verdict == ruled(r.host, r.path)[1])
 

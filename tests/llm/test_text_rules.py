@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -64,6 +65,9 @@ def test_token_files(spark, tmp_path):
     ids, mask = zip(*(file.sequence(k) for k in range(first.n_sequences)), strict=True)
     assert {len(x) for x in ids} == {64} and np.concatenate(mask).sum() == first.n_tokens
     assert np.concatenate(mask)[: first.n_tokens].all()
+    before = pa.total_allocated_bytes()
+    views = [file.sequence(k) for k in range(first.n_sequences)]
+    assert pa.total_allocated_bytes() == before and all(not x.flags.owndata for pair in views for x in pair)
 
 
 def test_token_files_of_nothing(spark, tmp_path):
@@ -172,8 +176,6 @@ def test_very_long_item():
     """An item of 200,000 words takes memory in proportion, and its longest match is found."""
     import tracemalloc
 
-    import pyarrow as pa
-
     from rankloom.llm.words import ALNUM, Words
 
     r = np.random.default_rng(2)
@@ -190,8 +192,6 @@ def test_very_long_item():
 
 def test_words_of_one_hash():
     """Words that only share a hash aren't hits."""
-    import pyarrow as pa
-
     from rankloom.llm.words import ALNUM, Words
 
     block = decontaminate.Block([("a", "one two")], 10)
@@ -307,6 +307,20 @@ def test_line_chunks_shift_resistant(spark):
     assert len(set.intersection(*hashes.values())) >= len(hashes[0]) - 1
 
 
+def without_passages(data):
+    """{doc_id: (text left, lines removed)}: passages of two worded lines or more that stood before go."""
+    seen, want = {}, {}
+    for i, text, *_ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        at, gone = [j for j, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")], set()
+        for a, b in zip(at, at[1:]):
+            first = seen.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
+            if first != (i, a, b):
+                gone |= set(range(a + (first[0] == i and first[2] == a), b + 1))
+        want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone) if text else text, len(gone)
+    return want
+
+
 @pytest.mark.parametrize("bits", [62, 4])
 def test_every_repeated_passage_goes(spark, bits):
     """Passages of two lines and more between different neighbours: all lines, against first-come removal in Python."""
@@ -321,15 +335,7 @@ def test_every_repeated_passage_goes(spark, bits):
                 i = 1000 * copy + 10 * k + n
                 data.append((i, "\n".join([*own_lines(i), *shared, *own_lines(i + 5000)]), "s", "x"))
     data += [(3000, "r\nr\nr\nr", "s", "x"), (3001, "q\nr\nr\nr", "s", "x"), (3002, "u\nv\nu\nv", "s", "x"), (3003, "one line\n\n", "s", "x"), (3004, "one line", "s", "x"), (3005, None, "s", "x"), (3006, "", "s", "x"), (None, "u\nw", "s", "x"), (3007, "x\nu\nw", "s", "x")]
-    seen, want = {}, {}
-    for i, text, *_ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = (text or "").split("\n")
-        at, gone = [j for j, x in enumerate(lines) if x.strip(" ")], set()
-        for a, b in zip(at, at[1:]):
-            first = seen.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
-            if first != (i, a, b):
-                gone |= set(range(a + (first[0] == i and first[2] == a), b + 1))
-        want[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone) if text else text, len(gone)
+    want = without_passages(data)
     df, names = line_chunks.dedup_lines(spark.createDataFrame(data, SCHEMA), bits=bits, candidates=line_chunks.pairs_of)
     got = {r.doc_id: (r.text, r[names["n_removed"]]) for r in df.collect()}
     assert got == want
