@@ -83,7 +83,7 @@ class _Shard:
 
 def _files(docs: DataFrame) -> int:
     """By the planner's estimate of the input's size, which needs no pass; at least the shuffle partitions."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-size // FILE)) if size < 1 << 60 else least
 
