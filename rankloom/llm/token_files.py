@@ -2,7 +2,7 @@
 
 `write_token_files` cuts the ids of all texts, in order of doc_id, into sequences of equal length and writes one file
 for each range of doc_ids. A file is an Arrow IPC stream of equally large batches: `input_ids`, a fixed-size list of
-the smallest unsigned type that holds the vocabulary, and `mask`, a fixed-size list of bytes that are 1, and 0 in the
+the smallest unsigned type that holds the vocabulary, and `mask`, a fixed-size list of booleans (bits) that are false in the
 padding after a file's last document. All full batches of a file have one size, so `batch_at` finds any of them by
 arithmetic, and maps ids and mask without copying. Beside each file a small stream lists its documents (doc_id, start, n_tokens).
 
@@ -34,7 +34,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 def schema_of(dtype: str, length: int) -> pa.Schema:
     kind = pa.uint16() if dtype == "<u2" else pa.uint32()
-    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Shard:
@@ -63,7 +63,7 @@ class _Shard:
         self.left = self.left[cut:]
 
     def _write(self, ids: np.ndarray, rows: int, true: int) -> None:
-        mask = (np.arange(rows * self.length) < true).astype(np.uint8)
+        mask = np.arange(rows * self.length) < true
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.n_sequences += rows
@@ -141,11 +141,11 @@ class TokenFile:
         self.source.seek(self.first + k * self.step)
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, views of the file."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence i, views of the file; the mask's bits stay packed."""
         row = self.batch_at(i // self.rows).slice(i % self.rows, 1)
         ids, mask = (row.column(k).flatten() for k in range(2))
-        return ids.to_numpy(), mask.to_numpy()
+        return ids.to_numpy(), mask
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids of the file's stream from `start` on."""
