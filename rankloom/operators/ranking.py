@@ -70,16 +70,13 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def concordance(predicted: Column, teacher: Column) -> tuple[Column, Column]:
-    """Pairs that a full ranking orders as the teacher's top three does, and all such pairs: 3 + 3 (n - 3)."""
-    rank = lambda x: F.array_position(predicted, x)
-    others = F.array_except(predicted, teacher)
-    t = [F.get(teacher, F.lit(i)) for i in range(3)]
-    within = [(t[0], t[1]), (t[0], t[2]), (t[1], t[2])]
-    right = reduce(lambda a, b: a + b, ((rank(a) < rank(b)).cast("int") for a, b in within))
-    for x in t:
-        right = right + F.size(_behind(others, rank, x))
-    return right, 3 + 3 * F.size(others)
-
-
-def _behind(others: Column, rank, x: Column) -> Column:
-    return F.filter(others, lambda o: rank(x) < rank(o))
+    """Pairs that a full ranking orders as the teacher's top three does, and all such pairs: 3 + 3 (n - 3).
+
+    Behind one of the three stand as many others as places are left, less those of the three that stand behind it too.
+    """
+    n, at = F.size(predicted), [F.array_position(predicted, F.get(teacher, F.lit(i))) for i in range(3)]
+    count = lambda tests: reduce(lambda a, b: a + b, (t.cast("int") for t in tests))
+    right = count([at[0] < at[1], at[0] < at[2], at[1] < at[2]])
+    for i, x in enumerate(at):
+        right = right + (n - x) - count([y > x for j, y in enumerate(at) if j != i])
+    return right.cast("int"), (3 + 3 * (n - count([x > 0 for x in at]))).cast("int")
