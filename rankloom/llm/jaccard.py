@@ -200,7 +200,8 @@ def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k:
     begin with that order's prefix, and their prefixes under the third order."""
     few = wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST)
     rows = _texts(docs)
-    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
+    # Dealt by the key at every size: a broadcast of the wanted nodes where they are few would be another plan than at scale.
+    texts = rows.join(few.hint("merge"), rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
 
     def run(batches):
         for batch in batches:
