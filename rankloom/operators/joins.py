@@ -75,13 +75,13 @@ def record_id(df: DataFrame) -> Column:
 
 def read_through(requests: DataFrame, cache: DataFrame, key: str, fetch=None) -> DataFrame:
     """Cached rows, and what `fetch` makes of the requests that miss; without it a miss fails the job. Appends cached."""
-    hits, misses = resolve_cache(requests, cache, key)
     if fetch is None:
-        missed = F.raise_error(F.concat(F.lit("not in the cache: "), F.col(key).cast("string")))
-        fetched = misses.where(missed.isNull()).select(*(F.lit(None).cast(cache.schema[c].dataType).alias(c) for c in cache.columns))
-    else:
-        fetched = fetch(misses).select(*cache.columns)
-    return hits.select(*cache.columns, F.lit(True).alias("cached")).unionByName(fetched.withColumn("cached", F.lit(False)))
+        # The error depends on the cache's side, so it isn't pushed below the join.
+        both = requests.join(cache.withColumn("cached", F.lit(True)), key, "left")
+        missed = F.raise_error(F.concat(F.lit("not in the cache: "), F.col(key).cast("string"))).cast("boolean")
+        return both.select(*cache.columns, F.coalesce("cached", missed).alias("cached"))
+    hits, misses = resolve_cache(requests, cache, key)
+    return hits.select(*cache.columns, F.lit(True).alias("cached")).unionByName(fetch(misses).select(*cache.columns).withColumn("cached", F.lit(False)))
 
 
 def shard_plan(rows: DataFrame, place: str, tokens: Column, size: int, price: float) -> DataFrame:
