@@ -7,9 +7,9 @@ shingles under each of three orders.
 
 Orders: by how common a shingle is, then by a hash of its own for each order. How common: all shingles of all rows are
 counted by the first 32 bits of their hashes, each range of these in a task; of each run of 256 neighbours the largest
-count, as a power of two, is told to the executors: 2 ** 24 bytes, at every size. Any order gives the same links; this
-one keeps common passages out of prefixes, the less the more different shingles fall into each run. A shingle among
-whose neighbours none comes twice has no partner, and isn't shuffled.
+count, as a power of two, and of each run of 32 whether any comes twice is told to the executors: 2 ** 25 bytes, at
+every size. Any order gives the same links; this one keeps common passages out of prefixes, the less the more different
+shingles fall into each run. A shingle in whose run of 32 none comes twice has no partner, and isn't shuffled.
 
 Nodes that share a prefix shingle of the first order are a bucket. A bucket is compared in blocks: some of its nodes,
 the left ones, meet all of its nodes, each block of left ones with each block of all in a step of its own, of bounded
@@ -142,8 +142,8 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return both.where("part IS NULL").drop("part", "counts"), both.where("part IS NOT NULL").select("part", "counts")
 
 
-def _levels(counted: DataFrame) -> np.ndarray:
-    """For each run of 256 hashes the largest count's power of two: 0 if none comes twice."""
+def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of 256 hashes the largest count's power of two; for each run of 32 a bit: whether any comes twice."""
 
     def run(batches):
         now, counts = None, None
@@ -159,15 +159,22 @@ def _levels(counted: DataFrame) -> np.ndarray:
 
     def told(part, counts):
         most = counts.reshape(-1, 256).max(1)
-        return pa.record_batch([pa.array([part], pa.int32()), pa.array([np.log2(np.maximum(most, 1)).astype(np.uint8).tobytes()])], names=["part", "levels"])
+        twice = np.packbits(counts.reshape(-1, 32).max(1) > 1, bitorder="little")
+        return pa.record_batch([pa.array([part], pa.int32()), pa.array([np.log2(np.maximum(most, 1)).astype(np.uint8).tobytes()]), pa.array([twice.tobytes()])], names=["part", "levels", "twice"])
 
     ordered = counted.repartition("part").sortWithinPartitions("part")
-    out = np.zeros(1 << 24, np.uint8)
-    for part, levels in common.stage(ordered.mapInArrow(run, "part int, levels binary"), "levels").toLocalIterator():  # RANGES rows of 65,536 bytes
-        out[part << 16 : part + 1 << 16] = np.frombuffer(levels, np.uint8)
+    out = np.zeros(1 << 24, np.uint8), np.zeros(1 << 24, np.uint8)
+    for part, *both in common.stage(ordered.mapInArrow(run, "part int, levels binary, twice binary"), "levels").toLocalIterator():  # RANGES rows of 131,072 bytes
+        for whole, own in zip(out, both, strict=True):
+            whole[part << 16 : part + 1 << 16] = np.frombuffer(own, np.uint8)
     return out
 
 
+def comes_twice(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether shingles, or others of their run of 32, come twice."""
+    return bits[own >> np.uint64(40)] >> ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
 def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
     """(token, node, n, reach): the prefix of each set under the first order.
 
@@ -182,8 +189,8 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
                 for own in sets(common.text_of(part), k):
                     if len(own) and (node := node_of(own)) not in seen:
                         seen.add(node)
-                        first = ranked(own, 0, levels.value)[: prefix_size(len(own), percent)]
-                        place = np.flatnonzero(level(first, levels.value) > 0)
+                        first = ranked(own, 0, levels.value[0])[: prefix_size(len(own), percent)]
+                        place = np.flatnonzero(comes_twice(first, levels.value[1]))
                         tokens.append(first[place])
                         reach.append((100 * len(own) - (100 + percent) * place) // percent)
                         nodes.append(node)
@@ -200,8 +207,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k:
     begin with that order's prefix, and their prefixes under the third order."""
     few = wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST)
     rows = _texts(docs)
-    # Dealt by the key at every size: a broadcast of the wanted nodes where they are few would be another plan than at scale.
-    texts = rows.join(few.hint("merge"), rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
+    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
 
     def run(batches):
         for batch in batches:
@@ -210,8 +216,8 @@ def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k:
                 heads = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
                 for (want, *least), own in zip(heads, sets(common.text_of(part, "text"), k), strict=True):
                     if len(own) and node_of(own) == want:
-                        third = ranked(own, 2, levels.value)[: prefix_size(len(own), percent)]
-                        rows.append((want, len(own), *least, ranked(own, 1, levels.value).tobytes(), third.tobytes()))
+                        third = ranked(own, 2, levels.value[0])[: prefix_size(len(own), percent)]
+                        rows.append((want, len(own), *least, ranked(own, 1, levels.value[0]).tobytes(), third.tobytes()))
                 if rows:
                     kinds = [pa.int64()] * 5 + [pa.binary()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", *LEAST, "own", "pc"])
@@ -366,7 +372,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     texts, counted = _measured(docs, k)
     first = F.min(F.struct("doc_id", "th")).alias("rep")
     nodes = common.stage(texts.where("n > 0").groupBy("node").agg(first, F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in LEAST)), "nodes")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(counted))  # 16 MB
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(counted))  # 32 MB
     posted = common.stage(_prefixes(docs, levels, k, percent), "prefixes")
     shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n", "reach").distinct(), "shared")
