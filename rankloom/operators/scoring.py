@@ -68,10 +68,10 @@ def recommend(scored: DataFrame, by: str = "scenario_id") -> DataFrame:
     return scored.groupBy(by).agg(best.alias("b"), F.count(F.lit(1)).alias("quote_count")).select(by, "b.tariff_id", "b.reward", "quote_count")
 
 
-def panel_arrays(scored: DataFrame, by: str = "scenario_id") -> DataFrame:
-    """One row for each panel: options as an array of structs in order, for scoring without a shuffle."""
+def panel_arrays(scored: DataFrame, by: str = "scenario_id", **more: Column) -> DataFrame:
+    """One row for each panel: options as an array of structs in order, for scoring without a shuffle; and more aggregates."""
     item = F.struct("pos", "tariff_id", *(f"n_{f}" for f in FIELDS))
-    return scored.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("options"))
+    return scored.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("options"), *(c.alias(k) for k, c in more.items()))
 
 
 def order_in_array(options: Column, weights: Column | Weights) -> Column:

@@ -16,8 +16,17 @@ _h = lambda x, d=4: f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
 
 # The search: all panels, folds by seeded hash, 10 anchors and more.
 _FOLDS = "folded AS (SELECT scenario_id, (row_number() OVER (ORDER BY sha256('9:sample:' || scenario_id)) - 1) % 5 AS fold FROM (SELECT DISTINCT scenario_id FROM panel))"
-_CANDS = "cand(id, static, ins0, sc0, price) AS (VALUES " + ", ".join(f"({i}, {float(s)!r}, {float(n)!r}, {float(c)!r}, {float(p)!r})" for i, (s, n, c, p, _) in enumerate(calibrate.ANCHORS)) + "), w AS (SELECT id, CAST(price AS DOUBLE) AS w_price, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 4.0 / 7.0 AS w_cov, CAST(ins0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_ins, CAST(static AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) * 3.0 / 7.0 AS w_ded, CAST(sc0 AS DOUBLE) / CAST(static + ins0 + sc0 AS DOUBLE) AS w_score FROM cand)"
-SEARCH = f"""{NORMED}, {V.TEACHERS}, {_FOLDS}, {_CANDS},
+
+
+def _cands(points) -> str:
+    """Candidates (id, *point) as SQL, with the weights that calibrate.weights_of gives."""
+    rows = ", ".join(f"({i}, {', '.join(f'CAST({float(x)!r} AS DOUBLE)' for x in p[:4])})" for i, p in points)
+    return f"cand(id, static, ins0, sc0, w_price) AS (VALUES {rows}), w AS (SELECT id, w_price, static / (static + ins0 + sc0) * 4.0 / 7.0 AS w_cov, ins0 / (static + ins0 + sc0) AS w_ins, static / (static + ins0 + sc0) * 3.0 / 7.0 AS w_ded, sc0 / (static + ins0 + sc0) AS w_score FROM cand)"
+
+
+def _search(points, teachers: str = V.TEACHERS) -> str:
+    """Common table expressions up to `sums`, the measures by candidate and fold."""
+    return f"""{NORMED}, {teachers}, {_FOLDS}, {_cands(points)},
 rr AS (SELECT id, fold, n.scenario_id, tariff_id, pos, {_h('(w_cov * n_cov + w_ins * n_ins + w_ded * (1.0 - n_ded) + w_score * n_score) / (w_cov + w_ins + w_ded + w_score) / (1.0 + w_price * n_price)')} AS reward FROM normed n JOIN folded USING (scenario_id) CROSS JOIN w),
 ord AS (SELECT *, row_number() OVER (PARTITION BY id, scenario_id ORDER BY reward DESC, pos) AS place FROM rr),
 lab AS (SELECT o.*, t.rank AS t FROM ord o LEFT JOIN teacher t ON t.scenario_id = o.scenario_id AND t.tariff_id = o.tariff_id),
@@ -26,11 +35,15 @@ prs AS (SELECT a.id, a.scenario_id, count(*) AS pairs FROM lab a JOIN lab b ON a
 sums AS (SELECT h.id, h.fold, count(*) AS n, CAST(sum(top1) AS BIGINT) AS top1, CAST(sum(top3) AS BIGINT) AS top3, CAST(sum(coalesce(pairs, 0)) AS BIGINT) AS pairs, CAST(sum(constraints) AS BIGINT) AS constraints FROM hits h LEFT JOIN prs p ON p.id = h.id AND p.scenario_id = h.scenario_id GROUP BY 1, 2)"""
 
 
+SEARCH = _search(enumerate(calibrate.ANCHORS))
+
+
 def folded(spark, sf):
-    """All panels as arrays with their fold, and the teachers."""
-    panels = V.panels(spark, sf)
-    chosen = splits.hash_rank(panels.select("scenario_id").distinct(), "scenario_id", 9, "sample").select("scenario_id", (F.col("place") % 5).alias("fold"))
-    return scoring.panel_arrays(scoring.norms(panels)).join(chosen, "scenario_id"), ranking.top_ids(V.teachers(spark, sf))
+    """All panels as arrays, with their labels' first three and their fold: one shuffle of options, and counts by panel."""
+    df = scoring.norms(V.panels(spark, sf)).withColumn("teacher_rank", V.teacher_rank())
+    panels = scoring.panel_arrays(df, top3=ranking.first_ids("teacher_rank"))
+    chosen = splits.hash_rank(V.panel_ids(spark, sf), "scenario_id", 9, "sample")
+    return panels.join(chosen.select("scenario_id", (F.col("place") % 5).alias("fold")), "scenario_id")
 
 
 def anchors(spark):
@@ -39,43 +52,65 @@ def anchors(spark):
 
 @query("candidate_sums", "D10 F7 H3 G14 J31", f"WITH {SEARCH} SELECT * FROM sums")
 def candidate_sums(spark, sf):
-    panels, teachers = folded(spark, sf)
-    return calibrate.evaluate(panels, teachers, anchors(spark)).withColumn("fold", F.col("fold").cast("long"))
+    return calibrate.evaluate(folded(spark, sf), anchors(spark))
 
 
 def _distance() -> str:
     return f"SELECT id, abs(w_cov - 0.4) + abs(w_ins - 0.3) + abs(w_ded - 0.3) + abs(w_score) + 0.25 * abs(ln((w_price + 0.05) / 1.05)) AS distance FROM w"
 
 
-@query("candidate_ranks", "F8 F9 H4 J13", f"WITH {SEARCH}, d AS ({_distance()}), tot AS (SELECT id, sum(n) AS n, sum(top1) AS top1, sum(top3) AS top3, sum(pairs) AS pairs FROM sums GROUP BY 1) SELECT tot.id, CAST(n AS BIGINT) AS n, CAST(top1 AS BIGINT) AS top1, CAST(top3 AS BIGINT) AS top3, CAST(pairs AS BIGINT) AS pairs, {_h('distance')} AS distance, row_number() OVER (ORDER BY top1 DESC, top3 DESC, pairs DESC, distance, tot.id) AS rank FROM tot JOIN d ON d.id = tot.id")
+_TOTALS = f"d AS ({_distance()}), tot AS (SELECT id, sum(n) AS n, sum(top1) AS top1, sum(top3) AS top3, sum(pairs) AS pairs FROM sums GROUP BY 1)"
+_TOTAL = f"SELECT tot.id, CAST(n AS BIGINT) AS n, CAST(top1 AS BIGINT) AS top1, CAST(top3 AS BIGINT) AS top3, CAST(pairs AS BIGINT) AS pairs, {_h('distance')} AS distance"
+_HELD_OUT = f"d AS ({_distance()}), rest AS (SELECT s.*, distance, sum(top1) OVER x - top1 AS r1, sum(top3) OVER x - top3 AS r3, sum(pairs) OVER x - pairs AS rp FROM sums s JOIN d ON d.id = s.id WINDOW x AS (PARTITION BY s.id)), held AS (SELECT fold, id, n, top1, top3, pairs, constraints FROM rest QUALIFY row_number() OVER (PARTITION BY fold ORDER BY r1 DESC, r3 DESC, rp DESC, distance, id) = 1)"
+
+
+@query("candidate_ranks", "F8 F9 H4 J13", f"WITH {SEARCH}, {_TOTALS} {_TOTAL}, row_number() OVER (ORDER BY top1 DESC, top3 DESC, pairs DESC, distance, tot.id) AS rank FROM tot JOIN d ON d.id = tot.id")
 def candidate_ranks(spark, sf):
-    panels, teachers = folded(spark, sf)
     cands = anchors(spark)
-    df = calibrate.ranked(calibrate.evaluate(panels, teachers, cands), cands)
+    df = calibrate.ranked(calibrate.evaluate(folded(spark, sf), cands), cands)
     return df.select("id", "n", "top1", "top3", "pairs", S.half_up(F.col("distance")).alias("distance"), "rank")
 
 
-@query("cross_validation", "F10 E12 E13", f"WITH {SEARCH}, d AS ({_distance()}), rest AS (SELECT s.*, distance, sum(top1) OVER x - top1 AS r1, sum(top3) OVER x - top3 AS r3, sum(pairs) OVER x - pairs AS rp FROM sums s JOIN d ON d.id = s.id WINDOW x AS (PARTITION BY s.id)) SELECT fold, id, n, top1, top3, pairs, constraints FROM rest QUALIFY row_number() OVER (PARTITION BY fold ORDER BY r1 DESC, r3 DESC, rp DESC, distance, id) = 1")
+@query("cross_validation", "F10 E12 E13", f"WITH {SEARCH}, {_HELD_OUT} SELECT * FROM held")
 def cross_validation(spark, sf):
-    panels, teachers = folded(spark, sf)
     cands = anchors(spark)
-    df = calibrate.cross_validated(calibrate.evaluate(panels, teachers, cands), cands)
-    return df.withColumn("fold", F.col("fold").cast("long"))
+    return calibrate.cross_validated(calibrate.evaluate(folded(spark, sf), cands), cands)
+
+
+#: Candidates of a whole search, and those of them that SQL follows: the anchors and every thousandth.
+TRIALS, SEED, CONTROL_TRIALS = 20_000, 17, 60
+FOLLOWED = [*range(len(calibrate.ANCHORS)), *range(1_000, TRIALS, 1_000)]
 
 
 @query("calibration", "H6 G13")
 def calibration(spark, sf):
-    """A search over 500 candidates and all panels: the ten best."""
-    cands = calibrate.candidates(spark, 500, 17)
-    return calibrate.ranked(calibrate.evaluate(*folded(spark, sf), cands), cands).where("rank <= 10")
+    """A search over 20,000 candidates and all panels: the ten best (a top-ten report)."""
+    cands = calibrate.candidates(spark, TRIALS, SEED)
+    return calibrate.ranked(calibrate.evaluate(folded(spark, sf), cands), cands).where("rank <= 10")
+
+
+_POINTS = calibrate.points(TRIALS, SEED)
+
+
+@query("calibration_totals", "H6 G13", f"WITH {_search([(i, _POINTS[i]) for i in FOLLOWED])}, {_TOTALS} {_TOTAL} FROM tot JOIN d ON d.id = tot.id")
+def calibration_totals(spark, sf):
+    """The same search's totals of the candidates that SQL follows; all 20,000 are ranked on the way."""
+    cands = calibrate.candidates(spark, TRIALS, SEED)
+    df = calibrate.totals(calibrate.evaluate(folded(spark, sf), cands), cands).where(F.col("id").isin(FOLLOWED))
+    return df.select("id", "n", "top1", "top3", "pairs", S.half_up(F.col("distance")).alias("distance"))
+
+
+_SHUFFLED = "teacher AS (SELECT scenario_id, rank, tariff_id FROM (SELECT scenario_id, tariff_id, row_number() OVER (PARTITION BY scenario_id ORDER BY sha256('13:permute:' || scenario_id || ':' || tariff_id), tariff_id) AS rank FROM panel) WHERE rank <= 3)"
 
 
-@query("permutation_control", "H7 G12")
+@query("permutation_control", "H7 G12", f"WITH {_search(enumerate(_POINTS[:CONTROL_TRIALS]), _SHUFFLED)}, {_HELD_OUT}, got AS (SELECT CAST(sum(top1) AS DOUBLE) / sum(n) AS r FROM held), luck AS (SELECT avg(1.0 / quote_count) AS c FROM (SELECT DISTINCT scenario_id, quote_count FROM panel)) SELECT {_h('r', 6)} AS top1_rate, {_h('c', 6)} AS chance, r <= c + 0.05 AS passes FROM got, luck")
 def permutation_control(spark, sf):
-    panels, _ = folded(spark, sf)
-    cands = calibrate.candidates(spark, 100, 17)
-    sums = calibrate.evaluate(panels, calibrate.permuted(V.panels(spark, sf), 13), cands)
-    return calibrate.control_passes(calibrate.cross_validated(sums, cands), panels)
+    """The search and its cross-validation under shuffled labels, against what chance gives."""
+    panels = folded(spark, sf).drop("top3").join(calibrate.permuted(V.panels(spark, sf), 13), "scenario_id")
+    cands = calibrate.candidates(spark, CONTROL_TRIALS, SEED)
+    sums = calibrate.evaluate(panels, cands)
+    df = calibrate.control_passes(calibrate.cross_validated(sums, cands), panels)
+    return df.select(S.half_up(F.col("top1_rate"), 6).alias("top1_rate"), S.half_up(F.col("chance"), 6).alias("chance"), "passes")
 
 
 _PICKS = f"""{FROZEN_SQL.replace('scored AS', 'frozen AS')}, {V.TEACHERS},

@@ -46,6 +46,12 @@ def panels(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
     return quotes(spark, sf_dir).where(F.col("quote_count") >= least)
 
 
+def panel_ids(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
+    """scenario_id of the panels with at least `least` options."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scenario_id")).agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col("n") >= least).select("scenario_id")
+
+
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")

@@ -292,9 +292,9 @@ def test_search_finds_the_label_weights(spark):
     best = scoring.score(quotes, scoring.Weights(w.cov, w.ins, w.ded, w.price, w["score"]))
     teachers = ranking.top_ids(best.where("rank <= 3"))
     panels = scoring.panel_arrays(scoring.norms(quotes)).withColumn("fold", F.col("scenario_id") % 5)
-    sums = calibrate.evaluate(panels, teachers, cands)
+    sums = calibrate.evaluate(panels.join(teachers, "scenario_id"), cands)
     first = calibrate.ranked(sums, cands).where("rank = 1").first()
     assert (first.id, first.top1, first.top3, first.pairs) == (4, 40, 120, first.constraints)
     assert {(x.id, x.top1) for x in calibrate.cross_validated(sums, cands).collect()} == {(4, 8)}
-    control = calibrate.evaluate(panels, calibrate.permuted(quotes, 1), cands)
+    control = calibrate.evaluate(panels.join(calibrate.permuted(quotes, 1), "scenario_id"), cands)
     assert calibrate.control_passes(calibrate.cross_validated(control, cands), panels, slack=0.25).first().passes
