@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import half_up
+from rankloom.operators.quantiles import percentiles
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -14,18 +15,14 @@ def numeric_summary(df: DataFrame, value: str, by: list[str] = (), digits: int =
     """count, min, p10, p25, mean, median, p75, p90, max; exact, nulls skipped."""
     x = F.col(value).cast("double")
     parts = {"min": F.min(x), "mean": F.avg(x), "max": F.max(x)}
-    df = df.groupBy(*by).agg(F.count(x).alias("n"), F.percentile(x, F.array(*map(F.lit, QUANTILES.values()))).alias("q"), *(c.alias(k) for k, c in parts.items()))
-    return df.select(*by, "n", *(half_up(F.col(k), digits).alias(k) for k in parts), *(half_up(F.get("q", F.lit(i)), digits).alias(k) for i, k in enumerate(QUANTILES)))
+    df = percentiles(df, x, QUANTILES, by, also=parts)
+    return df.select(*by, "n", *(half_up(F.col(k), digits).alias(k) for k in (*parts, *QUANTILES)))
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    """Aggregate: the value at round((n - 1) f), half to even; 0 if there is none.
-
-    Values are counted first, so a group's state is its distinct values.
-    """
-    x = F.array_sort(F.collect_list(value))
-    at = F.bround((F.size(x) - 1) * F.lit(fraction)).cast("int")
-    return F.coalesce(F.get(x, F.greatest(F.lit(0), at)), F.lit(0))
+def nearest_ranks(df: DataFrame, value: str, fractions: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """by, n and for each name the value at place round((n - 1) f), half to even; 0 if there is none."""
+    df = percentiles(df, F.col(value), fractions, by, nearest=True)
+    return df.select(*by, "n", *(F.coalesce(k, F.lit(0)).alias(k) for k in fractions))
 
 
 def categorical(df: DataFrame, value: str) -> DataFrame:
@@ -65,9 +62,37 @@ def variation(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return distinct.groupBy("field").agg(F.count_if(F.col("a") != F.col("b")).alias("varying"))
 
 
-def summary(quotes: DataFrame) -> DataFrame:
-    """One row: panels, options, insurers, products, options a panel, and the share of recommendations that win by price."""
-    return quotes.agg(F.count_distinct("scenario_id").alias("scenarios"), F.count(F.lit(1)).alias("quotes"), F.count_distinct("insurer").alias("insurers"), F.count_distinct(F.struct("insurer", "product")).alias("products"))
+def summary(scored: DataFrame, by: str = "scenario_id") -> DataFrame:
+    """One row on scored options: panels, options, distinct ids, insurers and products, options a panel, how many are unlimited,
+    the correlation of price and coverage score, and the share of the recommended (rank 1) that are their panel's cheapest."""
+    cheapest = F.min("price_annual").over(Window.partitionBy(by))
+    df = scored.select("*", F.coalesce(F.col("coverage_score").cast("double"), F.lit(0.0)).alias("_s"), F.when(F.col("rank") == 1, (F.col("price_annual") == cheapest).cast("double")).alias("_won"))
+    x, y = F.col("price_annual"), F.col("_s")
+    counts = {"scenarios": by, "tariffs": "tariff_id", "insurers": "insurer", "products": F.struct("insurer", "product")}
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    df = df.agg(F.count(F.lit(1)).alias("quotes"), F.count_if("insured_unlimited").alias("unlimited"), half_up(r, 4).alias("price_score_r"), half_up(F.avg("_won")).alias("cheapest_share"), *(F.count_distinct(c).alias(k) for k, c in counts.items()))
+    return df.withColumn("quotes_per_scenario", half_up(F.try_divide("quotes", "scenarios")))
+
+
+def option_statistics(scored: DataFrame, by: str = "scenario_id") -> DataFrame:
+    """measure, n, min, mean, max and percentiles: options a panel, price, coverage score and reward of all options, price and
+    coverage score of the recommended ones, and by how much the first reward exceeds the second."""
+    first = F.col("rank") == 1
+    w = Window.partitionBy(by)
+    second = F.max(F.when(F.col("rank") == 2, F.col("reward"))).over(w)
+    score = F.coalesce(F.col("coverage_score").cast("double"), F.lit(0.0))
+    values = {
+        "price_all": F.col("price_annual").cast("double"),
+        "coverage_score_all": score,
+        "reward_all": F.col("reward"),
+        "price_recommended": F.when(first, F.col("price_annual").cast("double")),
+        "coverage_score_recommended": F.when(first, score),
+        "reward_margin": F.when(first, F.col("reward") - second),
+        "options": F.when(first, F.count(F.lit(1)).over(w).cast("double")),
+    }
+    named = [F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in values]
+    long = scored.select(*(c.alias(k) for k, c in values.items())).select(F.explode(F.array(*named)).alias("e")).select("e.*")
+    return numeric_summary(long.where("value IS NOT NULL"), "value", ["measure"])
 
 
 def leave_one_out(sums: DataFrame, by: str, fold: str, measures: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.scalars import half_up
+from rankloom.operators.quantiles import percentiles
+
 RISK_FIELDS = ["postal_code", "building_type", "construction_class", "construction_year", "roof_type", "attic_status", "living_space_sqm", "dwelling_units", "owner_occupied", "rebuild_sum", "with_deductible"]
 #: Domains and ranges: fixed values.
 ENUMS = {
@@ -72,10 +75,10 @@ def unsorted_rows(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 def length_summary(rows: DataFrame, length: Column, limit: int) -> DataFrame:
     """One row: percentiles of a length, the longest and how many are over a limit."""
-    from rankloom.functions.scalars import half_up
-
-    n = rows.select(length.alias("n"))
-    return n.agg(F.count("n").alias("n_texts"), *(half_up(F.percentile("n", F.lit(p / 100))).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max("n").alias("longest"), F.count_if(F.col("n") > limit).alias("n_over"))
+    n = F.col("n")
+    parts = {"longest": F.max(n), "n_over": F.count_if(n > limit)}
+    df = percentiles(rows.select(length.alias("n")), n, {f"p{p}": p / 100 for p in (50, 90, 95, 99)}, also=parts)
+    return df.select(n.alias("n_texts"), *(half_up(F.col(f"p{p}")).alias(f"p{p}") for p in (50, 90, 95, 99)), *parts)
 
 
 def require_lengths(rows: DataFrame, key: str, length: Column, limit: int) -> DataFrame:

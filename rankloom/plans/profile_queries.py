@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import scalars as S
 from rankloom.operators import profile, splits
+from rankloom.operators.quantiles import percentiles
 from rankloom.plans import views as V
 from rankloom.plans.panel_queries import SCORED, scored
 from rankloom.registry import query
@@ -28,7 +29,7 @@ def value_summary(spark, sf):
 def length_stats(spark, sf):
     n = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
     at = {"min": 0.0, "p50": 0.5, "p95": 0.95, "max": 1.0}
-    return n.agg(*(profile.nearest_rank("n", f).cast("long").alias(k) for k, f in at.items()))
+    return profile.nearest_ranks(n, "n", at).select(*at)
 
 
 @query("categories", "E5 E23", f"SELECT event_type AS value, count(*) AS n, {_h('100.0 * CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events)')} AS pct FROM events GROUP BY 1")
@@ -76,9 +77,18 @@ def field_variation(spark, sf):
     return profile.variation(V.panels(spark, sf), "scenario_id", _VARY)
 
 
-@query("dataset_summary", "E11 H11 H2", f"WITH {V.PANELS} SELECT count(DISTINCT scenario_id) AS scenarios, count(*) AS quotes, count(DISTINCT insurer) AS insurers, count(DISTINCT (insurer, product)) AS products FROM panel")
+@query("dataset_summary", "E11 H11 H2", f"WITH {SCORED} SELECT count(DISTINCT scenario_id) AS scenarios, count(*) AS quotes, count(DISTINCT tariff_id) AS tariffs, count(DISTINCT insurer) AS insurers, count(DISTINCT (insurer, product)) AS products, count(CASE WHEN insured_unlimited THEN 1 END) AS unlimited, {_h('corr(price_annual, coverage_score)')} AS price_score_r, {_h('avg(CASE WHEN rank = 1 THEN CAST(price_annual = lo_price AS INTEGER) END)')} AS cheapest_share, {_h('CAST(count(*) AS DOUBLE) / count(DISTINCT scenario_id)')} AS quotes_per_scenario FROM scored")
 def dataset_summary(spark, sf):
-    return profile.summary(V.panels(spark, sf))
+    return profile.summary(scored(spark, sf))
+
+
+_MEASURED = {"price_all": "price_annual FROM scored", "coverage_score_all": "coverage_score FROM scored", "reward_all": "reward FROM scored", "price_recommended": "price_annual FROM scored WHERE rank = 1", "coverage_score_recommended": "coverage_score FROM scored WHERE rank = 1", "reward_margin": "a.reward - b.reward FROM scored a JOIN scored b ON a.scenario_id = b.scenario_id AND a.rank = 1 AND b.rank = 2", "options": "CAST(count(*) AS DOUBLE) FROM scored GROUP BY scenario_id"}
+
+
+@query("option_statistics", "E11 E1 H2", f"WITH {SCORED}, v(measure, value) AS (" + " UNION ALL ".join(f"SELECT '{k}', {v}" for k, v in _MEASURED.items()) + ") SELECT measure, " + _SUMMARY.format("value") + " FROM v GROUP BY 1")
+def option_statistics(spark, sf):
+    """Seven measures of all panels in one selection."""
+    return profile.option_statistics(scored(spark, sf))
 
 
 @query("fold_sums", "E12 E13", """WITH s AS (SELECT l_returnflag AS candidate, l_orderkey % 5 AS fold, count(*) AS n, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS hits FROM lineitem GROUP BY 1, 2)
@@ -117,16 +127,16 @@ def pivot_report(spark, sf):
 @query("telemetry", "E19 J24", f"SELECT event_type, {_h('avg(value)')} AS mean, {_h('quantile_cont(value, 0.5)')} AS p50, {_h('quantile_cont(value, 0.95)')} AS p95, {_h('max(value)')} AS max, {_h('avg(value) * 120 / 3600')} AS energy_wh FROM events WHERE value IS NOT NULL GROUP BY 1")
 def telemetry(spark, sf):
     x = F.col("value")
-    df = V.table(spark, sf, "events").where(x.isNotNull()).groupBy("event_type")
-    parts = {"mean": F.avg(x), "p50": F.percentile(x, F.lit(0.5)), "p95": F.percentile(x, F.lit(0.95)), "max": F.max(x), "energy_wh": F.avg(x) * 120 / 3600}
-    return df.agg(*(S.half_up(c).alias(k) for k, c in parts.items()))
+    parts = {"mean": F.avg(x), "max": F.max(x), "energy_wh": F.avg(x) * 120 / 3600}
+    df = percentiles(V.table(spark, sf, "events").where(x.isNotNull()), x, {"p50": 0.5, "p95": 0.95}, ["event_type"], also=parts)
+    return df.select("event_type", *(S.half_up(F.col(k)).alias(k) for k in ("mean", "p50", "p95", "max", "energy_wh")))
 
 
 @query("latency_levels", "E18 F15", f"WITH s AS (SELECT user_id % 4 AS level, count(*) AS requests, {_h('quantile_cont(value, 0.5)')} AS p50, {_h('quantile_cont(value, 0.99)')} AS p99, {_h('count(*) / 60.0')} AS rps FROM events GROUP BY 1) SELECT *, rps = (SELECT max(rps) FROM s) AS best FROM s")
 def latency_levels(spark, sf):
-    x = F.col("value")
-    s = V.table(spark, sf, "events").groupBy((F.col("user_id") % 4).alias("level")).agg(F.count(F.lit(1)).alias("requests"), S.half_up(F.percentile(x, F.lit(0.5))).alias("p50"), S.half_up(F.percentile(x, F.lit(0.99))).alias("p99"))
-    s = s.withColumn("rps", S.half_up(F.col("requests") / 60.0))
+    df = V.table(spark, sf, "events").select((F.col("user_id") % 4).alias("level"), "value")
+    s = percentiles(df, F.col("value"), {"p50": 0.5, "p99": 0.99}, ["level"], also={"requests": F.count(F.lit(1))})
+    s = s.withColumns({"p50": S.half_up(F.col("p50")), "p99": S.half_up(F.col("p99")), "rps": S.half_up(F.col("requests") / 60.0)})
     return s.crossJoin(F.broadcast(s.agg(F.max("rps").alias("top")))).select("level", "requests", "p50", "p99", "rps", (F.col("rps") == F.col("top")).alias("best"))
 
 

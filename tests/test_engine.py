@@ -70,15 +70,6 @@ def test_scalars(spark):
     assert (round(low, 4), round(high, 4)) == (0.8981, 0.9653)
 
 
-def test_percentiles(spark):
-    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "x double")
-    assert df.agg(F.percentile("x", F.lit(0.5)), F.percentile("x", F.lit(0.95))).first()[:] == (2.5, 3.8499999999999996)
-    assert df.where("x > 9").agg(F.percentile("x", F.lit(0.5))).first()[0] is None
-    near = lambda f: profile.nearest_rank("x", f)
-    assert df.agg(near(0.5), near(0.0), near(1.0)).first()[:] == (3.0, 1.0, 4.0)  # round(1.5) is 2, half to even
-    assert df.where("x > 9").agg(near(0.5)).first()[0] == 0
-
-
 def test_constant_correlation_is_null(spark):
     df = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "x double, y double")
     assert profile.pearson(df, "x", "y").first().r is None
