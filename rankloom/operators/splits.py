@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
 from math import ceil, log
 
 import numpy as np
@@ -10,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import stable_hash
+from rankloom.operators.lineage import cut
 
-#: Different label tuples whose leftover rows the driver deals out.
-MOST_CELLS = 1_000_000
+#: Different labels that a stratified split may keep to their shares.
+MOST_LABELS = 100_000
 
 
 def _running(cells: DataFrame, count: str, order: str, by: list[str] = ()) -> Column:
@@ -89,74 +89,133 @@ def folds(df: DataFrame, key: str, labels: list[str], k: int, seed: int) -> Data
     return hash_rank(df, key, seed, "fold", labels).withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
 
 
-def iterative(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str) -> DataFrame:
-    """Appends split, of exact sizes. Rows of one tuple of labels are a cell; each group takes its whole share of a cell.
+def _text(column: str) -> Column:
+    return F.lower(F.coalesce(F.col(column).cast("string"), F.lit("none")))
 
-    What is left, fewer rows of a cell than there are groups, is dealt out cell by cell, those that hold the rarest label
-    first, else by a seeded hash: each row to the group with room that lacks most of that one of the cell's labels of which it
-    lacks least, in parts of what it should have of it. Which
-    of a cell's rows a group takes goes by a seeded hash. Only cells, at most MOST_CELLS, meet on the driver.
+
+def margins(split: DataFrame, labels: list[str]) -> DataFrame:
+    """field, value, split, n, share: rows of a split with a label, and what its size gives it of all rows with the label.
+
+    Splits without a row of a label have a row here too. Null labels count as "none".
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), _text(c).alias("value")) for c in labels))).alias("l")
+    had = split.select("split", pairs).groupBy("l.field", "l.value", "split").agg(F.count(F.lit(1)).alias("n"))
+    total = had.groupBy("field", "value").agg(F.sum("n").alias("_total"))
+    sizes = had.where(F.col("field") == labels[0]).groupBy("split").agg(F.sum("n").alias("_size"))
+    whole = sizes.agg(F.sum("_size").alias("_all"))
+    want = total.crossJoin(F.broadcast(sizes.crossJoin(F.broadcast(whole))))  # a row for each split
+    both = want.join(had, ["field", "value", "split"], "left")
+    return both.select("field", "value", "split", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.col("_total") * F.col("_size") / F.col("_all")).alias("share"))
+
+
+def swaps(codes: np.ndarray, group: np.ndarray, apart: np.ndarray, most: int = 100_000, wide: int = 512) -> list[tuple[int, int]]:
+    """Pairs of rows to swap between their groups, one after the other, so that every label's count nears its share.
+
+    codes (row, field): numbers of the labels; group: each row's; apart (label, group): count less share, changed in place.
+    Each swap is the one that lowers the sum of fourth powers of `apart` most: of two tuples of labels only the labels in
+    which they differ move. Rows of one tuple and group are alike, so the search is over tuples, the `wide` best on each side.
     """
-    names, n = list(sizes), df.count()
+    tuples, kind = np.unique(codes, axis=0, return_inverse=True)
+    hot = np.zeros((len(tuples), len(apart)))
+    hot[np.repeat(np.arange(len(tuples)), codes.shape[1]), tuples.ravel()] = 1
+    groups = apart.shape[1]
+    rows = {}
+    for i, (k, g) in enumerate(zip(kind.ravel().tolist(), group.tolist(), strict=True)):
+        rows.setdefault((k, g), []).append(i)
+    done: list[tuple[int, int]] = []
+    power = lambda x: x**4
+
+    def best(g: int, h: int):
+        out = power(apart[:, g] - 1) - power(apart[:, g]) + power(apart[:, h] + 1) - power(apart[:, h])
+        into = power(apart[:, g] + 1) - power(apart[:, g]) + power(apart[:, h] - 1) - power(apart[:, h])
+        a, b = (np.array([k for k in range(len(tuples)) if rows.get((k, x))], int) for x in (g, h))
+        if not len(a) or not len(b):
+            return 0.0, 0, 0
+        u, v = hot[a] @ out, hot[b] @ into
+        a, b = a[np.argsort(u, kind="stable")[:wide]], b[np.argsort(v, kind="stable")[:wide]]
+        gain = (hot[a] @ out)[:, None] + (hot[b] @ into)[None] - (hot[a] * (out + into)) @ hot[b].T
+        at = np.unravel_index(gain.argmin(), gain.shape)
+        return float(gain[at]), int(a[at[0]]), int(b[at[1]])
+
+    while len(done) < most and np.abs(apart).max(initial=0) >= 1:
+        found = min(((*best(g, h), g, h) for g in range(groups) for h in range(g + 1, groups)), default=(0.0,))
+        if found[0] >= -1e-9:
+            break
+        _, a, b, g, h = found
+        i, j = rows[a, g].pop(), rows[b, h].pop()
+        rows.setdefault((a, h), []).append(i)
+        rows.setdefault((b, g), []).append(j)
+        apart[:, g] += hot[b] - hot[a]
+        apart[:, h] += hot[a] - hot[b]
+        done.append((i, j))
+    return done
+
+
+def stratified(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], seed: int, namespace: str, candidates: int = 200_000, rounds: int = 8) -> DataFrame:
+    """Appends split, of exact sizes, with every label's count in each group less than one row off its share.
+
+    Even slots over the rows in the order of their labels give each tuple of labels its share within a row, without the
+    driver. What a label is off by then is the sum over many tuples; a few swaps of rows between groups mend it. Rows that
+    may swap are picked by a seeded hash, some of each label and group, at most about `candidates` of them: they meet on the
+    driver, as the table of labels and groups does, whatever the number of rows or tuples. Each round takes other rows;
+    rounds end once no label is off, or none gets better: not every set of labels has such a split. Keys are distinct.
+    """
+    n = df.count()
     if n != sum(sizes.values()):
         raise ValueError(f"sizes add up to {sum(sizes.values())}, there are {n} rows")
-    text = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in labels]
-    cells = df.groupBy(*(t.alias(f"_l{i}") for i, t in enumerate(text))).agg(F.count(F.lit(1)).alias("_n")).limit(MOST_CELLS + 1).toPandas()
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"over {MOST_CELLS} label tuples; use systematic()")
-    label = [f"_l{i}" for i in range(len(labels))]
-    cells = cells.sort_values(label, ignore_index=True)
-    count, share = cells["_n"].to_numpy(), np.array([sizes[g] for g in names]) / max(n, 1)
-    take = np.floor(np.outer(count, share) + 1e-9).astype(np.int64)
-    codes = np.stack([cells[c].factorize()[0] for c in label], 1) if len(cells) else np.zeros((0, len(labels)), np.int64)
-    codes = codes + np.concatenate([[0], np.cumsum(codes.max(0) + 1)[:-1]]) if len(cells) else codes
-    total = np.bincount(codes.ravel(), np.repeat(count, len(labels)), minlength=1)
-    want = np.outer(total, share)
-    lack = want.copy()
-    for c in range(len(labels)):
-        np.subtract.at(lack, codes[:, c], take)
-    room = np.array([sizes[g] for g in names]) - take.sum(0)
-    by_hash = [sha256(f"{seed}:{namespace}:{'|'.join(t)}".encode()).hexdigest() for t in cells[label].itertuples(index=False, name=None)]
-    for i in np.lexsort((by_hash, total[codes].min(1))) if len(cells) else ():
-        for _ in range(count[i] - take[i].sum()):
-            need = np.where(room > 0, (lack[codes[i]] / np.maximum(want[codes[i]], 1)).min(0), -np.inf)
-            g = int(need.argmax())
-            take[i, g] += 1
-            room[g] -= 1
-            lack[codes[i], g] -= 1
-    ends = np.cumsum(take, 1)
-    rows = [(*t, e) for t, e in zip(cells[label].itertuples(index=False, name=None), ends.tolist(), strict=True)]
-    schema = ", ".join(f"{c} string" for c in label) + ", _ends array<long>"
-    dealt = df.sparkSession.createDataFrame(rows, schema)
-    ranked = hash_rank(df, key, seed, namespace, labels)
-    keyed = ranked.select("*", *(t.alias(c) for t, c in zip(text, label, strict=True)))
-    first = keyed.groupBy(*label).agg(F.min("place").alias("_first"))
-    keyed = keyed.join(first.join(dealt, label), label)
-    at = F.size(F.filter("_ends", lambda e: e <= F.col("place") - F.col("_first")))
-    split = F.element_at(F.array(*map(F.lit, names)), at + 1)
-    return keyed.withColumn("split", split).select(*df.columns, "split")
+    spark, names = df.sparkSession, list(sizes)
+    dealt = out = cut(systematic(df, key, labels, sizes, seed, namespace))
+    moved: dict = {}
+    for turn in range(rounds):
+        table = margins(out, labels).limit(MOST_LABELS * len(names) + 1).collect()
+        if len(table) > MOST_LABELS * len(names):
+            raise ValueError(f"over {MOST_LABELS} different labels; use systematic()")
+        number = {x: i for i, x in enumerate(sorted({(r.field, r.value) for r in table}))}
+        count, apart = np.ones((len(number), len(names))), np.zeros((len(number), len(names)))
+        for r in table:
+            at = number[r.field, r.value], names.index(r.split)
+            count[at], apart[at] = r.n, r.n - r.share
+        off = np.abs(apart).max(initial=0)
+        if off < 1:
+            break
+        rate = np.minimum(1.0, max(8.0, candidates / max(1, apart.size)) / np.maximum(count, 1))
+        rates = spark.createDataFrame([(f, v, names[g], float(rate[i, g])) for (f, v), i in number.items() for g in range(len(names))], "_f string, _v string, split string, _rate double")
+        drawn = F.conv(F.substring(stable_hash(seed, f"{namespace}:swap{turn}", F.col(key)), 1, 13), 16, 10).cast("double") / float(16**13)
+        keyed = out.select(F.col(key).alias("_key"), "split", drawn.alias("_drawn"), *(_text(c).alias(f"_l{i}") for i, c in enumerate(labels)))
+        for i, c in enumerate(labels):
+            own = rates.where(F.col("_f") == c).select(F.col("_v").alias(f"_l{i}"), "split", F.col("_rate").alias(f"_r{i}"))
+            keyed = keyed.join(F.broadcast(own), [f"_l{i}", "split"])  # a row for each label and group
+        picked = keyed.where(F.col("_drawn") < F.greatest(*(f"_r{i}" for i in range(len(labels))), F.lit(0.0)))
+        picked = picked.select("_key", "split", *(f"_l{i}" for i in range(len(labels)))).limit(4 * candidates + 1).toPandas().sort_values("_key", ignore_index=True)
+        codes = np.array([[number[c, v] for v in picked[f"_l{i}"]] for i, c in enumerate(labels)]).T.reshape(-1, len(labels))
+        group = np.array([names.index(g) for g in picked["split"]], int)
+        own = group.copy()
+        for i, j in swaps(codes, group, apart):
+            own[i], own[j] = own[j], own[i]
+        changed = np.flatnonzero(own != group)
+        if not len(changed):
+            break
+        moved |= {picked["_key"][i].item() if hasattr(picked["_key"][i], "item") else picked["_key"][i]: names[own[i]] for i in changed}
+        # At most `candidates` rows a round.
+        to = spark.createDataFrame(list(moved.items()), df.select(F.col(key).alias("_key"), F.lit("").alias("_to")).schema)
+        out = dealt.join(F.broadcast(to), F.col(key) == F.col("_key"), "left").select(*df.columns, F.coalesce("_to", "split").alias("split"))
+    return out
 
 
 def two_stage(df: DataFrame, key: str, labels: list[str], sizes: dict[str, int], parts: dict[str, dict[str, int]], seed: int, namespace: str) -> DataFrame:
     """Appends split: first into the groups of `sizes`, then those that `parts` names into parts of their own."""
-    first = iterative(df, key, labels, sizes, seed, namespace)
+    first = stratified(df, key, labels, sizes, seed, namespace)
     out = first.where(~F.col("split").isin(list(parts)))
     for group, own in parts.items():
-        out = out.unionByName(iterative(first.where(F.col("split") == group).drop("split"), key, labels, own, seed, f"{namespace}-{group}"))
+        out = out.unionByName(stratified(first.where(F.col("split") == group).drop("split"), key, labels, own, seed, f"{namespace}-{group}"))
     return out
 
 
-def balance(split: DataFrame, labels: list[str], slack: float) -> DataFrame:
+def balance(split: DataFrame, labels: list[str], slack: float = 1.0) -> DataFrame:
     """split, n_rows, and balanced: whether no label's count is `slack` rows or more from the split's share of all."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.lower(F.col(c).cast("string")).alias("value")) for c in labels))).alias("l")
     n = split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    had = split.select("split", pairs).groupBy("split", "l").agg(F.count(F.lit(1)).alias("c"))
-    all_ = had.groupBy("l").agg(F.sum("c").alias("all"))
-    whole = n.agg(F.sum("n_rows").alias("n"))
-    want = n.crossJoin(F.broadcast(whole)).crossJoin(all_)  # few groups, and one row for each label
-    both = want.join(had, ["split", "l"], "left")
-    apart = F.abs(F.coalesce("c", F.lit(0)) - F.col("all") * F.col("n_rows") / F.col("n"))
-    return both.groupBy("split").agg(F.first("n_rows").alias("n_rows"), (F.max(apart) < slack).alias("balanced"))
+    worst = margins(split, labels).groupBy("split").agg((F.max(F.abs(F.col("n") - F.col("share"))) < slack).alias("balanced"))
+    return n.join(worst, "split")
 
 
 def deviation(reference: DataFrame, subset: DataFrame, labels: list[str]) -> DataFrame:

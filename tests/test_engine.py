@@ -134,13 +134,13 @@ def test_checked_parser(spark):
 def test_splits_have_exact_sizes(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3]) for i in range(20)], "id long, l string, m string")
     sizes = {"train": 12, "val": 5, "test": 3}
-    for parts in (splits.systematic(df, "id", ["l", "m"], sizes, 1, "t"), splits.iterative(df, "id", ["l", "m"], sizes, 1, "t")):
+    for parts in (splits.systematic(df, "id", ["l", "m"], sizes, 1, "t"), splits.stratified(df, "id", ["l", "m"], sizes, 1, "t")):
         assert {r.split: r["count"] for r in parts.groupBy("split").count().collect()} == sizes
         assert parts.select("id").distinct().count() == 20
     folds = splits.folds(df, "id", ["l"], 3, 1)
     assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [6, 7, 7]
     with pytest.raises(ValueError):
-        splits.iterative(df, "id", ["l"], {"train": 3}, 1, "t")
+        splits.stratified(df, "id", ["l"], {"train": 3}, 1, "t")
 
 
 def test_generated_risks_are_plausible_and_repeatable(spark):
@@ -204,12 +204,12 @@ def test_splits_keep_every_label(spark):
     rows = [(i, r.choice("aab"), r.choice(["x", "y", None]), r.choice("pqrstu")) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, l string, m string, o string")
     sizes = {"train": 300, "val": 150, "test": 50}
-    got = splits.iterative(df, "id", ["l", "m", "o"], sizes, 1, "t").collect()
+    got = splits.stratified(df, "id", ["l", "m", "o"], sizes, 1, "t").collect()
     assert {s: sum(x.split == s for x in got) for s in sizes} == sizes and len({x.id for x in got}) == 500
     for c in "lmo":
         for v in {x[c] for x in got}:
             n = sum(x[c] == v for x in got)
-            assert all(abs(sum(x[c] == v and x.split == s for x in got) - n * z / 500) < 3 for s, z in sizes.items())
+            assert all(abs(sum(x[c] == v and x.split == s for x in got) - n * z / 500) < 1 for s, z in sizes.items())
     parts = splits.two_stage(df, "id", ["l", "o"], sizes, {"train": {"fit": 270, "check": 30}}, 1, "t")
     assert {x.split: x["count"] for x in parts.groupBy("split").count().collect()} == {"fit": 270, "check": 30, "val": 150, "test": 50}
 
