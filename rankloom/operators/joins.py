@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def attach(left: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -92,31 +93,105 @@ def shard_plan(rows: DataFrame, place: str, tokens: Column, size: int, price: fl
     return shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("long").alias("tokens"), half_up(F.sum("t") / 1e6 * price, 6).alias("cost"))
 
 
+#: Characters of the phrases of one automaton, and how many of all phrases go through automata whatever their words.
+BLOCK, MOST = 4_000_000, 32_000_000
+#: Characters of texts in one batch of pairs.
+BATCH = 8_000_000
+
+
 def _hash_of(width: int):
     return lambda i: F.xxhash64(F.slice("_cut", i, width))
 
 
+def _words(c: str) -> Column:
+    return F.split(c, " ", -1)
+
+
 def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str, width: int = 3) -> DataFrame:
-    """Pairs of rows and phrases they contain.
+    """Pairs of rows and phrases they contain, with the columns of both (names must differ); an empty phrase is in every text.
+
+    Distinct phrases are dealt in blocks of about BLOCK characters, each block is one automaton that every task runs over
+    its texts: one pass for phrases of all widths. Past MOST characters only phrases of less than three words go that way;
+    the others meet texts by their words in an equi-join, which has no size that must fit anywhere. Null texts and phrases
+    have no pair; repeated rows have one each.
+    """
+    known = phrases.where(F.col(phrase).isNotNull())
+    distinct = known.select(F.col(phrase).alias("_phrase")).distinct()
+    size = distinct.agg(F.coalesce(F.sum(F.length("_phrase") + 1), F.lit(0)).alias("n")).first().n
+    if size <= MOST:
+        return _by_automaton(docs, known, distinct, size, text, phrase)
+    long = F.size(_words("_phrase")) > 2
+    short = distinct.where(~long)
+    size = short.agg(F.coalesce(F.sum(F.length("_phrase") + 1), F.lit(0)).alias("n")).first().n
+    return _by_automaton(docs, known, short, size, text, phrase).unionByName(_by_words(docs, known.where(F.size(_words(phrase)) > 2), text, phrase, width))
+
+
+def _by_automaton(docs: DataFrame, phrases: DataFrame, distinct: DataFrame, size: int, text: str, phrase: str) -> DataFrame:
+    """Pairs by automata over the `distinct` phrases (_phrase), `size` characters in all."""
+    sc, out = docs.sparkSession.sparkContext, None
+    blocks = size // BLOCK + 1
+    dealt = distinct.withColumn("_block", F.pmod(F.xxhash64("_phrase"), F.lit(blocks)))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_phrase", T.StringType())])
+
+    def search(own, most=BATCH):
+        def run(batches):
+            import ahocorasick
+            import pyarrow as pa
+
+            words, automaton = own.value, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, word in enumerate(words):
+                if word:
+                    automaton.add_word(word, i)
+            automaton.make_automaton()
+            everywhere = {i for i, word in enumerate(words) if not word}
+            for batch in batches:
+                rows, found, held = [], [], 0
+
+                def pairs(batch=batch, rows=rows, found=found):
+                    some = batch.take(pa.array(rows, pa.int64()))
+                    return pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.string())], names=schema.names)
+
+                for k, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                    hits = () if value is None else everywhere | {i for _, i in automaton.iter(value)} if len(automaton) else everywhere
+                    for i in sorted(hits):  # the text is repeated for each of its phrases: a bounded number of characters at a time
+                        rows.append(k)
+                        found.append(words[i])
+                        held += len(value)
+                        if held > most:
+                            yield pairs()
+                            rows.clear(), found.clear()
+                            held = 0
+                if rows:
+                    yield pairs()
+
+        return run
+
+    for block in range(blocks):
+        own = [r[0] for r in dealt.where(F.col("_block") == block).select("_phrase").collect()]  # about BLOCK characters
+        if own:
+            part = docs.mapInArrow(search(sc.broadcast(own)), schema)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.crossJoin(phrases).limit(0)
+    return out.join(phrases, F.col("_phrase") == F.col(phrase)).select(*docs.columns, *phrases.columns)
+
+
+def _by_words(docs: DataFrame, phrases: DataFrame, text: str, phrase: str, width: int) -> DataFrame:
+    """Pairs of rows and phrases of three words or more.
 
     What stands between two spaces of a phrase stands between spaces in every text that contains it: rows and phrases
-    meet by the first `width` such words in a row (fewer, if there are fewer), and what meets is compared in full. Only
-    phrases of less than three words are looked for in every text.
+    meet by the first `width` such words in a row (fewer, if there are fewer), and what meets is compared in full.
     """
-    words = lambda c: F.split(c, " ", -1)
-    sized = phrases.withColumn("_width", F.greatest(F.lit(0), F.least(F.size(words(phrase)) - 2, F.lit(width))))
-    widths = [r[0] for r in sized.select("_width").distinct().collect()]  # at most width + 1 rows
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    found = docs.join(sized.where("_width = 0").drop("_width"), F.contains(F.col(text), F.col(phrase))) if 0 in widths else None
-    for w in sorted(x for x in widths if x):
-        own = sized.where(F.col("_width") == w).drop("_width").withColumn("_words", F.xxhash64(F.slice(words(phrase), 2, w)))
-        cut = rows.select("_row", words(F.col(text)).alias("_cut")).where(F.size("_cut") >= w)
+    sized = phrases.withColumn("_width", F.least(F.size(_words(phrase)) - 2, F.lit(width)))
+    rows, found = docs.withColumn("_row", F.xxhash64(*docs.columns)), docs.crossJoin(phrases).limit(0)
+    for w in range(1, width + 1):
+        own = sized.where(F.col("_width") == w).drop("_width").withColumn("_words", F.xxhash64(F.slice(_words(phrase), 2, w)))
+        cut = rows.select("_row", _words(text).alias("_cut")).where(F.size("_cut") >= w)
         pieces = F.transform(F.sequence(F.lit(1), F.size("_cut") - w + 1), _hash_of(w))
         some = cut.select("_row", F.explode(F.array_distinct(pieces)).alias("_words"))
         some = some.join(own.select("_words").distinct(), "_words", "left_semi").distinct()
-        pairs = rows.join(some.join(own, "_words").drop("_words"), "_row").drop("_row").where(F.contains(F.col(text), F.col(phrase)))
-        found = pairs if found is None else found.unionByName(pairs)
-    return docs.crossJoin(phrases).limit(0) if found is None else found
+        found = found.unionByName(rows.join(some.join(own, "_words").drop("_words"), "_row").drop("_row").where(F.contains(F.col(text), F.col(phrase))))
+    return found
 
 
 #: Column names of expert rows, and what the engine calls them: fixed values.
