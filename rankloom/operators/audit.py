@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from pathlib import Path
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,37 @@ def directory_hash(folder: str) -> str:
     return digest.hexdigest()
 
 
-def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """path, sha256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def checksums(spark: SparkSession, folder: str, block: int = 1 << 23) -> DataFrame:
+    """path, length, sha256 of every file below a folder.
+
+    Spark lists the files, empty ones too; a task then reads its files block by block, so a file may be larger than a cell
+    or a task's memory. Files are dealt by path; the file system is any that pyarrow opens by its address.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
+    files = spark.createDataFrame([(unquote(p).replace("file:///", "file:/"),) for p in listed], "path string")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes, sums = [], []
+            for path in batch.column(0).to_pylist():
+                local = path.removeprefix("file:")
+                system, at = (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local != path else fs.FileSystem.from_uri(quote(path, safe=":/%"))
+                size, digest = 0, hashlib.sha256()
+                with system.open_input_stream(at, compression=None) as stream:
+                    while data := stream.read(block):
+                        size += len(data)
+                        digest.update(data)
+                sizes.append(size)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=["path", "length", "sha256"])
+
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(spread, "path").mapInArrow(run, "path string, length long, sha256 string")
 
 
 def mismatches(found: DataFrame, expected: DataFrame) -> DataFrame:

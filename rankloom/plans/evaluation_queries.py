@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import json_text as J
 from rankloom.functions import scalars as S
-from rankloom.operators import calibrate, context, evaluate, ranking, scoring, splits
+from rankloom.operators import calibrate, context, evaluate, lineage, ranking, scoring, splits
 from rankloom.plans import views as V
 from rankloom.plans.panel_queries import FROZEN, FROZEN_SQL, NORMED, SCORED, labelled, scored
 from rankloom.plans.profile_queries import STATUSES, statuses
 from rankloom.registry import query
+from rankloom.sources.versioned import Versioned
 
 _h = lambda x, d=4: f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
 
@@ -77,6 +78,17 @@ def cross_validation(spark, sf):
     return calibrate.cross_validated(calibrate.evaluate(folded(spark, sf), cands), cands)
 
 
+@query("kept_sums", "E12 A4", f"WITH {SEARCH.replace('panel AS (SELECT * FROM q WHERE quote_count >= 3)', 'panel AS (SELECT * FROM q WHERE quote_count >= 3 AND scenario_id % 4 <> 1)').replace('folded AS (SELECT scenario_id,', 'folded AS (SELECT * FROM (SELECT scenario_id,').replace('FROM (SELECT DISTINCT scenario_id FROM panel))', 'FROM (SELECT l_orderkey AS scenario_id FROM lineitem GROUP BY 1 HAVING count(*) >= 3)))')} SELECT * FROM sums")
+def kept_sums(spark, sf):
+    """Sums kept of three shards of panels; a fourth comes and one goes, and no panel of the other two is read again."""
+    panels = folded(spark, sf).withColumn("shard", F.col("scenario_id") % 4)
+    store, cands = Versioned(spark, lineage.scratch(spark, "sums")), anchors(spark)
+    sums = lambda *shards: calibrate.by_shard(panels.where(F.col("shard").isin(*shards)), cands, "shard", 5)
+    store.replace(sums(0, 1, 2), by=["shard"])
+    total = calibrate.merged(store.read(), come=sums(3), gone=store.read().where("shard = 1"))
+    return total.select("id", F.col("fold").cast("long").alias("fold"), *calibrate.MEASURES)
+
+
 #: Candidates of a whole search, and those of them that SQL follows: the anchors and every thousandth.
 TRIALS, SEED, CONTROL_TRIALS = 20_000, 17, 60
 FOLLOWED = [*range(len(calibrate.ANCHORS)), *range(1_000, TRIALS, 1_000)]

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import json_text as J
 from rankloom.functions import scalars as S
-from rankloom.operators import context, joins, quality, splits
+from rankloom.operators import audit, context, joins, lineage, quality, splits
 from rankloom.plans import views as V
 from rankloom.plans.panel_queries import SCORED, scored
 from rankloom.registry import query
+from rankloom.sources import readers, sinks
+from rankloom.sources.versioned import Refused, Versioned, fetch_once
 
 _in = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
 FLOOD = f"CASE WHEN substr(trim(postal_code), 1, 2) IN {_in(context.FLOOD_HIGH)} THEN 'high' WHEN substr(trim(postal_code), 1, 2) IN {_in(context.FLOOD_ELEVATED)} THEN 'elevated' ELSE 'moderate' END"
@@ -240,8 +242,6 @@ def phrase_leaks(spark, sf):
 
 @query("path_policy", "J28", "SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS allowed FROM part")
 def path_policy(spark, sf):
-    from rankloom.operators import audit
-
     k = F.col("p_partkey")
     path = F.when(k % 4 == 0, "data/train.jsonl").when(k % 4 == 1, "evaluation/golden.jsonl").when(k % 4 == 2, "../escape.json").otherwise("Cache/quote.json")
     return V.table(spark, sf, "part").select("p_partkey", audit.allowed_path(path).alias("allowed"))
@@ -268,10 +268,62 @@ def read_through(spark, sf):
     return joins.read_through(o.select("o_orderkey"), cache, "o_orderkey", lambda misses: misses.withColumn("status", F.lit("fetched")))
 
 
+@query("kept_cache", "J10 A6 H10", "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS run FROM orders")
+def kept_cache(spark, sf):
+    """The cache after two runs: the second fetches what the first hadn't, and a third finds no miss."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    cache = Versioned(spark, lineage.scratch(spark, "cache"))
+
+    def run(requests, number):
+        def fetch(misses):
+            return misses.join(o, "o_orderkey").withColumn("run", F.lit(number))
+
+        return fetch_once(requests.select("o_orderkey"), cache, "o_orderkey", fetch, "o_orderkey long, status string, run int")
+
+    run(o.where("o_orderkey % 3 = 0"), 1)
+    run(o, 2)
+    return run(o, 3)
+
+
+@query("committed_rows", "A4 C14 C15 A7", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
+def committed_rows(spark, sf):
+    """A table of which only a version is read whose rows keep their rules: a later one is refused, with its job."""
+    c = V.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path, rules = lineage.scratch(spark, "customers"), {"balance": F.col("c_acctbal") >= 0, "name": F.length("c_name") <= 30}
+    sinks.write_csv(c.where("c_acctbal >= 0"), path, rules)
+    try:
+        sinks.write_csv(c, path, rules)
+        raise AssertionError("rows with a negative balance were committed")
+    except Refused as e:
+        if set(e.broken) != {"balance"}:
+            raise
+    return readers.read_csv(spark, path, c.schema)
+
+
+@query("file_checksums", "K1 K3", "SELECT 'customers' AS name, sha256(string_agg('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' || chr(10), '' ORDER BY c_custkey)) AS sha256, CAST(1 AS BIGINT) AS n_differing FROM customer")
+def file_checksums(spark, sf):
+    """The checksum of all customers written as one file, and how many files of a manifest that names one more are missing."""
+    path = lineage.scratch(spark, "export")
+    rows = V.table(spark, sf, "customer").select("c_custkey", "c_name").orderBy("c_custkey")
+    sinks.write_jsonl(rows, path, single=True)
+    sums = audit.checksums(spark, Versioned(spark, path).folders()[0]).where(F.col("path").like("%.json"))
+    manifest = sums.unionByName(sums.withColumn("path", F.concat("path", F.lit(".gone"))))
+    differing = audit.mismatches(sums, manifest).agg(F.count(F.lit(1)).alias("n_differing"))
+    return sums.select(F.lit("customers").alias("name"), "sha256").crossJoin(F.broadcast(differing))  # one row
+
+
+@query("broken_lines", "A1 A2 A3", "SELECT row_number() OVER (ORDER BY o_orderkey) AS line, o_orderkey FROM orders QUALIFY o_orderkey % 1000 = 7")
+def broken_lines(spark, sf):
+    """Line numbers of what is no JSON object in a file of all orders, some of whose lines are broken; ranges of 64 kB."""
+    k, path = F.col("o_orderkey"), lineage.scratch(spark, "lines")
+    good = F.to_json(F.struct(k, "o_orderstatus"))
+    rows = V.table(spark, sf, "orders").orderBy(k).select(F.when(k % 1000 == 7, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(good).alias("value"))
+    rows.coalesce(1).write.text(path)
+    return readers.bad_lines(spark, path, 1 << 16).select("line", F.regexp_extract("value", "[0-9]+", 0).cast("long").alias("o_orderkey"))
+
+
 @query("bundle_files", "J29", "SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'data/' WHEN 1 THEN 'src/cache/' ELSE 'src/' END || p_brand AS path FROM part WHERE p_size % 3 = 2")
 def bundle_files(spark, sf):
-    from rankloom.operators import audit
-
     k = F.col("p_size") % 3
     path = F.concat(F.when(k == 0, "data/").when(k == 1, "src/cache/").otherwise("src/"), F.col("p_brand"))
     return audit.selected(V.table(spark, sf, "part").select(path.alias("path")), ["src"], ["cache"])
@@ -282,8 +334,6 @@ def raw_options(spark, sf):
     """Raw options as a source gives them, typed, without those that have no id or no price."""
     from pyspark.sql import types as T
 
-    from rankloom.sources import readers
-
     k = F.col("event_id")
     given = {"id": F.when(k % 3 != 0, k.cast("string")), "gesellschaft": F.lit(" x "), "tarif": F.lit("y"), "jahresbeitrag": F.concat(F.col("user_id").cast("string"), F.lit(",00"))}
     names = T._parse_datatype_string(readers.RAW).names

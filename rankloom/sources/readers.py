@@ -3,38 +3,50 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rankloom.operators.lineage import cut
+from rankloom.sources import lines
+from rankloom.sources.versioned import Versioned
+
+
+def files_of(spark: SparkSession, path: str) -> list[str] | str:
+    """Where the files of a path are: those of the newest version of a table that this package wrote, else the path."""
+    table = Versioned(spark, path)
+    return table.folders() if table.versions() else path
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Strict scan: raises with file and line number if a line is no JSON object, and if there are no rows."""
-    if bad := bad_lines(spark, path).orderBy("file", "line").limit(1).collect():
+    """Strict scan: raises with file and line number if a line is no JSON object, and if there are no rows.
+
+    One look at the files tells both, before any row is parsed for use.
+    """
+    seen = _checked(spark, path, lines.RANGE)
+    if bad := lines.with_numbers(seen).orderBy("file", "line").limit(1).collect():
         raise ValueError(f"{bad[0].file}:{bad[0].line}: not a JSON object: {bad[0].value[:80]}")
-    df = spark.read.schema(schema).json(path, mode="FAILFAST")
-    if df.isEmpty():
+    if not seen.agg(F.sum("n_filled")).first()[0]:
         raise ValueError(f"{path} has no rows")
-    return df
+    return spark.read.schema(schema).json(files_of(spark, path), mode="FAILFAST")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1) and value of lines that aren't JSON objects; blank ones don't count.
+def _checked(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """The lines that are no JSON objects, and the rows that count ranges: kept, so the files are read once."""
+    value = F.trim(F.regexp_replace("value", r"\s", " "))
+    bad = (value != "") & (F.try_parse_json("value").isNull() | ~F.startswith(value, F.lit("{")))
+    return cut(lines.ranged(spark, files_of(spark, path), size).where(F.col("line").isNull() | bad))
 
-    Lines are numbered within each block of a file, after the counts of the blocks before, which are all that meet.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", "first", before.alias("before"))
-    bad = lines.where((F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.startswith(F.trim("value"), F.lit("{"))))
-    return bad.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+def bad_lines(spark: SparkSession, path: str, size: int = lines.RANGE) -> DataFrame:
+    """file, line (from 1) and value of lines that aren't JSON objects; blank ones don't count."""
+    return lines.with_numbers(_checked(spark, path, size))
 
 
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A missing input is an empty table; what doesn't fit the schema is null."""
     try:
-        return spark.read.schema(schema).json(path, mode="PERMISSIVE")
+        return spark.read.schema(schema).json(files_of(spark, path), mode="PERMISSIVE")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -48,7 +60,7 @@ def read_keyed(spark: SparkSession, folder: str, schema: StructType | str) -> Da
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path, mode="FAILFAST")
+    return spark.read.schema(schema).option("header", True).csv(files_of(spark, path), mode="FAILFAST")
 
 
 #: Raw option as a pricing source gives it.

@@ -1,13 +1,14 @@
-"""Sinks: JSON lines, small JSON documents and CSV; protected paths are refused."""
+"""Sinks: JSON lines, CSV and split tables, committed at once (sources/versioned.py), and small JSON documents; protected paths are refused."""
 
 from __future__ import annotations
 
 import json
 import os
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from rankloom.sources.versioned import Versioned
 
 #: Folders and files by name that no sink writes, nor anything below them: fixed values.
 PROTECTED = ("golden", "benchmark")
@@ -26,36 +27,22 @@ def check_path(path: str, protected: tuple[str, ...] = PROTECTED) -> None:
             raise PermissionError(f"{path} is protected ({p})")
 
 
-def _replaced(df: DataFrame, path: str, write) -> None:
-    """Writes beside the path, and puts the whole in its place only when it is complete."""
-    spark = df.sparkSession
-    own = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("new", "old"))
-    write(df.write).save(new)
-    fs = own(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(own(path)) and not fs.rename(own(path), own(old)):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(own(new), own(path)):
-        raise OSError(f"{new} can't be moved to {path}")
-    fs.delete(own(old), True)
-
-
-def write_jsonl(df: DataFrame, path: str, single: bool = False, most: int = 1_000_000) -> None:
-    """One folder, put in place as a whole; `single` gives one file, for tables of at most `most` rows."""
+def write_jsonl(df: DataFrame, path: str, single: bool = False, most: int = 1_000_000, rules: dict[str, Column] | None = None) -> None:
+    """JSON lines, put in place as a whole once every row keeps `rules`; `single` gives one file, for at most `most` rows."""
     check_path(path)
     if single and (n := df.count()) > most:
         raise ValueError(f"{n} rows; one file takes {most} at most")
-    _replaced(df.coalesce(1) if single else df, path, lambda w: w.option("ignoreNullFields", False).format("json"))
+    Versioned(df.sparkSession, path).replace(df.coalesce(1) if single else df, rules, "json", {"ignoreNullFields": "false"})
 
 
-def write_split(df: DataFrame, path: str, column: str = "split") -> None:
+def write_split(df: DataFrame, path: str, column: str = "split", rules: dict[str, Column] | None = None) -> None:
     check_path(path)
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    Versioned(df.sparkSession, path).replace(df, rules, by=[column])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, rules: dict[str, Column] | None = None) -> None:
     check_path(path)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    Versioned(df.sparkSession, path).replace(df, rules, "csv", {"header": "true"})
 
 
 def write_document(path: str, value) -> None:
