@@ -40,6 +40,7 @@ from . import tokens as token_ids
 from .components import components
 from .words import SOLID, Words, mix, shingles
 
+WORDS = 1 << 20  # of the wanted texts' filter: 16 MB
 RANGES = 256  # of the counted hashes; each has 2 ** 24 of them
 FLUSH = 4_000_000
 PICKS = 8
@@ -202,11 +203,27 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, node long, n long, reach long")
 
 
+def _passed(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, th) that a Bloom filter of the texts in `few` (rep) lets through: all of those, and of the others
+    some two in a hundred (more beyond 4 million wanted texts). Two bits of one 64-bit word for each text; the words, at
+    most WORDS of them, are broadcast, so that texts are filtered where they're read, at every size of the input."""
+    words = min(WORDS, max(64, few.count() // 4))
+    marks = "shiftleft(1L, CAST(_h & 63 AS INT)) | shiftleft(1L, CAST(shiftright(_h, 6) & 63 AS INT))"
+
+    def marked(df: DataFrame, doc_id: str, th: str) -> DataFrame:
+        both = df.withColumns({"_word": F.pmod(F.xxhash64(doc_id, th), F.lit(words)), "_h": F.xxhash64(doc_id, th, F.lit(1))})
+        return both.withColumn("_marks", F.expr(marks)).drop("_h")
+
+    bits = marked(few, "rep.doc_id", "rep.th").groupBy("_word").agg(F.bit_or("_marks").alias("_bits"))
+    met = marked(rows, "doc_id", "th").join(F.broadcast(bits), "_word")  # at most WORDS rows
+    return met.where(F.col("_bits").bitwiseAND(F.col("_marks")) == F.col("_marks")).select(*rows.columns)
+
+
 def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k: int, percent: int) -> DataFrame:
     """(node, n, m0, m1, m2, own, pc): the sets of the wanted nodes, each from one row, in the second order, so that they
     begin with that order's prefix, and their prefixes under the third order."""
-    few = wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST)
-    rows = _texts(docs)
+    few = common.stage(wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST), "wanted")
+    rows = _passed(_texts(docs), few)
     texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
 
     def run(batches):

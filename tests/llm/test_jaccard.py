@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import components, jaccard
 from rankloom.llm.queries import op7_jaccard
@@ -145,3 +146,14 @@ def test_components(spark):
         up[y] = x
     got = {(x.node, x.label) for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {(n, top(n)) for n in list(up) if top(n) != n}
+
+
+def test_filter_lets_all_wanted_texts_through(spark):
+    """And few others, null ids and rows of one id with other texts among them."""
+    rows = [(None if i % 50 == 0 else i % 4000, f"text {i}") for i in range(5000)]
+    docs = jaccard._texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    few = docs.where("pmod(xxhash64(text), 16) = 0").select(F.struct("doc_id", "th").alias("rep"))
+    want = {(r.rep.doc_id, r.rep.th) for r in few.collect()}
+    got = [(r.doc_id, r.th) for r in jaccard._passed(docs, few).collect()]
+    assert want <= set(got) and len(got) < len(want) + 0.06 * len(rows)
+    assert jaccard._passed(docs, few.limit(0)).count() == 0
