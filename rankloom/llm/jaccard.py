@@ -394,6 +394,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n", "reach").distinct(), "shared")
     own = _candidates(docs, nodes, posted.select("node").distinct(), levels, k, percent)
+    levels.destroy()  # what needs it has been written
     tied = components(_compared(_stars(own, percent), own, percent))
     more = _compared(_open(posted, tied), own, percent)
     tied = components(more.unionByName(tied.select(F.col("node").alias("u"), F.col("label").alias("v"))))
