@@ -1,17 +1,19 @@
 """Main text of pages, with removal of site templates (operator 8).
 
 A page is parsed into blocks of text and into the subtrees of all its block elements, menus, footers and adverts among
-them; only scripts, styles and other raw elements are skipped. A subtree has a hash of its tags and texts. An element
-that its tag, role, class or id calls a menu, page header, footer, aside, form, notice, advert or comment has a second
-hash, its frame: tags, names without digits, and which frames are within, but no text, link or number, so that a varying
-menu still recurs. Spark counts, for each host, on how many different contents each hash stands. A subtree on at least
-`share` of a host's different contents, or a frame on at least `frame_share` of them, and on at least `least`, belongs
-to the site's template and is deleted with all its blocks. Contents are the texts outside such elements, so copies of
-one page count as one content, and a text isn't a template because its page is copied.
-
-Tags and roles that never hold main text (nav, footer, a comment's article) go even where they don't recur. Names alone
-are no proof: they decide only on hosts of fewer than `few` contents, where recurrence can't be told. Of what is left,
-the articles are the text, else main, else the body.
+them; only scripts, styles and other raw elements are skipped. A subtree has a hash of its tags and texts. A subtree
+of links (nine tenths of its text) has a second hash, its frame: tags, names without digits, and which frames are within, but no text,
+link or number, so that a varying menu still recurs. Spark counts, for each host, on how many different contents each
+hash stands. A subtree on at least `share` of a host's different contents and on at least `least`, or a frame of links
+outside articles on as many, belongs to the site's template and is deleted with all its blocks. Contents are the texts
+outside named elements, so copies of one page count as one content, and a text isn't a template because its page is
+copied.
+
+Tags, roles and names that never hold main text (nav, footer, a comment's article, class="ad") go even where they don't
+recur. A name counts only if a whole class or id is made of such words and of words about its place ("ad-box", but not
+"banner-story"). Names that an article's own part may have, too ("related", "social") are no proof: such an element goes
+if half of its text is links and its frame is on at least `frame_share` of the host's contents, one at least. Prose that doesn't
+recur is never lost by them, on hosts of any size. Of what is left, the articles are the text, else main, else the body.
 
 White space in a block becomes one space; blocks are joined by line feeds. Null html: empty text. Null url: host null,
 of its own. Repeated rows are judged one by one. Broken markup: an element ends where its parent does, a paragraph
@@ -40,7 +42,10 @@ RAW = _words("script style textarea title noscript template iframe svg math obje
 SKIP = _words("head applet audio video") | RAW
 LEFT_OUT = _words("nav aside footer form button select option input label dialog menu")
 ROLES = _words("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form")
-NAMES = _words("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments reply replies disqus share sharing social related recommended widget toolbar login search pagination pager")
+#: Names of what is never main text; names that a part of an article may have, too; what may stand beside either.
+SURE = _words("ad ads advert adverts advertisement advertising sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus pagination pager")
+DOUBTFUL = _words("sponsor menu share sharing social related recommended widget toolbar login search")
+PLACES = _words("area bar block bottom box container inner item items left link links list main outer page right section site slot top unit wrap wrapper")
 TOP = _words("html body main article")
 #: What a start tag ends, if that is open and none of the second set is within.
 ENDS = {"li": (_words("li"), _words("ul ol menu")), "dt": (_words("dt dd"), _words("dl")), "dd": (_words("dt dd"), _words("dl")), "tr": (_words("tr"), _words("table")), "td": (_words("td th"), _words("tr table")), "th": (_words("td th"), _words("tr table")), "option": (_words("option"), _words("select"))}
@@ -49,8 +54,18 @@ ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'
 NAME = re.compile(r"[A-Za-z]+")
 
 
-#: What an element is: part of the page, so called by its names, never main text, never text.
-PLAIN, NAMED, APART, SKIPPED = range(4)
+#: What an element is: part of the page, so called by doubtful names, never main text, never text; or, of a tree, links.
+PLAIN, NAMED, APART, SKIPPED, LINKS = range(5)
+
+
+def _named(tokens: list[str], within: bool) -> int:
+    """What classes and ids say; a token says something if all its words do, or tell a place."""
+    kind, sure = PLAIN, SURE if within else SURE | {"header"}
+    for token in tokens:
+        parts = set(NAME.findall(token))
+        if parts <= sure | DOUBTFUL | PLACES:
+            kind = max(kind, APART if parts & sure else NAMED if parts & DOUBTFUL else PLAIN)
+    return kind
 
 
 def _kind(tag: str, attributes: str, within: bool) -> tuple[int, str]:
@@ -62,25 +77,29 @@ def _kind(tag: str, attributes: str, within: bool) -> tuple[int, str]:
         return kind, ""
     values = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
     both = f"{values.get('class', '')} {values.get('id', '')}".lower()
-    names = set(NAME.findall(both))
-    told = " ".join(sorted(names))
+    told = " ".join(sorted(set(NAME.findall(both))))
     if "hidden" in values or values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true":
         return APART, told
     if tag == "article":
         return (APART if {"comment", "comments", "reply"} & set(both.split()) else kind), told
-    return max(kind, NAMED if names & NAMES or not within and "header" in names else PLAIN), told
+    return max(kind, _named(both.split(), within)), told
 
 
 class _Open:
     """An element that hasn't ended."""
 
-    __slots__ = ("tag", "kind", "names", "inside", "own", "frames", "first", "root")
+    __slots__ = ("tag", "kind", "names", "inside", "own", "frames", "first", "root", "chars", "linked", "links")
 
     def __init__(self, tag: str, kind: int, names: str, inside: int, first: int, root: int):
         #: inside: the most any element around it is, or itself; root: 2 in an article, 1 in main, else 0
         self.tag, self.kind, self.names, self.inside, self.first, self.root = tag, kind, names, inside, first, root
         self.own = blake2b(tag.encode(), digest_size=8)
         self.frames: set[bytes] = set()
+        #: characters of its text, of those in links, and how many links
+        self.chars = self.linked = self.links = 0
+
+    def is_links(self, share: float) -> bool:
+        return self.linked >= share * self.chars > 0
 
 
 def _number(digest: bytes) -> int:
@@ -129,6 +148,9 @@ class _Page:
     def text(self, data: str, decode: bool = True) -> None:
         if self.open[-1].inside < SKIPPED:
             self.run.append(html.unescape(data) if decode and "&" in data else data)
+            n = len(data.strip())
+            self.open[-1].chars += n
+            self.open[-1].linked += n if self.count.get("a") else 0
 
     def flush(self) -> None:
         if self.run:
@@ -165,6 +187,7 @@ class _Page:
         up, last = self.open[-1], len(self.blocks)
         if done.inside == SKIPPED:
             return
+        up.chars, up.linked, up.links = up.chars + done.chars, up.linked + done.linked, up.links + done.links + (done.tag == "a")
         framed = done.kind in (NAMED, APART)
         if done.tag in BLOCK:
             digest = done.own.digest()
@@ -174,8 +197,12 @@ class _Page:
         if done.tag in BLOCK or framed:
             frame = blake2b(f"{done.tag} {done.names} ".encode() + b"".join(sorted(done.frames)), digest_size=8).digest()
             up.frames.add(frame)
-            if framed and last > done.first:
+            if last == done.first:
+                return
+            if done.kind == APART or done.kind == NAMED and done.is_links(0.5):
                 self.trees.append((_number(frame), done.first, last, done.kind))
+            elif done.kind == PLAIN and done.root < 2 and done.tag not in TOP and done.links >= 3 and done.is_links(0.9):
+                self.trees.append((_number(frame), done.first, last, LINKS))
         else:
             up.frames |= done.frames
 
@@ -206,11 +233,11 @@ class _Page:
         return _number(blake2b("\0".join(texts).encode("utf-8", "replace"), digest_size=8).digest())
 
 
-def main_text(blocks: list[tuple[str, int]], trees: list[tuple[int, int, int, int]], template: frozenset[int], small: bool) -> str:
-    """What is left without the template; small: names decide, as the host has few contents."""
+def main_text(blocks: list[tuple[str, int]], trees: list[tuple[int, int, int, int]], template: frozenset[int]) -> str:
+    """What is left without the template."""
     change = [0] * (len(blocks) + 1)
     for number, first, after, kind in trees:
-        if number in template or kind == APART or kind == NAMED and small:
+        if number in template or kind == APART:
             change[first] += 1
             change[after] -= 1
     kept, depth = [], 0
@@ -225,7 +252,7 @@ def main_text(blocks: list[tuple[str, int]], trees: list[tuple[int, int, int, in
 def text_of(page: str) -> str:
     """The text of one page alone."""
     parsed = _Page(page)
-    return main_text([b[:2] for b in parsed.blocks], parsed.trees, frozenset(), True)
+    return main_text([b[:2] for b in parsed.blocks], parsed.trees, frozenset(h for h, _, _, kind in parsed.trees if kind == NAMED))
 
 
 TREES = "array<struct<hash:long,first:int,after:int,kind:int>>"
@@ -257,34 +284,35 @@ def parse(pages: DataFrame) -> DataFrame:
 
 def templates(parsed: DataFrame, share: float = 0.5, frame_share: float = 0.02, least: int = 5) -> DataFrame:
     """host, contents, template (hashes of subtrees and frames that recur)."""
-    own = F.array_distinct(F.transform("trees", lambda t: F.struct(t["hash"].alias("hash"), (t["kind"] == PLAIN).alias("exact"))))
+    counted = F.filter("trees", lambda t: t["kind"] != APART)
+    own = F.array_distinct(F.transform(counted, lambda t: F.struct(t["hash"].alias("hash"), (t["kind"] == NAMED).alias("named"))))
     seen = parsed.select("host", "content", F.explode(own).alias("t")).select("host", "content", "t.*").distinct()
-    seen = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("on"), F.bool_and("exact").alias("exact")).where(F.col("on") >= least)
+    seen = seen.groupBy("host", "hash", "named").agg(F.count(F.lit(1)).alias("on")).where(F.col("named") | (F.col("on") >= least))
     hosts = parsed.select("host", "content").distinct().groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("contents"))
-    enough = F.col("on") >= F.when(F.col("exact"), share).otherwise(frame_share) * F.col("contents")
+    enough = F.col("on") >= F.when(F.col("named"), frame_share).otherwise(share) * F.col("contents")
     found = seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(enough).groupBy("host").agg(F.collect_set("hash").alias("template"))
     both = hosts.join(found, F.col("host").eqNullSafe(F.col("of")), "left")
     return both.select(F.col("of").alias("host"), "contents", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
 
 
-def extract(pages: DataFrame, share: float = 0.5, frame_share: float = 0.02, least: int = 5, few: int = 20) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.5, frame_share: float = 0.02, least: int = 5) -> DataFrame:
     """page_id, url, text."""
     parsed = common.stage(parse(pages), "pages")
     found = common.stage(templates(parsed, share, frame_share, least), "template").withColumnRenamed("host", "of")
-    rows = parsed.join(found, F.col("host").eqNullSafe(F.col("of")), "left").select("page_id", "url", "blocks", "trees", "contents", "template")
+    rows = parsed.join(found, F.col("host").eqNullSafe(F.col("of")), "left").select("page_id", "url", "blocks", "trees", "template")
 
     def make():
         known: dict[tuple, frozenset] = {}
 
         def fn(batch):
-            blocks, trees, contents, template = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("blocks", "trees", "contents", "template"))
+            blocks, trees, template = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("blocks", "trees", "template"))
             texts = []
-            for bs, ts, n, hashes in zip(blocks, trees, contents, template, strict=True):
+            for bs, ts, hashes in zip(blocks, trees, template, strict=True):
                 if (key := tuple(hashes)) not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[key] = frozenset(key)
-                texts.append(main_text([(b["text"], b["root"]) for b in bs], [(t["hash"], t["first"], t["after"], t["kind"]) for t in ts], known[key], n < few))
+                texts.append(main_text([(b["text"], b["root"]) for b in bs], [(t["hash"], t["first"], t["after"], t["kind"]) for t in ts], known[key]))
             return [pa.array(texts, pa.string())]
 
         return fn
