@@ -135,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, **options) ->
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` without text and with the scores as its last column, called common.fresh(docs, name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         return lambda batch: [pa.array(shared.value.score(common.text_of(batch)))]
 
-    return common.map_arrow(docs, make, [common.field(name, "double")], [c for c in docs.columns if c != "text"])
+    return common.map_arrow(docs, make, [common.field(common.fresh(docs, name), "double")], [c for c in docs.columns if c != "text"])

@@ -240,8 +240,10 @@ def test_toxicity(spark):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no])
     assert len(yes) >= 100 and auc > 0.94 and np.mean(np.array(yes) >= 0.3) > 0.65 and np.mean(np.array(no) >= 0.3) < 0.01
     model = toxicity.fit([], np.zeros(0))
-    odd = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (2, "x" * 100_000, 3.0)], "doc_id long, text string, score double").drop("score")
-    assert toxicity.score(odd, model).count() == 3 and docs.count() == len(got)
+    odd = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (2, "x" * 100_000, 3.0)], "doc_id long, text string, score double")
+    told = toxicity.score(odd, model)
+    assert told.columns == ["doc_id", "score", "score_"] and sorted(r.score for r in told.collect()) == [1.0, 2.0, 3.0]
+    assert told.count() == 3 and docs.count() == len(got)
     assert toxicity.score(odd.union(odd), model).count() == 6 and toxicity.score(odd.limit(0), model).count() == 0
 
 
