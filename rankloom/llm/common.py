@@ -60,11 +60,25 @@ def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _name(folder: str) -> str:
+    return "rankloom_" + folder.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def stage_by(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """Like `stage`, in a bucket by `key` for each shuffle partition, so that joins on `key` don't shuffle this side again."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    staged.made.append(path)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(_name(path))
+    return spark.table(_name(path))
+
+
 def forget(spark: SparkSession, folders, needed: DataFrame) -> None:
     """Deletes folders of staged tables, but none that `needed` reads."""
     read = needed.inputFiles()
     for folder in folders:
         if not any(folder.split("://")[-1] in f for f in read):
+            spark.sql(f"DROP TABLE IF EXISTS {_name(folder)}")  # the entry; the files are no managed table's
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

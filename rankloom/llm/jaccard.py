@@ -221,26 +221,24 @@ def _passed(rows: DataFrame, few: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, levels, k: int, percent: int) -> DataFrame:
     """(node, n, m0, m1, m2, own, pc): the sets of the wanted nodes, each from one row, in the second order, so that they
-    begin with that order's prefix, and their prefixes under the third order."""
-    few = common.stage(wanted.join(nodes, "node").select(F.col("node").alias("want"), "rep", *LEAST), "wanted")
-    rows = _passed(_texts(docs), few)
-    texts = rows.join(few, rows["doc_id"].eqNullSafe(F.col("rep.doc_id")) & (rows["th"] == F.col("rep.th"))).select("want", *LEAST, "text")
+    begin with that order's prefix, and their prefixes under the third order. They're shuffled once, by node, and kept in
+    buckets by node, so that no join on it moves them again. Equal sets have one node, whichever row they come from."""
+    few = common.stage(wanted.join(nodes, "node").select("node", "rep", *LEAST), "wanted")
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
-                heads = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
-                for (want, *least), own in zip(heads, sets(common.text_of(part, "text"), k), strict=True):
-                    if len(own) and node_of(own) == want:
+                for own in sets(common.text_of(part, "text"), k):
+                    if len(own):
                         third = ranked(own, 2, levels.value[0])[: prefix_size(len(own), percent)]
-                        rows.append((want, len(own), *least, ranked(own, 1, levels.value[0]).tobytes(), third.tobytes()))
+                        rows.append((node_of(own), len(own), ranked(own, 1, levels.value[0]).tobytes(), third.tobytes()))
                 if rows:
-                    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", *LEAST, "own", "pc"])
+                    kinds = [pa.int64()] * 2 + [pa.binary()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "own", "pc"])
 
-    schema = "node long, n long, m0 long, m1 long, m2 long, own binary, pc binary"
-    return common.stage(texts.mapInArrow(run, schema).dropDuplicates(["node"]), "sets")
+    found = _passed(_texts(docs), few).select("text").mapInArrow(run, "node long, n long, own binary, pc binary")
+    return common.stage_by(found.dropDuplicates(["node"]).join(few.drop("rep"), "node"), "sets", "node")
 
 
 def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
