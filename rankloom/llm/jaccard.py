@@ -377,8 +377,11 @@ def _open(posted: DataFrame, tied: DataFrame) -> DataFrame:
     tied = tied.join(sizes, "label")
     tied = tied.unionByName(sizes.select(F.col("label").alias("node"), "label", "size"))
     rows = posted.join(tied, "node", "left").select("key", "node", "n", "reach", F.coalesce("label", "node").alias("comp"), F.coalesce("size", F.lit(0)).alias("size"))
-    stats = rows.groupBy("key").agg(*_signature(), F.min("n").alias("least"), F.max("reach").alias("far"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    rows = rows.join(stats.where("c0 <> c1").drop("c0", "c1"), "key").where("reach >= least AND n <= far")  # others have no partner here
+    rows = common.stage(rows, "labelled")
+    several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    rows = common.stage(rows.join(several, "key"), "mixed")
+    stats = rows.groupBy("key").agg(*_signature(), F.min("n").alias("least"), F.max("reach").alias("far"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
+    rows = rows.join(stats, "key").where("reach >= least AND n <= far")  # others have no partner here
     return _merged(rows.select("same", "node", "n", "reach", "comp", (F.col("comp") != F.col("main")).alias("left")))
 
 
