@@ -381,7 +381,8 @@ def _open(posted: DataFrame, tied: DataFrame) -> DataFrame:
     several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     rows = common.stage(rows.join(several, "key"), "mixed")
     stats = rows.groupBy("key").agg(*_signature(), F.min("n").alias("least"), F.max("reach").alias("far"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    rows = rows.join(stats, "key").where("reach >= least AND n <= far")  # others have no partner here
+    # Staged, so that the join deals both sides anew and Spark splits a key that stands in many rows.
+    rows = rows.join(common.stage(stats, "stats"), "key").where("reach >= least AND n <= far")  # others have no partner here
     return _merged(rows.select("same", "node", "n", "reach", "comp", (F.col("comp") != F.col("main")).alias("left")))
 
 
