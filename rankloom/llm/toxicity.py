@@ -9,7 +9,7 @@ without such a choice did worse on held-out texts. Every text is scored whole.
 Null or empty text: the score of no term. Very long texts: their distinct words, in memory of one text. Null label: not
 a training row; several labels of one row each count. No labelled rows, or of one class: a constant score. Null doc_id:
 scored; as text it counts as empty for the fold. Ties in the choice: the lower term. Repeated rows are scored alike.
-Other columns go through `score`; one called like the score must be renamed. Empty table: empty result. The model is of
+Other columns go through `score`; where one is called like the score, the score is called otherwise (`common.fresh`). Empty table: empty result. The model is of
 a fixed size and broadcast.
 """
 
