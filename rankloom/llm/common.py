@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -52,11 +53,33 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rankloom/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+_tidy_lock, _tidying = threading.Lock(), {"depth": 0, "before": None}
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """While this holds, Spark deletes a job's shuffle files once it has ended, and not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _tidy_lock:
+        if not _tidying["depth"]:
+            _tidying["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _tidying["depth"] += 1
+    try:
+        yield
+    finally:
+        with _tidy_lock:
+            _tidying["depth"] -= 1
+            if not _tidying["depth"]:
+                spark.conf.unset(key) if _tidying["before"] is None else spark.conf.set(key, _tidying["before"])
+
+
 def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
     staged.made.append(path)
-    df.write.parquet(path, compression=compression)
+    with tidy_shuffles(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,18 +92,30 @@ def stage_by(df: DataFrame, tag: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     staged.made.append(path)
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(_name(path))
+    with tidy_shuffles(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(_name(path))
     return spark.table(_name(path))
 
 
 def forget(spark: SparkSession, folders, needed: DataFrame) -> None:
     """Deletes folders of staged tables, but none that `needed` reads."""
     read = needed.inputFiles()
+    delete(spark, [folder for folder in folders if not any(folder.split("://")[-1] in f for f in read)])
+
+
+def delete(spark: SparkSession, folders) -> None:
+    """Deletes folders of staged tables that nothing reads any more."""
     for folder in folders:
-        if not any(folder.split("://")[-1] in f for f in read):
-            spark.sql(f"DROP TABLE IF EXISTS {_name(folder)}")  # the entry; the files are no managed table's
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sql(f"DROP TABLE IF EXISTS {_name(folder)}")  # the entry; the files are no managed table's
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def done(spark: SparkSession, since: int, *tags: str) -> None:
+    """Deletes what this thread has staged under `tags` since it had staged `since` tables; nothing may read it any more."""
+    gone = [f for f in staged.made[since:] if f.rsplit("/", 1)[-1].rpartition("-")[0] in tags]
+    delete(spark, gone)
+    staged.made[since:] = [f for f in staged.made[since:] if f not in gone]
 
 
 def ship(spark: SparkSession) -> None:

@@ -29,7 +29,11 @@ def _stars_only(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of `edges` (u, v) other than the least of its component, that least one."""
+    spark, made = edges.sparkSession, common.staged.made
     edges = common.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _stars_only(edges):
+        before = made[-1]
         edges = common.stage(_star(_star(edges, True), False), "edges")
+        common.delete(spark, [before])
+        made.remove(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

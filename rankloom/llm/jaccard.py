@@ -5,11 +5,14 @@ have |x & y| >= t |x | y|, then under any total order of all shingles their pref
 share one, and the first they share leaves enough after it in both. A pair is verified only if it shares prefix
 shingles under each of three orders.
 
-Orders: by how common a shingle is, then by a hash of its own for each order. How common: all shingles of all rows are
-counted by the first 32 bits of their hashes, each range of these in a task; of each run of 256 neighbours the largest
-count, as a power of two, and of each run of 32 whether any comes twice is told to the executors: 2 ** 25 bytes, at
-every size. Any order gives the same links; this one keeps common passages out of prefixes, the less the more different
-shingles fall into each run. A shingle in whose run of 32 none comes twice has no partner, and isn't shuffled.
+Orders: the half of all shingles with an even hash first, these by how common they are, then by a hash of its own for
+each order. A prefix is less than a sixth of a set, so but for tiny sets it lies in that half, and only that is counted.
+How common: the even shingles of all rows are counted by the first 32 bits of their hashes, each range of these in a
+task; of each run of 256 neighbours the largest count, as a power of two, and of each run of 32 whether any comes twice
+is told to the executors: 2 ** 25 bytes, at every size. Any order gives the same links; this one keeps common passages
+out of prefixes, the less the more different shingles fall into each run. An even shingle in whose run of 32 none comes
+twice has no partner, and isn't shuffled. Prefix shingles are shuffled once, and a node goes on only with those that it
+shares with a node of a size that fits; what no later step reads is deleted at once.
 
 Nodes that share a prefix shingle of the first order are a bucket. A bucket is compared in blocks: some of its nodes,
 the left ones, meet all of its nodes, each block of left ones with each block of all in a step of its own, of bounded
@@ -32,7 +35,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -65,8 +68,12 @@ def node_of(own: np.ndarray) -> int:
     return int(mix(np.array([both]))[0].astype(np.int64))
 
 
+def counted(own: np.ndarray) -> np.ndarray:
+    return own & np.uint64(1) == 0
+
+
 def level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return levels[own >> np.uint64(40)]
+    return np.where(counted(own), levels[own >> np.uint64(40)], np.uint8(255))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -130,8 +137,8 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                         rows.append((doc_id, th, 0, None, None, None, None, None, None))
                         continue
                     rows.append((doc_id, th, len(own), node_of(own), *(int(mix(own ^ s).min().astype(np.int64)) for s in PIVOTS), None, None))
-                    tokens.append((own >> np.uint64(32)).astype(np.uint32))
-                    held += len(own)
+                    tokens.append((own[counted(own)] >> np.uint64(32)).astype(np.uint32))
+                    held += len(tokens[-1])
                 yield out(rows)
                 if held >= FLUSH:
                     yield from (out([(None,) * 7 + x]) for x in _counted(tokens))
@@ -143,7 +150,7 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return both.where("part IS NULL").drop("part", "counts"), both.where("part IS NOT NULL").select("part", "counts")
 
 
-def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each run of 256 hashes the largest count's power of two; for each run of 32 a bit: whether any comes twice."""
 
     def run(batches):
@@ -163,7 +170,7 @@ def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         twice = np.packbits(counts.reshape(-1, 32).max(1) > 1, bitorder="little")
         return pa.record_batch([pa.array([part], pa.int32()), pa.array([np.log2(np.maximum(most, 1)).astype(np.uint8).tobytes()]), pa.array([twice.tobytes()])], names=["part", "levels", "twice"])
 
-    ordered = counted.repartition("part").sortWithinPartitions("part")
+    ordered = counts.repartition("part").sortWithinPartitions("part")
     out = np.zeros(1 << 24, np.uint8), np.zeros(1 << 24, np.uint8)
     for part, *both in common.stage(ordered.mapInArrow(run, "part int, levels binary, twice binary"), "levels").toLocalIterator():  # RANGES rows of 131,072 bytes
         for whole, own in zip(out, both, strict=True):
@@ -172,8 +179,8 @@ def _levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def comes_twice(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether shingles, or others of their run of 32, come twice."""
-    return bits[own >> np.uint64(40)] >> ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8) & 1 > 0
+    """Whether shingles, or others of their run of 32, come twice; those that aren't counted may."""
+    return ~counted(own) | (bits[own >> np.uint64(40)] >> ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8) & 1 > 0)
 
 
 def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
@@ -203,6 +210,21 @@ def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, node long, n long, reach long")
 
 
+def _shared(posted: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, reach) of the prefixes' rows that may have a partner under their shingle, in one shuffle.
+
+    By size a row's nearest neighbours tell: if the next larger set is beyond reach and the next smaller one too small, all
+    others are. Of two rows alone each knows the other, and its reach.
+    """
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    beside = {f"{side}{k}": f(F.struct("n", "reach"), k).over(by_size) for side, f in (("below", F.lag), ("above", F.lead)) for k in (1, 2)}
+    rows = posted.repartition("token").dropDuplicates(["token", "node"]).withColumns(beside)
+    two = F.col("below2").isNull() & F.col("above2").isNull() & (F.col("below1").isNull() | F.col("above1").isNull())
+    other = F.coalesce("below1", "above1")
+    fits = F.when(two, (other["n"] <= F.col("reach")) & (F.col("n") <= other["reach"])).otherwise((100 * F.col("below1.n") >= percent * F.col("n")) | (F.col("above1.n") <= F.col("reach")))
+    return rows.where(fits).select(F.col("token").alias("key"), "node", "n", "reach")
+
+
 def _passed(rows: DataFrame, few: DataFrame) -> DataFrame:
     """Rows (doc_id, text, th) that a Bloom filter of the texts in `few` (rep) lets through: all of those, and of the others
     some two in a hundred (more beyond 4 million wanted texts). Two bits of one 64-bit word for each text; the words, at
@@ -388,18 +410,26 @@ def _open(posted: DataFrame, tied: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, node) of each row, and (node, comp, least): the component of each node, with its least doc_id."""
-    texts, counted = _measured(docs, k)
+    spark, since = docs.sparkSession, len(common.staged.made)
+    texts, counts = _measured(docs, k)
     first = F.min(F.struct("doc_id", "th")).alias("rep")
     nodes = common.stage(texts.where("n > 0").groupBy("node").agg(first, F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in LEAST)), "nodes")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(counted))  # 32 MB
-    posted = common.stage(_prefixes(docs, levels, k, percent), "prefixes")
-    shared = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    posted = common.stage(posted.join(shared, "token").select(F.col("token").alias("key"), "node", "n", "reach").distinct(), "shared")
+    levels = spark.sparkContext.broadcast(_levels(counts))  # 32 MB
+    texts = common.stage(texts.select("doc_id", "th", "n", "node"), "texts")
+    common.done(spark, since, "measured", "levels")
+    posted = common.stage(_shared(_prefixes(docs, levels, k, percent), percent), "shared")
     own = _candidates(docs, nodes, posted.select("node").distinct(), levels, k, percent)
     levels.destroy()  # what needs it has been written
+    common.done(spark, since, "wanted")
     tied = components(_compared(_stars(own, percent), own, percent))
+    common.done(spark, since, "buckets")
+    before = common.staged.made[-1]
     more = _compared(_open(posted, tied), own, percent)
+    common.done(spark, since, "shared", "labelled", "mixed", "stats")
     tied = components(more.unionByName(tied.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    common.done(spark, since, "buckets", "sets")
+    common.delete(spark, [before])
+    common.staged.made.remove(before)
     labelled = nodes.select("node", "least").join(tied, "node", "left").select("node", "least", F.coalesce("label", "node").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("least").alias("least"))
     return texts, labelled.drop("least").join(least, "comp")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import components, jaccard
+from rankloom.llm import common, components, jaccard
 from rankloom.llm.queries import op7_jaccard
 
 SCHEMA = "doc_id long, text string, n long"
@@ -157,3 +157,20 @@ def test_filter_lets_all_wanted_texts_through(spark):
     got = [(r.doc_id, r.th) for r in jaccard._passed(docs, few).collect()]
     assert want <= set(got) and len(got) < len(want) + 0.06 * len(rows)
     assert jaccard._passed(docs, few.limit(0)).count() == 0
+
+
+def test_only_what_is_read_stays_staged(spark):
+    """Of the staged tables texts, nodes and links stay, one each; the rest is deleted as soon as nothing reads it."""
+    n = len(common.staged.made)
+    texts = [" ".join(f"w{(i + k * (k % 7 == 0)) % 300}" for k in range(60)) for i in range(40)]
+    df = jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    made = common.staged.made[n:]
+    assert sorted(f.rsplit("/", 1)[-1].rpartition("-")[0] for f in made) == ["edges", "nodes", "texts"]
+    assert df.count() == len(texts) and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_prefix_rows_without_partner_of_their_size_go(spark):
+    """(token, node, n, reach): alone, two too far apart, beyond one's reach, and three of which two fit; no linked pair is lost."""
+    rows = [(1, 1, 100, 117), (2, 1, 100, 117), (2, 2, 200, 235), (3, 3, 100, 90), (3, 4, 95, 111), (4, 1, 100, 117), (4, 5, 110, 129), (4, 2, 200, 235), (5, 6, 50, 58), (5, 6, 50, 58)]
+    got = jaccard._shared(spark.createDataFrame(rows, "token long, node long, n long, reach long"), 85)
+    assert sorted((r.key, r.node) for r in got.collect()) == [(4, 1), (4, 5)]
