@@ -4,6 +4,8 @@ Every word emits itself and its distinct single deletions (as 64-bit keys), an e
 the words themselves are compared: exactly one code point inserted, deleted or replaced. A key's group is bounded by the
 alphabet and the word's length, not by the input: a word less one code point, and what one code point more makes of it.
 Keys of a word cost time and room in proportion to its length, as they come from prefix sums and not from cut strings.
+All joins sort and merge: words grow with the input, and a table of few bytes in files, of which Spark would think that it
+can be broadcast, has some ten keys for each word, all of which would go through the driver.
 
 Null and empty texts have no words; rows of one id count each, as do rows without an id; other columns are not looked at.
 A table without words gives an empty result.
@@ -99,10 +101,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     a, b = (_emitted(words).select(*(F.col(c).alias(f"{side}_{c}") for c in ("key", "wid", "lo", "hi"))) for side in "ab")
     same_place = (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))
-    met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_wid") < F.col("b_wid")) & ((F.col("a_lo") < 0) | (F.col("b_lo") < 0) | same_place))
+    met = a.join(b.hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_wid") < F.col("b_wid")) & ((F.col("a_lo") < 0) | (F.col("b_lo") < 0) | same_place))
     pairs = met.select(F.col("a_wid").alias("u"), F.col("b_wid").alias("v"))
     for side in "uv":
-        pairs = pairs.join(words.select(F.col("wid").alias(side), F.col("word").alias(f"{side}_word"), F.col("n").alias(f"{side}_n")), side)
+        pairs = pairs.join(words.select(F.col("wid").alias(side), F.col("word").alias(f"{side}_word"), F.col("n").alias(f"{side}_n")).hint("merge"), side)
     return pairs.where(F.levenshtein("u_word", "v_word", 1) == 1)
 
 
@@ -115,7 +117,7 @@ def forms(words: DataFrame, times: int = 2) -> DataFrame:
     ends = [F.struct(F.col(f"{x}").alias("wid"), F.col(f"{y}").alias("next"), F.col(f"{y}_word").alias("form"), F.col(f"{y}_n").alias("form_n")) for x, y in ("uv", "vu")]
     sides = near_pairs(words).select(F.explode(F.array(*ends)).alias("e")).select("e.*")
     best = sides.groupBy("wid").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form", "next")).alias("best"))
-    whole = words.join(best, "wid", "left")
+    whole = words.join(best.hint("merge"), "wid", "left")
     led = -F.col("best.less") >= times * F.col("n")
     return whole.select("wid", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(led, F.col("best.form")).alias("form"), F.when(led, -F.col("best.less")).alias("form_n"), F.when(led, F.col("best.next")).alias("next"))
 
@@ -128,7 +130,7 @@ def last_of(links: DataFrame) -> DataFrame:
     links = common.stage(links.select("wid", "next", F.lit(True).alias("moved")), "links")
     while not links.where("moved").isEmpty():
         on = links.select(F.col("wid").alias("next"), F.col("next").alias("further"))
-        links = common.stage(links.join(on, "next", "left").select("wid", F.coalesce("further", "next").alias("next"), F.col("further").isNotNull().alias("moved")), "links")
+        links = common.stage(links.join(on.hint("merge"), "next", "left").select("wid", F.coalesce("further", "next").alias("next"), F.col("further").isNotNull().alias("moved")), "links")
     return links.select("wid", "next")
 
 
@@ -140,8 +142,8 @@ def group_variants(counts: DataFrame, times: int = 2) -> DataFrame:
     """
     words = common.stage(counts.select("word", "n", F.monotonically_increasing_id().alias("wid")), "words")
     formed = common.stage(forms(words, times), "forms")
-    roots = last_of(formed.where("next IS NOT NULL").select("wid", "next")).join(words.select(F.col("wid").alias("next"), F.col("word").alias("root")), "next").drop("next")
-    return formed.join(roots, "wid", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    roots = last_of(formed.where("next IS NOT NULL").select("wid", "next")).join(words.select(F.col("wid").alias("next"), F.col("word").alias("root")).hint("merge"), "next").drop("next")
+    return formed.join(roots.hint("merge"), "wid", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def members(grouped: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom.llm import spelling
+from rankloom.llm import common, spelling
 from rankloom.llm.queries import op11_spelling
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +103,13 @@ def test_keys_are_those_of_the_cut_words():
         assert {w[:p] + w[p + 1 :] for p in range(a, b + 1)} == {w[:a] + w[a + 1 :]}
         assert whole[w[:a] + w[a + 1 :]] == k
     assert len(spelling.deletion_keys(pa.array([], pa.string()))[0]) == 0
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    """Words grow with the input; a small file of them has many keys, and none of its joins may go through the driver."""
+    words = spark.range(2000).selectExpr("concat('word', chr(97 + id % 26), chr(97 + id div 26 % 26), chr(97 + id div 676)) AS word", "id % 50 + 3 AS n")
+    n = len(common.staged.made)
+    plans = [spelling.forms(words.withColumn("wid", F.monotonically_increasing_id())), spelling.group_variants(words)]
+    assert len(common.staged.made) > n and plans[1].count() == 2000
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
