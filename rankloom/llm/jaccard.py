@@ -5,14 +5,13 @@ have |x & y| >= t |x | y|, then under any total order of all shingles their pref
 share one, and the first they share leaves enough after it in both. A pair is verified only if it shares prefix
 shingles under each of three orders.
 
-Orders: the half of all shingles with an even hash first, these by how common they are, then by a hash of its own for
-each order. A prefix is less than a sixth of a set, so but for tiny sets it lies in that half, and only that is counted.
-How common: the even shingles of all rows are counted by the first 32 bits of their hashes, each range of these in a
-task; of each run of 256 neighbours the largest count, as a power of two, and of each run of 32 whether any comes twice
-is told to the executors: 2 ** 25 bytes, at every size. Any order gives the same links; this one keeps common passages
-out of prefixes, the less the more different shingles fall into each run. An even shingle in whose run of 32 none comes
-twice has no partner, and isn't shuffled. Prefix shingles are shuffled once, and a node goes on only with those that it
-shares with a node of a size that fits; what no later step reads is deleted at once.
+Orders: by how common a shingle is, then by a hash of its own for each order. How common: all shingles of all rows are
+counted by the first 32 bits of their hashes, each range of these in a task; of each run of 256 neighbours the largest
+count, as a power of two, and of each run of 32 whether any comes twice is told to the executors: 2 ** 25 bytes, at
+every size. Any order gives the same links; this one keeps common passages out of prefixes, the less the more different
+shingles fall into each run. A shingle in whose run of 32 none comes twice has no partner, and isn't shuffled. Prefix
+shingles are shuffled once, and a node goes on only with those that it shares with a node of a size that fits; what no
+later step reads is deleted at once.
 
 Nodes that share a prefix shingle of the first order are a bucket. A bucket is compared in blocks: some of its nodes,
 the left ones, meet all of its nodes, each block of left ones with each block of all in a step of its own, of bounded
@@ -68,12 +67,8 @@ def node_of(own: np.ndarray) -> int:
     return int(mix(np.array([both]))[0].astype(np.int64))
 
 
-def counted(own: np.ndarray) -> np.ndarray:
-    return own & np.uint64(1) == 0
-
-
 def level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return np.where(counted(own), levels[own >> np.uint64(40)], np.uint8(255))
+    return levels[own >> np.uint64(40)]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -137,8 +132,8 @@ def _measured(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                         rows.append((doc_id, th, 0, None, None, None, None, None, None))
                         continue
                     rows.append((doc_id, th, len(own), node_of(own), *(int(mix(own ^ s).min().astype(np.int64)) for s in PIVOTS), None, None))
-                    tokens.append((own[counted(own)] >> np.uint64(32)).astype(np.uint32))
-                    held += len(tokens[-1])
+                    tokens.append((own >> np.uint64(32)).astype(np.uint32))
+                    held += len(own)
                 yield out(rows)
                 if held >= FLUSH:
                     yield from (out([(None,) * 7 + x]) for x in _counted(tokens))
@@ -179,8 +174,8 @@ def _levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def comes_twice(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether shingles, or others of their run of 32, come twice; those that aren't counted may."""
-    return ~counted(own) | (bits[own >> np.uint64(40)] >> ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8) & 1 > 0)
+    """Whether shingles, or others of their run of 32, come twice."""
+    return bits[own >> np.uint64(40)] >> ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
 def _prefixes(docs: DataFrame, levels, k: int, percent: int) -> DataFrame:
